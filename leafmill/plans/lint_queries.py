@@ -51,7 +51,7 @@ for _rule, (_name, *_rest, _fixed) in _CASES.items():
     query(f"{_name}_fix", f"WITH {D_SQL} SELECT doc_id, para_idx, new_text FROM (SELECT doc_id, para_idx, text, {_new} AS new_text FROM d) WHERE new_text <> text")(_fix(_rule))
 
 _PL = [r.id for r in lint.enabled("pl")]
-_ALL_HITS = f"WITH {D_SQL}, h AS (" + " UNION ALL ".join(_hits_sql(r) for r in _PL) + ")"
+ALL_HITS = f"WITH {D_SQL}, h AS (" + " UNION ALL ".join(_hits_sql(r) for r in _PL) + ")"
 
 
 def _chain(rules: list[str]) -> str:
@@ -67,30 +67,30 @@ def g08(spark, sf_dir):
     return linting.fix(defects(spark, sf_dir), lint.enabled("pl", nbsp=True)).select("doc_id", "para_idx", "new_text")
 
 
-@query("g10_scan_corpus", f"{_ALL_HITS} SELECT doc_id, para_idx, rule_id, ord, start, \"end\", before, after, rule_id || '-' || para_idx || '-' || ord || '-' || start AS hit_id FROM h")
+@query("g10_scan_corpus", f"{ALL_HITS} SELECT doc_id, para_idx, rule_id, ord, start, \"end\", before, after, rule_id || '-' || para_idx || '-' || ord || '-' || start AS hit_id FROM h")
 def g10(spark, sf_dir):
     """All Polish rules at once, with the hits' stable ids."""
     return linting.scan(defects(spark, sf_dir).drop("lang"), lint.enabled("pl"), details=False)
 
 
-@query("g10_scan_by_row_language", f"{_ALL_HITS} SELECT d.lang, rule_id, count(*) AS n FROM h JOIN d USING (doc_id, para_idx) WHERE d.lang = 'en' AND rule_id NOT IN ('quotes-pl', 'orphan-i') GROUP BY ALL")
+@query("g10_scan_by_row_language", f"{ALL_HITS} SELECT d.lang, rule_id, count(*) AS n FROM h JOIN d USING (doc_id, para_idx) WHERE d.lang = 'en' AND rule_id NOT IN ('quotes-pl', 'orphan-i') GROUP BY ALL")
 def g10_lang(spark, sf_dir):
     """Each paragraph by the rules of its own language; languages without rules have no hits."""
     hits = linting.scan(defects(spark, sf_dir), lint.enabled(None), F.col("lang"), details=False)
     return hits.groupBy("lang", "rule_id").agg(F.count("*").alias("n"))
 
 
-@query("a03_hits_by_rule", f"{_ALL_HITS} SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM h GROUP BY rule_id")
+@query("a03_hits_by_rule", f"{ALL_HITS} SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM h GROUP BY rule_id")
 def a03(spark, sf_dir):
     return linting.by_rule(linting.scan(defects(spark, sf_dir), lint.enabled("pl"), details=False))
 
 
-@query("a03_hits_rollup", f"{_ALL_HITS} SELECT doc_id, rule_id, count(*) AS n FROM h GROUP BY ROLLUP (doc_id, rule_id)")
+@query("a03_hits_rollup", f"{ALL_HITS} SELECT doc_id, rule_id, count(*) AS n FROM h GROUP BY ROLLUP (doc_id, rule_id)")
 def a03_rollup(spark, sf_dir):
     return linting.by_document_and_rule(linting.scan(defects(spark, sf_dir), lint.enabled("pl"), details=False))
 
 
-@query("g11_fix_batch", f"{_ALL_HITS}, f AS ({_chain(['ellipsis'])}) SELECT doc_id, para_idx, text AS new_text FROM f SEMI JOIN h USING (doc_id, para_idx) WHERE text <> old_text")
+@query("g11_fix_batch", f"{ALL_HITS}, f AS ({_chain(['ellipsis'])}) SELECT doc_id, para_idx, text AS new_text FROM f SEMI JOIN h USING (doc_id, para_idx) WHERE text <> old_text")
 def g11(spark, sf_dir):
     """One rule's fixes on paragraphs that have any hit."""
     rules = lint.enabled("pl")
@@ -98,14 +98,14 @@ def g11(spark, sf_dir):
     return linting.fix(defects(spark, sf_dir), only, only_hit=True, on=rules).select("doc_id", "para_idx", "new_text")
 
 
-@query("g12_apply_one_hit", f"{_ALL_HITS}, one AS (SELECT * FROM h WHERE rule_id = 'double-space' AND ord = 1) SELECT doc_id, para_idx, text[:start] || after || text[\"end\" + 1:] AS new_text FROM d JOIN one USING (doc_id, para_idx)")
+@query("g12_apply_one_hit", f"{ALL_HITS}, one AS (SELECT * FROM h WHERE rule_id = 'double-space' AND ord = 1) SELECT doc_id, para_idx, text[:start] || after || text[\"end\" + 1:] AS new_text FROM d JOIN one USING (doc_id, para_idx)")
 def g12(spark, sf_dir):
     d = defects(spark, sf_dir)
     chosen = linting.scan(d, lint.enabled("pl", ["double-space"]), details=False).filter("ord = 1")
     return linting.apply_hits(d, chosen).select("doc_id", "para_idx", "new_text")
 
 
-@query("j06_paragraphs_with_hits", f"{_ALL_HITS} SELECT DISTINCT doc_id, para_idx FROM h")
+@query("j06_paragraphs_with_hits", f"{ALL_HITS} SELECT DISTINCT doc_id, para_idx FROM h")
 def j06(spark, sf_dir):
     """Paragraphs that have hits (also the set U4)."""
     d = defects(spark, sf_dir)
