@@ -12,7 +12,9 @@ from leafmill.plans.base import P_SQL, T_SQL, hits_sql, paras, query, table
 from leafmill.plans.base import templates as customer_templates
 
 AS_OF = datetime(2026, 6, 30, 14, 5)
-_C = F.col("text")
+def _c():
+    return F.col("text")
+
 _PLACE = r"\{\{\s*([a-zA-Z0-9_.-]+)\s*\}\}"
 _TRIG = r"!([a-zA-Z][a-zA-Z0-9_-]*)\b"
 
@@ -41,12 +43,12 @@ def _flat(samples: str = "samples"):
 
 @query("k01_scan_placeholders", f"{_FIELDS} SELECT * FROM k")
 def k01(spark, sf_dir):
-    return templates.token_rows(customer_templates(spark, sf_dir), K.placeholder_hits(_C))
+    return templates.token_rows(customer_templates(spark, sf_dir), K.placeholder_hits(_c()))
 
 
 @query("k02_scan_triggers", f"{_TRIGGERS} SELECT * FROM k")
 def k02(spark, sf_dir):
-    return templates.token_rows(customer_templates(spark, sf_dir), K.trigger_hits(_C))
+    return templates.token_rows(customer_templates(spark, sf_dir), K.trigger_hits(_c()))
 
 
 @query(
@@ -78,7 +80,7 @@ _FILL = "regexp_replace(replace(text, '{{c_name}}', CASE WHEN doc_id % 7 <> 0 TH
 
 @query("k06_fill", f"WITH {T_SQL} SELECT doc_id, {_FILL} AS new_text, (1 + CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::INTEGER AS n_filled FROM t")
 def k06(spark, sf_dir):
-    f = K.fill(_C, _values())
+    f = K.fill(_c(), _values())
     return customer_templates(spark, sf_dir).select("doc_id", f["text"].alias("new_text"), f["n"].alias("n_filled"))
 
 
@@ -95,13 +97,13 @@ def _expanded(tail: str) -> str:
 
 @query("k07_expand", f"WITH {T_SQL} SELECT doc_id, {_expanded('([^A-Za-z0-9_]|$)')} AS new_text FROM t")
 def k07(spark, sf_dir):
-    return customer_templates(spark, sf_dir).select("doc_id", K.expand(_C, K.literal_map(_BODIES))["text"].alias("new_text"))
+    return customer_templates(spark, sf_dir).select("doc_id", K.expand(_c(), K.literal_map(_BODIES))["text"].alias("new_text"))
 
 
 @query("k08_expand_auto", f"WITH {T_SQL} SELECT doc_id, {_expanded('([ .,;:!?)])')} AS new_text FROM t")
 def k08(spark, sf_dir):
     """Only triggers that a delimiter follows."""
-    return customer_templates(spark, sf_dir).select("doc_id", K.expand(_C, K.literal_map(_BODIES), "auto")["text"].alias("new_text"))
+    return customer_templates(spark, sf_dir).select("doc_id", K.expand(_c(), K.literal_map(_BODIES), "auto")["text"].alias("new_text"))
 
 
 @query("k09_field_summary", f"{_FIELDS} SELECT doc_id, name, count(*) AS n, {_SAMPLES} AS samples FROM k GROUP BY doc_id, name")
@@ -159,7 +161,7 @@ def k12(spark, sf_dir):
     own = library(spark, sf_dir).filter("name like 'n%'")
     maps = templates.expand_map(t, own)
     both = t.join(maps, "doc_id", "left").withColumn("bodies", F.coalesce("bodies", F.create_map().cast("map<string,string>")))
-    out = templates.expand_and_fill(_C, F.col("bodies"), F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("c_mktsegment"), F.col("c_mktsegment")), AS_OF)
+    out = templates.expand_and_fill(_c(), F.col("bodies"), F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("c_mktsegment"), F.col("c_mktsegment")), AS_OF)
     return both.select("doc_id", out["text"].alias("new_text"))
 
 

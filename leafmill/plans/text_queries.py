@@ -10,7 +10,9 @@ from leafmill.functions.patterns import WS
 from leafmill.operators import linting, paragraphs
 from leafmill.plans.base import D_SQL, P_SQL, defects, paras, query, table, trim_sql, upper_sql
 
-_C = F.col("text")
+def _c():
+    return F.col("text")
+
 
 
 def _each(spark, sf_dir, source=paras, **columns):
@@ -23,48 +25,48 @@ def _sql(cte: str, source: str, columns: str) -> str:
 
 @query("t01_sanitize", _sql(P_SQL, "p", "regexp_replace(text || chr(1) || 'x' || chr(31), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS out"))
 def t01(spark, sf_dir):
-    return _each(spark, sf_dir, out=T.sanitize_xml(F.concat(_C, F.lit("\x01x\x1f"))))
+    return _each(spark, sf_dir, out=T.sanitize_xml(F.concat(_c(), F.lit("\x01x\x1f"))))
 
 
 @query("t02_replace_literal", _sql(P_SQL, "p", "replace(text, 'the ', 'THE$1 ') AS out"))
 def t02(spark, sf_dir):
-    return _each(spark, sf_dir, out=T.replace_literal(_C, "the ", "THE$1 "))
+    return _each(spark, sf_dir, out=T.replace_literal(_c(), "the ", "THE$1 "))
 
 
 @query("t03_replace_regex", _sql(P_SQL, "p", "regexp_replace(text, '[aeiou]{2}', '$1', 'g') AS out"))
 def t03(spark, sf_dir):
-    return _each(spark, sf_dir, out=T.replace_regex(_C, "[aeiou]{2}", "$1"))
+    return _each(spark, sf_dir, out=T.replace_regex(_c(), "[aeiou]{2}", "$1"))
 
 
 @query("t04_count", _sql(P_SQL, "p", "((len(text) - len(replace(text, 'th', ''))) // 2)::INTEGER AS n_literal, len(regexp_extract_all(text, '[A-Z][a-z]+'))::INTEGER AS n_regex"))
 def t04(spark, sf_dir):
-    return _each(spark, sf_dir, n_literal=T.count_literal(_C, "th"), n_regex=T.count_regex(_C, "[A-Z][a-z]+"))
+    return _each(spark, sf_dir, n_literal=T.count_literal(_c(), "th"), n_regex=T.count_regex(_c(), "[A-Z][a-z]+"))
 
 
 @query("t06_case", _sql(P_SQL, "p", f"{upper_sql('text')} AS up, lower(text) AS low"))
 def t06(spark, sf_dir):
-    return _each(spark, sf_dir, up=F.upper(_C), low=F.lower(_C))
+    return _each(spark, sf_dir, up=F.upper(_c()), low=F.lower(_c()))
 
 
 @query("t07_title_case", _sql(P_SQL, "p", r"array_to_string(list_transform(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*|[^\p{L}]+'), lambda w: replace(upper(w[1]), 'ẞ', 'SS') || lower(w[2:])), '') AS out"))
 def t07(spark, sf_dir):
-    return _each(spark, sf_dir, out=T.title_case(_C))
+    return _each(spark, sf_dir, out=T.title_case(_c()))
 
 
 @query("t08_trims", _sql(D_SQL, "d", f"{trim_sql('text')} AS ends, {trim_sql(f"regexp_replace(text, '{WS}+', ' ', 'g')")} AS collapsed, {trim_sql(r"regexp_replace(text, '[\x{A0}\x{2007}\x{202F}]', ' ', 'g')")} AS hard"))
 def t08(spark, sf_dir):
-    return _each(spark, sf_dir, defects, ends=T.trim_ends(_C), collapsed=T.trim_collapse(_C), hard=T.trim_hard(_C))
+    return _each(spark, sf_dir, defects, ends=T.trim_ends(_c()), collapsed=T.trim_collapse(_c()), hard=T.trim_hard(_c()))
 
 
 @query("t11_affix", _sql(P_SQL, "p", "CASE WHEN len(text) > 0 THEN '[[T]]' || text || '[[/T]]' ELSE text END AS out"))
 def t11(spark, sf_dir):
-    return _each(spark, sf_dir, out=T.affix(_C, "[[T]]", "[[/T]]"))
+    return _each(spark, sf_dir, out=T.affix(_c(), "[[T]]", "[[/T]]"))
 
 
 @query("t12_collapse_keep_newlines", "SELECT doc_id, " + trim_sql(f"regexp_replace(replace(text, 'e ', 'e ' || chr(9) || chr(160)), '{WS.replace(chr(92) + 't-' + chr(92) + 'r', chr(92) + 't' + chr(92) + 'x0B-' + chr(92) + 'r')}+', ' ', 'g')") + " AS out FROM documents")
 def t12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.collapse_keep_newlines(F.replace(_C, F.lit("e "), F.lit("e \t" + chr(160)))).alias("out"))
+    return docs.select("doc_id", T.collapse_keep_newlines(F.replace(_c(), F.lit("e "), F.lit("e \t" + chr(160)))).alias("out"))
 
 
 @query("t13_transform_counts", f"WITH {P_SQL} SELECT doc_id, count(*) FILTER (text <> {upper_sql('text')} AND len(text) > 0) AS n_changed, count(*) AS n_paragraphs FROM p GROUP BY doc_id")
@@ -92,7 +94,7 @@ def t14(spark, sf_dir):
 
 @query("t16_shortened", _sql(P_SQL, "p", "CASE WHEN len(text) > 72 THEN text[:69] || '…' ELSE text END AS sample, CASE WHEN len(text) > 80 THEN text[:77] || '…' ELSE text END AS label"))
 def t16(spark, sf_dir):
-    return _each(spark, sf_dir, sample=T.shortened(_C, 72), label=T.shortened(_C, 80))
+    return _each(spark, sf_dir, sample=T.shortened(_c(), 72), label=T.shortened(_c(), 80))
 
 
 @query("t17_file_size", "SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 3) * 97 AS b FROM documents)")
@@ -107,7 +109,7 @@ def t18(spark, sf_dir):
 
 @query("t19_words", _sql(D_SQL, "d", f"len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> ''))::INTEGER AS n_words"))
 def t19(spark, sf_dir):
-    return _each(spark, sf_dir, defects, n_words=T.word_count(_C))
+    return _each(spark, sf_dir, defects, n_words=T.word_count(_c()))
 
 
 @query(
