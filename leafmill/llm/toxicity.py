@@ -25,7 +25,7 @@ from leafmill.llm.boosting import Boosted, isotonic
 from leafmill.llm.common import LEAD, LOWER, SPACE, buffers, crc_mod, per_doc, prefix_sums, runs, spans_hash, spans_of, sums_by_doc, table
 
 FIT_ROWS = 12_000
-LEXICON = 300  # words at most
+LEXICON = 1000  # words at most
 NEAR = 5
 
 #: Second-person words.
