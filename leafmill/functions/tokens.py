@@ -62,7 +62,7 @@ def clock(as_of: Column, lang: str = "pl") -> dict[str, Column]:
 
     def local(pattern: str) -> Column:
         locale = "en-US" if lang == "en" else "pl-PL"
-        return F.to_csv(F.struct(as_of.alias("t")), {"timestampFormat": pattern, "locale": locale, "quote": ""})
+        return F.to_csv(F.struct(as_of.alias("t")), {"timestampFormat": pattern, "locale": locale, "sep": chr(1)})
 
     date, time = (local("MMM d, yyyy"), local("h:mm a")) if lang == "en" else (local("d MMM yyyy"), local("HH:mm"))
     return {"date": date, "time": time, "datetime": F.concat_ws(" ", date, time), "day": local("EEEE")}
