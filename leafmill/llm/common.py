@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to NumPy in runs of about this many bytes, which bounds a worker's memory.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _own_folder: str | None = None
 

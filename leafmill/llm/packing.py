@@ -14,22 +14,22 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import buffers, cut, prefix_sums, runs, spans_hash, table, word_spans
+from leafmill.llm.common import LOWER, RUN_BYTES, SPACE, buffers, cut, prefix_sums, runs, spans_hash, table, word_spans
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Entries that a worker's caches hold before they start anew; results don't depend on it.
-CACHE = 400_000
+#: Units that a worker remembers before it starts anew; results don't depend on it.
+CACHE = 1_500_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -41,9 +41,20 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class ChunkEncoder:
-    """Ids of white-space separated chunks. The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its chunks; each distinct chunk and each distinct word in it is encoded once and remembered."""
+_B = np.arange(256)
+_LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
+_KIND = np.select([SPACE, _LETTER, (_B >= 48) & (_B <= 57)], [0, 1, 2], 3).astype(np.uint8)
+_ODD = 4
+
+
+class Encoder:
+    """Ids of whole texts by remembered units.
+
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks. A chunk of
+    plain characters (ASCII without apostrophe, Latin-1 letters) falls into runs of letters, single digits and runs of
+    other characters, found for a whole batch at once; any other chunk is one unit and goes through the full tokenizer.
+    Each distinct unit is encoded once a worker; later batches look its fingerprint up.
+    """
 
     def __init__(self, path: str):
         import os
@@ -52,66 +63,108 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.alphabet = _byte_alphabet()
-        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            got = self.words[w] = np.array([t.id for t in self.full.model.tokenize(w)], "<u4").tobytes()
-        return got
-
-    def chunk(self, raw: bytes) -> bytes:
-        got = self.chunks.get(raw)
-        if got is None:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            if b"<|" in raw:  # may hold the text of a special token
-                got = np.array(self.full.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            elif raw.isascii():
-                got = b"".join(map(self.word, (w.translate(self.alphabet) for w in self.ascii_words.findall(raw.decode().lower()))))
-            else:
-                clean = self.full.normalizer.normalize_str(raw.decode())
-                got = b"".join(self.word(w) for w, _ in self.full.pre_tokenizer.pre_tokenize_str(clean))
-            if len(raw) <= 64:
-                self.chunks[raw] = got
-        return got
+        self.alphabet = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
+
+    def units(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end, document and oddness of all units, and the bytes to encode (lower case where plain)."""
+        kind, low = _KIND[buf], LOWER[buf]
+        wide = np.flatnonzero(buf >= 128)
+        if len(wide):
+            lead = wide[buf[wide] == 0xC3]
+            lead = lead[lead + 1 < len(buf)]
+            second = buf[lead + 1]
+            plain = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+            lead, second = lead[plain], second[plain]
+            kind[wide] = _ODD
+            kind[lead] = kind[lead + 1] = 1
+            low[lead + 1] = second + (second <= 0x9E) * np.uint8(0x20)
+        kind[buf == 39] = _ODD
+        if len(buf) > 1:
+            kind[:-1][(buf[:-1] == 60) & (buf[1:] == 124)] = _ODD
+        start, end, doc = word_spans(buf, off)
+        odd = np.concatenate([[0], np.cumsum(kind == _ODD)])
+        odd = odd[end] > odd[start]
+        inside = np.zeros(len(buf) + 1, np.int8)
+        inside[start[odd]] = 1
+        inside[end[odd]] -= 1
+        inside = np.cumsum(inside[:-1]).astype(bool)
+        kind[inside] = _ODD
+        first = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begins, ends = np.concatenate([[True], first]), np.concatenate([first, [True]])
+        begins[start] = True
+        ends[end - 1] = True
+        filled = kind > 0
+        s, e = np.flatnonzero(begins & filled), np.flatnonzero(ends & filled) + 1
+        return s, e, doc[np.searchsorted(start, s, side="right") - 1], kind[s] == _ODD, np.where(inside, buf, low)
+
+    def encode(self, raw: bytes, odd: bool) -> list[int]:
+        if odd:
+            return self.full.encode(raw.decode(), add_special_tokens=False).ids
+        return [t.id for t in self.full.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
+
+    def ids(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the batch and the offsets of each document's."""
+        n = len(off) - 1
+        if not len(buf):
+            return np.empty(0, "<u4"), np.zeros(n + 1, np.int64)
+        start, end, doc, odd, source = self.units(buf, off)
+        h = spans_hash(prefix_sums(source), start, end) ^ odd.astype(np.uint64)
+        unit, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self.forget()
+        k = np.searchsorted(self.keys, unit)
+        known = np.zeros(len(unit), bool)
+        known[k < len(self.keys)] = self.keys[k[k < len(self.keys)]] == unit[k < len(self.keys)]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, f = source.tobytes(), first[new]
+            coded = [self.encode(raw[a:b], o) for a, b, o in zip(start[f].tolist(), end[f].tolist(), odd[f].tolist())]
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            at = len(self.pool) + np.concatenate([[0], np.cumsum(size)])[:-1]
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(coded), "<u4", int(size.sum()))])
+            place = k[new]
+            self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.keys, unit[new]), (self.at, at), (self.size, size)))
+            k = np.searchsorted(self.keys, unit)
+        k = k[back]
+        size = self.size[k]
+        stop = np.cumsum(size)
+        out = self.pool[np.repeat(self.at[k] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        return out, np.concatenate([[0], stop])[np.searchsorted(doc, np.arange(n + 1))]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str | None) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenised(path: str | None, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Arrow function (doc_id, text) -> pieces with the checksum of their ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = path
-        if where is None:
-            import public_tokenizers
-
-            where = public_tokenizers.path(VOCABULARY)
-        encoder = ChunkEncoder(where)
+        own = encoder(path)
         for whole in batches:
-            for batch in runs(whole):
-                yield pa.RecordBatch.from_pydict(_pieces(batch, encoder, capacity))
+            for batch in runs(whole, most=2 * RUN_BYTES):
+                yield pa.RecordBatch.from_pydict(_pieces(batch, own, capacity))
 
     return pieces
 
 
-def _pieces(batch: pa.RecordBatch, encoder: ChunkEncoder, capacity: int) -> dict:
-    buf, off = buffers(batch.column("text"))
-    raw = buf.tobytes()
-    start, end, doc = word_spans(buf, off)
-    _, first, back = np.unique(spans_hash(prefix_sums(buf), start, end), return_index=True, return_inverse=True)
-    coded = [encoder.chunk(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist())]
-    size = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
-    pool = np.frombuffer(b"".join(coded), "<u4")
-    at = np.concatenate([[0], np.cumsum(size)])[:-1]
-    n = size[back]
-    stop = np.cumsum(n)
-    ids = pool[np.repeat(at[back] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-    upto = np.concatenate([[0], stop])[np.searchsorted(doc, np.arange(batch.num_rows + 1))]
+def _pieces(batch: pa.RecordBatch, own: Encoder, capacity: int) -> dict:
+    ids, upto = own.ids(*buffers(batch.column("text")))
     tail = np.array([END_ID], "<u4").tobytes()
     rows: list[tuple[int, int, int, int]] = []
     place: list[int] = []
