@@ -26,8 +26,8 @@ ACCURACY = 10_000
 MEASURES = {
     "mean_word": ("word_chars / nullif(n_words, 0)", 1.0),
     "symbols": ("n_symbols / nullif(n_words, 0)", 0.1),
-    "dup_lines": ("n_dup_lines / n_lines", 0.1),
-    "repeats": ("n_repeat_words / nullif(n_words, 0)", 0.05),
+    "dup_lines": ("n_dup_lines / n_lines", 0.4),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", 0.25),
     "uppers": ("n_uppers / nullif(word_chars, 0)", 0.15),
     "marks": ("n_marks / nullif(n_words, 0)", 0.3),
 }
