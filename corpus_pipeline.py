@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import crc_mod, cut, table
-from leafmill.llm.language import identify
-from leafmill.llm.mixing import mix_sources
+from leafmill.llm.language import PRED, SCORE, identified
+from leafmill.llm.mixing import mix_rows
 from leafmill.llm.near_dup import near_duplicates
 from leafmill.llm.packing import pack
 from leafmill.llm.secrets import redact
@@ -16,32 +16,28 @@ from leafmill.llm.secrets import redact
 LEAST_LANGUAGE_SCORE = 0.3
 
 
-def _chosen(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """Rows of ``docs`` whose id ``verdicts`` (doc_id and what ``keep`` needs) lets through; rows without an id stay."""
-    ids = verdicts.filter(keep).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, crc_mod("doc_id", 4) != 2)
-    return _chosen(docs, found, f"lang_pred != 'und' and score >= {LEAST_LANGUAGE_SCORE}")
+    """Documents without a letter, or that no language claims, go."""
+    found = identified(docs, crc_mod("doc_id", 4) != 2)
+    return found.filter((F.col(PRED) != "und") & (F.col(SCORE) >= LEAST_LANGUAGE_SCORE)).drop(PRED, SCORE)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    one = docs.dropDuplicates(["doc_id", "text"]) if "doc_id" in docs.columns else docs
-    return _chosen(one, near_duplicates(docs), "kept")
+    """One document of each group stays, one row of each id; rows without an id take no part and stay."""
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    known = docs.filter(docs["doc_id"].isNotNull())
+    one = known.join(kept.hint("shuffle_hash"), known["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter(docs["doc_id"].isNull()))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
     return redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mix = mix_sources(docs).select(F.col("doc_id").alias("_mixed_id"), F.when(F.col("size") > 0, (F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).otherwise(1).alias("_times"))
-    mix = mix.groupBy("_mixed_id").agg(F.max("_times").alias("_times"))
-    taken = docs.join(mix.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_mixed_id")))
-    return taken.withColumn("_copy", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mix_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

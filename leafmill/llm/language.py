@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from leafmill.llm.common import crc_mod, table
 
@@ -157,6 +158,8 @@ def _presence(frequent: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the language and its score as two last columns; needs a ``text`` column."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = Alphabet(model.alphabet) if model else None
         for whole in batches:
@@ -176,16 +179,26 @@ def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         score[at] = s[np.arange(len(at)), best]
                         for i, b in zip(at, best):
                             lang[i] = model.langs[b]
-                names = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, PRED, SCORE])
 
     return predict
 
 
+PRED, SCORE = "_lang_pred", "_lang_score"
+
+
+def identified(docs: DataFrame, train: Column) -> DataFrame:
+    """``docs`` with the predicted language and its score (PRED, SCORE), learned from the rows that ``train`` names."""
+    model = fit(docs, train)
+    schema = StructType([*docs.schema.fields, StructField(PRED, StringType()), StructField(SCORE, DoubleType())])
+    return docs.mapInArrow(_predict(model), schema)
+
+
 def identify(docs: DataFrame, train: Column) -> DataFrame:
-    """doc_id, lang_pred, score of every row of ``docs``, learned from the rows that ``train`` names."""
+    """doc_id, lang_pred, score of every row of ``docs``."""
     model = fit(docs, train)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model), f"doc_id bigint, text string, {PRED} string, {SCORE} double")
+    return rows.select("doc_id", F.col(PRED).alias("lang_pred"), F.col(SCORE).alias("score"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

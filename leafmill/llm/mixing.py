@@ -106,13 +106,37 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return cut(spent.select("source", "times", "below"), "mixthresholds")
 
 
+def mix_plan(sized: DataFrame) -> DataFrame:
+    """One row per source: s1 (its name), source_size, target, times, below."""
+    goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixgoals")
+    found = goals.join(thresholds(sized, goals).withColumnRenamed("source", "s0"), F.col("source").eqNullSafe(F.col("s0")))
+    return cut(found.drop("s0").withColumnRenamed("source", "s1"), "mixplan")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", "source", word_count("text").alias("size"), hash60(F.col("doc_id")).alias("h")), "mixsizes")
+
+
+def times_taken(h: Column) -> Column:
+    """How often the mix takes a document whose row is joined to its source's plan."""
+    return F.least(F.lit(2), F.col("times") + (h < F.col("below")).cast("int"))
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: words that the mix takes of each document (0, 1, 2 times its size)."""
-    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), hash60(F.col("doc_id")).alias("h")), "mixsizes")
-    goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixgoals")
-    plan = goals.join(thresholds(sized, goals).withColumnRenamed("source", "s0"), F.col("source").eqNullSafe(F.col("s0"))).drop("s0").withColumnRenamed("source", "s1")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s1")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(F.lit(2), F.col("times") + (F.col("h") < F.col("below")).cast("int"))).alias("taken"))
+    sized = sizes(docs)
+    out = sized.join(mix_plan(sized), F.col("source").eqNullSafe(F.col("s1")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times_taken(F.col("h"))).alias("taken"))
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them; those without words are taken once."""
+    plan = mix_plan(sizes(docs))
+    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
+    more = F.least(F.lit(2), F.col("_mix_times") + (hash60(docs["doc_id"]) < F.col("_mix_below")).cast("int"))
+    taken = F.when(word_count(docs["text"]) > 0, more).otherwise(1)
+    rows = docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_s1"))).withColumn("_mix_taken", taken).filter("_mix_taken > 0")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_taken")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
