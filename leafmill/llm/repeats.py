@@ -85,13 +85,18 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(c.astype(np.int32)) for c in (at, low, high)), _signed(h), _signed(rank)], ["row", "at", "low", "high", "cls", "rank"])
 
 
+def _crowded(units: DataFrame, rank: str, name: str) -> DataFrame:
+    """Ranks that two or more units share. As a table of its own, so that a join with it can split a hot rank."""
+    return cut(units.groupBy(rank).agg(F.count("*").alias("n")).filter("n > 1").select(rank), f"{name}-{rank}")
+
+
 def rerank(units: DataFrame, member: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """One round over ``units`` (cls: the rank so far, rank: the new one, and the ``member`` columns).
 
     Returns the units whose new rank is repeated, and those that go on: in every class that holds a unit with a rank of
     its own, these units and one of each repeated rank. Units that are alone in their class are unique and leave.
     """
-    crowded = units.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").select("cls")
+    crowded = _crowded(units, "cls", name)
     units = cut(units.join(crowded, "cls", "left_semi"), f"{name}-units")
     ranks = cut(units.groupBy("cls", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*member)).alias("one")), f"{name}-ranks")
     open_ = ranks.filter("n = 1").select("cls").distinct()
@@ -140,8 +145,8 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             k = np.repeat(np.arange(len(n)), n)
             o = near[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
             start = off[:-1][k] + high[k] - o
-            rank = mix(spans_hash(sums, start, start + LENGTH) ^ mix(o.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(row[k]), *(pa.array(c.astype(np.int32)) for c in (at[k], o, o)), pa.array(cls[k]), _signed(rank)], ["row", "at", "low", "high", "cls", "rank"])
+            rank = mix(spans_hash(sums, start, start + LENGTH) ^ mix(cls[k].view(np.uint64) ^ o.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(row[k]), *(pa.array(c.astype(np.int32)) for c in (at[k], o, o)), _signed(rank)], ["row", "at", "low", "high", "rank"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -154,8 +159,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = cut(texts.join(places.hint("shuffle_hash"), "row").mapInArrow(_emit_contexts, "row bigint, at int, low int, high int, seed bigint, bytes binary"), "contexts")
     blocks, going = rerank(cut(contexts.mapInArrow(_emit_blocks, ANCHORS), "blocks"), member, "blocks")
     going = going.select("row", "at", F.col("low").alias("near"), F.col("high").alias("far"), "cls")
-    windows = contexts.join(going, ["row", "at"]).mapInArrow(_emit_windows, ANCHORS)
-    single, _ = rerank(windows, member, "windows")
+    windows = contexts.join(going, ["row", "at"]).mapInArrow(_emit_windows, "row bigint, at int, low int, high int, rank bigint")
+    windows = cut(windows, "windows")
+    single = windows.join(_crowded(windows, "rank", "windows"), "rank", "left_semi")
     found = whole.select(*member).unionByName(blocks.select(*member)).unionByName(single.select(*member))
     return found.select("row", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + LENGTH).alias("end"))
 
