@@ -5,7 +5,7 @@ near its hits are to second-person words, densities of second-person words, capi
 other punctuation, digits, letters joined by foreign characters, stretched letters, and length. The lexicon is part of
 the fit: words that are much more frequent in toxic training texts than in others. The fit takes about ``FIT_ROWS``
 labelled training rows, chosen by a hash of the id; executors reduce them to word counts and features before the
-driver sees them. Two thirds of them grow the trees, one third calibrates.
+driver sees them. All of them grow the trees; the calibration uses margins from trees that left the row's fold out.
 
 Defined cases: a null or empty text is scored by its (zero) features; without two labels to learn from every score is
 0; several labels of one id are averaged and rounded up at a half; extra columns are ignored.
@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.boosting import Boosted, isotonic
-from leafmill.llm.common import LEAD, LOWER, SPACE, buffers, crc_mod, per_doc, prefix_sums, runs, spans_hash, spans_of, sums_by_doc, table
+from leafmill.llm.common import LEAD, LOWER, SPACE, buffers, crc_mod, mix, per_doc, prefix_sums, runs, spans_hash, spans_of, sums_by_doc, table
 
 FIT_ROWS = 12_000
-LEXICON = 1000  # words at most
-NEAR = 5
+LEXICON = 1000  # words and stems at most
+FOLDS = 3
+NEAR, STEM = 5, 4
 
 #: Second-person words.
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer ti tú tus usted ustedes vosotros vuestra vuestro".split()
@@ -48,36 +49,49 @@ FEATURES = 18
 def _hashes(words: list[str]) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
-    raw = [w.encode() for w in words]
+    raw = [w.encode("utf-8", "surrogateescape") for w in words]
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    return spans_hash(prefix_sums(np.frombuffer(b"".join(raw), np.uint8)), off[:-1], off[1:])
+    sums = prefix_sums(np.frombuffer(b"".join(raw), np.uint8))
+    stem = np.array([len(r) == STEM + 1 and r.endswith(b"*") for r in raw])
+    return np.where(stem, stem_hash(sums, off[:-1]), spans_hash(sums, off[:-1], off[1:]))
 
 
 class Lexicon:
+    """Weights of words and of stems (the first STEM bytes of longer words; spelled with a final ``*``)."""
+
     def __init__(self, words: list[str], weights: list[float]):
         h = _hashes(words)
         order = np.argsort(h)
         self.hash, self.weight = h[order], np.array(weights, np.float64)[order]
         self.you = np.sort(_hashes(SECOND_PERSON))
 
-    def weights(self, h: np.ndarray) -> np.ndarray:
-        """Weight of each word, 0 for those outside."""
+    def _of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hash):
             return np.zeros(len(h))
         k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[k] == h, self.weight[k], 0.0)
 
+    def weights(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Weight of each word, by itself or by its stem, 0 for those outside."""
+        return np.maximum(self._of(spans_hash(sums, start, end)), np.where(end - start > STEM, self._of(stem_hash(sums, start)), 0.0))
+
     def second(self, h: np.ndarray) -> np.ndarray:
         k = np.minimum(np.searchsorted(self.you, h), len(self.you) - 1)
         return self.you[k] == h
 
 
+def stem_hash(sums: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Another fingerprint than a word's, so that a stem is never taken for the word that is spelled like it."""
+    return mix(spans_hash(sums, start, np.minimum(start + STEM, len(sums) - 1)) ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     n = len(off) - 1
     low = LOWER[buf]
     start, end, doc = spans_of(_ALNUM[buf], off)
-    h = spans_hash(prefix_sums(low), start, end)
-    weight, you = lexicon.weights(h), lexicon.second(h)
+    sums = prefix_sums(low)
+    h = spans_hash(sums, start, end)
+    weight, you = lexicon.weights(sums, start, end), lexicon.second(h)
     hit = weight > 0
     # words within NEAR of a second-person word of the same document
     at = np.flatnonzero(you)
@@ -91,7 +105,7 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     leet = _LEET[buf]
     ls, le, ld = spans_of(_LEET_ALPHA[buf], off)
     odd = sums_between(_DIGIT[buf] | _MARK[buf], ls, le) > 0  # only spellings that needed undoing
-    masked = (lexicon.weights(spans_hash(prefix_sums(leet), ls, le)) > 0) & odd
+    masked = (lexicon.weights(prefix_sums(leet), ls, le) > 0) & odd
     # a foreign character between two letters, and a letter three times in a row
     inner = np.zeros(len(buf), bool)
     stretched = np.zeros(len(buf), bool)
@@ -144,21 +158,24 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, most
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word of a batch, in how many texts of either label it occurs."""
+    """For each word and stem of a batch, as hexadecimal bytes, in how many texts of either label it occurs."""
     for whole in batches:
         for batch in runs(whole):
             buf, off = buffers(batch.column("text"))
             low = LOWER[buf]
             start, end, doc = spans_of(_ALNUM[buf], off)
-            h = spans_hash(prefix_sums(low), start, end)
-            y = batch.column("y").to_numpy()
-            _, first = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1, return_index=True) if len(h) else (None, np.empty(0, np.int64))
-            word, at, back = np.unique(h[first], return_index=True, return_inverse=True)
-            toxic = np.bincount(back, y[doc[first]], len(word)).astype(np.int64)
-            total = np.bincount(back, minlength=len(word))
-            raw = low.tobytes()
-            spell = [raw[a:b].decode(errors="replace") for a, b in zip(start[first[at]].tolist(), end[first[at]].tolist())]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(spell, pa.string()), "t": pa.array(toxic), "c": pa.array(total - toxic)})
+            sums, raw, y = prefix_sums(low), low.tobytes(), batch.column("y").to_numpy()
+            long = end - start > STEM
+            for h, s, e, d, star in (
+                (spans_hash(sums, start, end), start, end, doc, b""),
+                (stem_hash(sums, start[long]), start[long], start[long] + STEM, doc[long], b"*"),
+            ):
+                _, first = np.unique(np.stack([h, d.astype(np.uint64)]), axis=1, return_index=True) if len(h) else (None, np.empty(0, np.int64))
+                word, at, back = np.unique(h[first], return_index=True, return_inverse=True)
+                toxic = np.bincount(back, y[d[first]], len(word)).astype(np.int64)
+                total = np.bincount(back, minlength=len(word))
+                spell = [(raw[a:b] + star).hex() for a, b in zip(s[first[at]].tolist(), e[first[at]].tolist())]
+                yield pa.RecordBatch.from_pydict({"word": pa.array(spell, pa.string()), "t": pa.array(toxic), "c": pa.array(total - toxic)})
 
 
 class Model:
@@ -176,7 +193,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     words = counts.withColumn("w", odds).filter((F.col("t") >= max(3, 0.004 * n_toxic)) & (F.col("w") > 1.2))
     got = words.orderBy(F.desc("w"), "word").limit(LEXICON).collect()
-    return Lexicon([r["word"] for r in got], [r["w"] for r in got])
+    return Lexicon([bytes.fromhex(r["word"]).decode("utf-8", "surrogateescape") for r in got], [r["w"] for r in got])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
@@ -196,12 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     got = rows.mapInArrow(emit, "doc_id bigint, y int, x array<double>").collect()  # bounded by FIT_ROWS
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
-    held = np.array([zlib.crc32(f"fold {r['doc_id']}".encode()) % 3 == 0 for r in got])
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held[:] = False
-    trees = Boosted().fit(x[~held], y[~held])
-    part = held if held.any() else ~held
-    return Model(lexicon, trees, *isotonic(trees.margin(x[part]), y[part]))
+    fold = np.array([zlib.crc32(f"fold {r['doc_id']}".encode()) % FOLDS for r in got])
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest = fold != k
+        fits = Boosted().fit(x[rest], y[rest]) if len(set(y[rest])) == 2 else Boosted().fit(x, y)
+        margin[~rest] = fits.margin(x[~rest])
+    return Model(lexicon, Boosted().fit(x, y), *isotonic(margin, y))
 
 
 def _score(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
