@@ -12,13 +12,14 @@ from leafmill.plans.base import P_SQL, T_SQL, hits_sql, paras, query, table
 from leafmill.plans.base import templates as customer_templates
 
 AS_OF = datetime(2026, 6, 30, 14, 5)
-def _c():
-    return F.col("text")
-
 _PLACE = r"\{\{\s*([a-zA-Z0-9_.-]+)\s*\}\}"
 _TRIG = r"!([a-zA-Z][a-zA-Z0-9_-]*)\b"
 
 
+def _c():
+    return F.col("text")
+
+
 def library(spark, sf_dir):
     """A snippet library from the nations: n0, n1, ... for even keys, and two fixed names."""
     n = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0")
@@ -64,11 +65,11 @@ def k03(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", K.placeholder_name(place).alias("placeholder"), K.snippet_name(snip).alias("snippet"), K.placeholder_token(n).alias("token"), K.snippet_trigger(n).alias("trigger"), K.field_label(F.replace(n, F.lit("#"), F.lit("_"))).alias("label"))
 
 
-@query("k05_dynamic_bodies", "SELECT n_nationkey, 'Dnia 30 cze 2026 o 14:05, wtorek ' || n_name || '; ' AS pl, '30 cze 2026 14:05 ' || n_name AS both FROM nation")
+@query("k05_dynamic_bodies", "SELECT c_custkey, 'Dnia 30 cze 2026 o 14:05, wtorek ' || c_name || '; ' AS pl, '30 cze 2026 14:05 ' || c_name AS both FROM customer")
 def k05(spark, sf_dir):
-    n = F.col("n_name")
+    n = F.col("c_name")
     body, both = F.concat(F.lit("Dnia {date} o {TIME}, {day} "), n, F.lit("; {cursor}")), F.concat(F.lit("{datetime} "), n)
-    return table(spark, sf_dir, "nation").select("n_nationkey", K.resolve_body(body, AS_OF, "pl").alias("pl"), K.resolve_body(both, AS_OF, "pl").alias("both"))
+    return table(spark, sf_dir, "customer").select("c_custkey", K.resolve_body(body, AS_OF, "pl").alias("pl"), K.resolve_body(both, AS_OF, "pl").alias("both"))
 
 
 def _values():
@@ -140,18 +141,27 @@ def j03(spark, sf_dir):
     return templates.mail_merge(template, values.withColumn("template_id", F.lit("order"))).select("record_id", "new_text", "n_filled")
 
 
-@query("k11_upsert", f"WITH {L_SQL}, new AS (SELECT 'n' || n_nationkey AS name, 'new ' || n_name AS body, 20::BIGINT AS updated_at FROM nation WHERE n_nationkey % 3 = 0), u AS (SELECT *, 0 AS k FROM lib UNION ALL SELECT *, 1 FROM new) SELECT name, body, updated_at FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated_at DESC, k DESC, body) = 1")
+_OWN_SQL = "lib AS (SELECT 'c' || c_custkey AS name, c_name AS body, (c_custkey % 40)::BIGINT AS updated_at FROM customer)"
+
+
+def customer_library(spark, sf_dir):
+    """One snippet for each customer."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key.cast("string")).alias("name"), F.col("c_name").alias("body"), (key % 40).cast("bigint").alias("updated_at"))
+
+
+@query("k11_upsert", f"WITH {_OWN_SQL}, new AS (SELECT 'c' || o_custkey AS name, 'order ' || o_orderkey AS body, 20::BIGINT AS updated_at FROM orders), u AS (SELECT *, 0 AS k FROM lib UNION ALL SELECT *, 1 FROM new) SELECT name, body, updated_at FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated_at DESC, k DESC, body) = 1")
 def k11(spark, sf_dir):
     """Newest row by name."""
-    n = table(spark, sf_dir, "nation").filter("n_nationkey % 3 = 0")
-    new = n.select(F.concat(F.lit("!n"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("new "), F.col("n_name")).alias("body"), F.lit(20).cast("bigint").alias("updated_at"))
-    return templates.upsert(library(spark, sf_dir), new)
+    o = table(spark, sf_dir, "orders")
+    new = o.select(F.concat(F.lit("!c"), F.col("o_custkey").cast("string")).alias("name"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("body"), F.lit(20).cast("bigint").alias("updated_at"))
+    return templates.upsert(customer_library(spark, sf_dir), new)
 
 
-@query("u03_delete", f"WITH {L_SQL} SELECT * FROM lib WHERE name NOT IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 4 = 0)")
+@query("u03_delete", f"WITH {_OWN_SQL} SELECT * FROM lib WHERE name NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
 def u03(spark, sf_dir):
-    gone = table(spark, sf_dir, "nation").filter("n_nationkey % 4 = 0").select(F.concat(F.lit("!n"), F.col("n_nationkey").cast("string")).alias("name"))
-    return templates.delete(library(spark, sf_dir), gone)
+    gone = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.concat(F.lit("!c"), F.col("o_custkey").cast("string")).alias("name"))
+    return templates.delete(customer_library(spark, sf_dir), gone)
 
 
 @query("k12_expand_then_fill", f"WITH {T_SQL}, {L_SQL} SELECT doc_id, replace(regexp_replace(regexp_replace(text, '!n[0-9]+', coalesce((SELECT body FROM lib WHERE name = 'n' || c_nationkey), '!n' || c_nationkey)), '\\{{\\{{ c_mktsegment \\}}\\}}', c_mktsegment), '{{{{c_name}}}}', c_name) AS new_text FROM t")
@@ -174,11 +184,12 @@ def o01(spark, sf_dir):
     return names.select(F.row_number().over(Window.orderBy(F.collate(F.col("name"), "pl"), "name")).alias("place"), "name")
 
 
-@query("o02_by_length", "SELECT string_agg(n_name, ' ' ORDER BY len(n_name) DESC, n_nationkey) AS names, n_regionkey FROM nation GROUP BY n_regionkey")
+@query("o02_by_length", "SELECT string_agg(turn, ' ' ORDER BY len(text) DESC, turn) AS turns, conv_id FROM conversations GROUP BY conv_id")
 def o02(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    order = F.array_sort(F.collect_list(F.struct((-F.length("n_name")).alias("l"), F.col("n_nationkey").alias("ord"), "n_name")))
-    return n.groupBy("n_regionkey").agg(F.array_join(F.transform(order, lambda x: x["n_name"]), " ").alias("names"))
+    """Turns of each conversation, longest first, stable."""
+    c = table(spark, sf_dir, "conversations")
+    order = F.array_sort(F.collect_list(F.struct((-F.length("text")).alias("l"), "turn")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(order, lambda x: x["turn"].cast("string")), " ").alias("turns"))
 
 
 @query("t05_find_all", f"WITH {P_SQL}, h AS (SELECT doc_id, para_idx, s AS start, len(m)::INTEGER AS length, m AS sample FROM {hits_sql('p', '(?i)the')}) SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, start) - 1)::INTEGER AS match_no FROM h")

@@ -10,11 +10,11 @@ from leafmill.functions.patterns import WS
 from leafmill.operators import linting, paragraphs
 from leafmill.plans.base import D_SQL, P_SQL, defects, paras, query, table, trim_sql, upper_sql
 
+
 def _c():
     return F.col("text")
 
 
-
 def _each(spark, sf_dir, source=paras, **columns):
     return source(spark, sf_dir).select("doc_id", "para_idx", *(c.alias(n) for n, c in columns.items()))
 
