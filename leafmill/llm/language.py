@@ -7,7 +7,8 @@ features, kernel ridge regression against one 0/1 target per language gives the
 matrix, so a batch is scored by two matrix products: presence x landmarks, kernel x weights.
 
 The fit takes at most ``PER_LANGUAGE`` texts a language, chosen by a hash of the id, of which ``LANDMARKS`` are
-landmarks; executors reduce each to its presence bits before the driver sees it. Prediction reads whole texts.
+landmarks, of the 1000 most frequent languages; executors reduce each text to its presence bits before the driver sees
+it. Prediction reads whole texts.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0; null languages are not learned from; with
 no language to learn every document gets ``und``; repeated rows give repeated results; extra columns are ignored.
