@@ -19,13 +19,13 @@ def texts(df):
 
 @pytest.fixture()
 def sample(spark):
-    lines = ["Documents Workbench — sample", "To jest przykładowy dokument testowy dla Documents Workbench PWA.", "Szukaj: {{placeholder}} — pole do wypełnienia w przyszłości."]
+    lines = ["Sample document — one", "To jest przykładowy dokument testowy dla programu.", "Szukaj: {{placeholder}} — pole do wypełnienia w przyszłości."]
     return spark.createDataFrame([("a", i, t, "Heading1" if i == 0 else None) for i, t in enumerate(lines)], "doc_id string, para_idx int, text string, style string")
 
 
 def test_sample_document(sample):
     got = structure.statistics(sample).first()
-    assert (got["paragraphs"], got["chars"], got["words"], got["tables"], got["headings"]) == (3, 153, 21, 0, 3)
+    assert (got["paragraphs"], got["chars"], got["words"], got["tables"], got["headings"]) == (3, 131, 19, 0, 3)
     assert templates.field_summary(sample).first()["name"] == "placeholder"
     done = search.replace_some(sample, "{{placeholder}}", "WYPELNIONE", order="para_idx")
     assert done.agg(F.sum("n_replaced")).first()[0] == 1
