@@ -10,10 +10,17 @@ In a bucket every document is paired with the bucket's hub, its first member by
 So the documents of a large group share a few hubs over all tables. Four bits of each minhash travel along: of 48, a
 pair of similarity 0.75 has 36.8 alike on average (deviation 2.9), and a pair with fewer than ``ALIKE`` is no candidate
 (a true one is lost with probability 5e-6). Pairs are confirmed on the full shingle sets. First each document's most
-frequent hub is tried, which settles groups of copies of any size; then only pairs that still join two components. At
-last, buckets that still hold several components draw ``MORE_HUBS`` further hubs each, which meet the members of other
-components. Components come from alternating large-star and small-star steps. All steps are linear in the number of
-bucket rows.
+frequent hub is tried, which settles groups of copies of any size; then only pairs that still join two components.
+Buckets that still hold several components draw ``MORE_HUBS`` further hubs each, which meet the members of other
+components. These steps are linear in the number of bucket rows, but leave pairs of which neither is a hub. So the
+documents of buckets that hold several components even then are joined exactly (:func:`rare_pairs`): a pair that shares
+a bucket is in one component or has been found. Components come from alternating large-star and small-star steps.
+
+The exact join orders shingles from rare to frequent, those that a single component holds before all others, as no link
+rests on them. The first shingle that two linked documents share leaves each at least the overlap that their sizes ask
+for, so it lies in the first quarter of the larger one and in the first seventh of the smaller one. Documents of a
+template differ by more than that, so the template's own shingles are in no such seventh and form no pair. Pairs grow
+with the square of a group only if its documents agree in their rarest shingles without being linked.
 
 Defined cases: documents without words have an empty set, are linked with nothing and kept; a null ``doc_id`` takes no
 part (component null, kept); repeated ids are one document whose set is the larger one's; other columns are ignored.
@@ -190,10 +197,45 @@ def _alike() -> Column:
 
 def _full_sets(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """doc_id, shingles of the documents of ``pairs`` alone."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """doc_id, shingles of the documents of ``nodes`` (doc_id, each once)."""
     return cut(docs.join(nodes.hint("shuffle_hash"), "doc_id").mapInArrow(_emit_shingles, "doc_id bigint, shingles array<bigint>"), name)
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are of several components."""
+    several = members.groupBy("key").agg(F.min("doc_id_component").alias("x"), F.max("doc_id_component").alias("y")).filter("x != y").select("key")
+    return cut(members.join(cut(several, "several-keys"), "key", "left_semi"), "several")
+
+
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``sets`` (doc_id, component, shingles) that may be linked and are of different components."""
+    rows = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    held = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
+    ordered = rows.join(held.filter("x != y").select("g", "c"), "g").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("s"))
+    # left: how many shingles of the document a link that begins at this one can still rest on
+    places = ordered.select("doc_id", "component", "n", F.size("s").alias("size"), F.posexplode("s").alias("i", "e"))
+    places = places.select("doc_id", "component", "n", F.col("e.g").alias("g"), (F.col("size") - F.col("i")).alias("left")).filter(F.col("left") * 100 >= F.col("n") * NEED)
+    places = cut(places.withColumn("short", F.col("left") * (100 + NEED) >= F.col("n") * (2 * NEED)), "places")
+    # per shingle, only its largest component's documents never meet each other at all
+    counts = places.groupBy("g", "component").agg(F.count("*").alias("c"), F.max("short").alias("short"))
+    large = counts.groupBy("g").agg(F.max(F.struct("c", "component"))["component"].alias("large"), F.max("short").alias("short"), F.count("*").alias("k"))
+    places = cut(places.join(large.filter("short and k > 1").select("g", "large"), "g").withColumn("other", F.col("component") != F.col("large")), "rare")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        need = (F.col("x.n") + F.col("y.n")) * NEED
+        smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+        reach = (F.least("x.left", "y.left") * (100 + NEED) >= need) & (F.col("x.component") != F.col("y.component"))
+        return x.join(y, (F.col("x.g") == F.col("y.g")) & smaller & reach).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b"))
+
+    first = places.filter("short")
+    return met(first.filter("other"), places).unionByName(met(first.filter("not other"), places.filter("other"))).distinct()
+
+
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes (doc_id, n_shingles, rep: smallest id with the same set) and the component of each rep."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -221,16 +263,20 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = _labelled(_labelled(pairs.select("a", "b"), labels, "a"), labels, "b").filter("a_component != b_component").select("a", "b")
     labels = absorbed(labels, _confirmed(rest.join(best, ["a", "b"], "left_anti"), whole, "links-rest"))
     # buckets that still hold several components
-    members = _labelled(keys.join(hub.select("key"), "key", "left_semi"), labels, "doc_id")
-    several = members.groupBy("key").agg(F.min("doc_id_component").alias("x"), F.max("doc_id_component").alias("y")).filter("x != y").select("key")
-    members = cut(members.join(cut(several, "several-keys"), "key", "left_semi"), "several")
+    members = _several(_labelled(keys.join(hub.select("key"), "key", "left_semi"), labels, "doc_id"))
     hubs = [_hubs(members, "doc_id_component", salt=f"more {i}") for i in range(MORE_HUBS)]
     hubs = cut(reduce(DataFrame.unionByName, hubs).distinct(), "more-hubs")
     more = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("doc_id_component") != F.col("hub_doc_id_component")) & _alike())
     more = more.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
     tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = cut(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    return classes, absorbed(labels, _confirmed(more, _full_sets(docs, more, "sets-more"), "links-more"))
+    labels = absorbed(labels, _confirmed(more, _full_sets(docs, more, "sets-more"), "links-more"))
+    # every pair of components that a bucket holds even then
+    nodes = _several(_labelled(members.select("key", "doc_id"), labels, "doc_id")).select("doc_id", F.col("doc_id_component").alias("component")).distinct()
+    nodes = cut(nodes, "unmet")
+    whole = _sets_of(docs, nodes.select("doc_id"), "sets-unmet")
+    exact = cut(rare_pairs(whole.join(nodes, "doc_id")).join(tried.unionByName(more), ["a", "b"], "left_anti"), "exact-pairs")
+    return classes, absorbed(labels, _confirmed(exact, whole, "links-exact"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -123,6 +123,33 @@ def test_near_duplicates_in_groups(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == cases.linked(rows)
 
 
+def template_family(size=1200, planted=60):
+    """Documents of one template, 0.72 alike, of which every planted pair is 0.75 to 0.80 alike, and these pairs."""
+    texts, links = [], []
+    core = " ".join(f"core{j}" for j in range(204))
+
+    def own(name, n):
+        return " ".join(f"{name}x{j}" for j in range(n))
+
+    for i in range(size - 2 * planted):
+        texts.append(f"{core} {own(f'd{i}', 39)}")
+    for i in range(planted):
+        shared = own(f"p{i}", 6 + i % 8)
+        for side in "ab":
+            links.append(len(texts))
+            texts.append(f"{core} {shared} {own(f'p{i}{side}', 33 - i % 8)}")
+    order = np.random.default_rng(5).permutation(size)
+    rows = sorted((int(order[k]), t) for k, t in enumerate(texts))
+    return rows, [tuple(sorted((int(order[a]), int(order[b])))) for a, b in zip(links[::2], links[1::2])]
+
+
+def test_near_duplicates_in_a_template(spark):
+    """Links between members of a large family of merely similar documents, neither of which is a hub."""
+    rows, links = template_family()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["component_id"], r["doc_id"]) for r in got if not r["kept"]) == sorted(links)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)] + [(200, 201 + i) for i in range(50)]
     got = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
