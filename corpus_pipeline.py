@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import crc_mod, cut, table
-from leafmill.llm.language import PRED, SCORE, identified
+from leafmill.llm.language import PRED, SCORE, SHARE, identified
 from leafmill.llm.mixing import mix_rows
 from leafmill.llm.near_dup import near_duplicates
 from leafmill.llm.packing import pack
 from leafmill.llm.secrets import redact
 
-#: A document goes if no language claims it by at least this much.
+#: A document goes if no language claims it by at least this much. The score of a short text is small in any language,
+#: so it stays also if its score is this share of what its length allows.
 LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SHARE = 0.9
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that no language claims, go."""
     found = identified(docs, crc_mod("doc_id", 4) != 2)
-    return found.filter((F.col(PRED) != "und") & (F.col(SCORE) >= LEAST_LANGUAGE_SCORE)).drop(PRED, SCORE)
+    claimed = (F.col(SCORE) >= LEAST_LANGUAGE_SCORE) | (F.col(SHARE) >= LEAST_LANGUAGE_SHARE)
+    return found.filter((F.col(PRED) != "und") & claimed).drop(PRED, SCORE, SHARE)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

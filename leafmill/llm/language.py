@@ -102,6 +102,10 @@ class Model:
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
         return np.clip(self.kernel(grams) @ self.weights, 0, 1)
 
+    def possible(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Largest kernel with a landmark of middling size that texts of so many n-grams can have; short ones have little."""
+        return np.sqrt(np.minimum(1, np.array([len(g) for g in grams]) / np.median(self.sizes)))
+
 
 def fit(docs: DataFrame, train: Column) -> Model | None:
     """Nyström kernel ridge regression on the bounded sample; None if there is nothing to learn from."""
@@ -159,14 +163,15 @@ def _presence(frequent: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the language and its score as two last columns; needs a ``text`` column."""
+    """Adds the language, its score and the score's share of what the length allows as three last columns; needs a
+    ``text`` column."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = Alphabet(model.alphabet) if model else None
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+                lang, score, share = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 if alphabet:
                     grams, at = [], []
                     for i, t in enumerate(batch.column("text")):
@@ -178,27 +183,28 @@ def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         s = model.scores(grams)
                         best = s.argmax(axis=1)
                         score[at] = s[np.arange(len(at)), best]
+                        share[at] = score[at] / model.possible(grams)
                         for i, b in zip(at, best):
                             lang[i] = model.langs[b]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, PRED, SCORE])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(share)], [*batch.schema.names, PRED, SCORE, SHARE])
 
     return predict
 
 
-PRED, SCORE = "_lang_pred", "_lang_score"
+PRED, SCORE, SHARE = "_lang_pred", "_lang_score", "_lang_share"
 
 
 def identified(docs: DataFrame, train: Column) -> DataFrame:
-    """``docs`` with the predicted language and its score (PRED, SCORE), learned from the rows that ``train`` names."""
+    """``docs`` with the predicted language, its score and share (PRED, SCORE, SHARE), learned from the rows that ``train`` names."""
     model = fit(docs, train)
-    schema = StructType([*docs.schema.fields, StructField(PRED, StringType()), StructField(SCORE, DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(PRED, StringType()), StructField(SCORE, DoubleType()), StructField(SHARE, DoubleType())])
     return docs.mapInArrow(_predict(model), schema)
 
 
 def identify(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs``."""
     model = fit(docs, train)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model), f"doc_id bigint, text string, {PRED} string, {SCORE} double")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model), f"doc_id bigint, text string, {PRED} string, {SCORE} double, {SHARE} double")
     return rows.select("doc_id", F.col(PRED).alias("lang_pred"), F.col(SCORE).alias("score"))
 
 

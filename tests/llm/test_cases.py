@@ -243,3 +243,21 @@ def test_stages(stage, spark, docs, none, sf_dir):
         assert got.columns == docs.columns
     if stage in ("near_duplicates", "secrets"):
         assert got.filter("doc_id is null").count() == 1
+
+
+def test_short_texts_keep_their_language(spark):
+    """Clean texts of a few words stay; long texts of no language go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = [r for r in docs.filter("text is not null and lang is not null").orderBy("doc_id").collect() if len(r["text"].split()) > 50][:100]
+    rows, names = [], docs.columns
+    for k in (1, 2, 3):
+        for i, r in enumerate(long):
+            rows.append(tuple({**r.asDict(), "doc_id": 10**6 * k + i, "text": " ".join(r["text"].split()[:k])}[c] for c in names))
+    rng = np.random.default_rng(4)
+    for i in range(50):
+        rows.append(tuple({**long[0].asDict(), "doc_id": 10**7 + i, "lang": None, "text": "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400))}[c] for c in names))
+    more = spark.createDataFrame(rows, docs.schema).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(more), "").collect()}
+    short = [r[names.index("doc_id")] for r in rows if r[names.index("doc_id")] < 10**7]
+    assert sum(d in kept for d in short) >= 0.99 * len(short)
+    assert not any(10**7 + i in kept for i in range(50))
