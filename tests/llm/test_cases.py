@@ -150,6 +150,14 @@ def test_near_duplicates_in_a_template(spark):
     assert sorted((r["component_id"], r["doc_id"]) for r in got if not r["kept"]) == sorted(links)
 
 
+def test_near_dup_stage_in_a_template(spark):
+    """The pipeline keeps one document of each linked pair, and all others of the family."""
+    rows, links = template_family(900, 45)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect()}
+    assert {i for i, _ in rows} - got == {b for _, b in links}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)] + [(200, 201 + i) for i in range(50)]
     got = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
