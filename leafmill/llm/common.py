@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse; where driver and
+    executors are one process (local mode), a temporary one."""
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        found = spark.conf.get("spark.sql.warehouse.dir")
     if found:
         return found.rstrip("/")
     if _own_folder is None:
@@ -49,6 +52,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, lengthened until no column's name starts with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id, so such rows are never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
