@@ -6,12 +6,16 @@ training sample, everything that is no letter to one gap symbol. A Nyström map
 features, kernel ridge regression against one 0/1 target per language gives the weights, and both fold into a single
 matrix, so a batch is scored by two matrix products: presence x landmarks, kernel x weights.
 
-The fit takes at most ``PER_LANGUAGE`` texts a language, chosen by a hash of the id, of which ``LANDMARKS`` are
-landmarks, of the 1000 most frequent languages; executors reduce each text to its presence bits before the driver sees
-it. Prediction reads whole texts.
+The fit takes about ``PER_LANGUAGE`` different texts a language, chosen by a hash of the text, of which ``LANDMARKS``
+are landmarks. With so many languages that these would be over ``TEXTS`` texts or ``ALL_LANDMARKS`` landmarks in all,
+each language gets its even share of them (at least one landmark); none is left out. Executors reduce each text to its
+presence bits before the driver sees it. The alphabet is a parameter (``SYMBOLS``): letters beyond the most frequent
+``SYMBOLS`` - 9 share eight symbols by code block.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0; null languages are not learned from; with
-no language to learn every document gets ``und``; repeated rows give repeated results; extra columns are ignored.
+no language to learn, as in an empty table, every document gets ``und``; of languages with equal scores the first in
+code point order is named; rows that repeat a text and language are learned once and predicted each; texts are read
+whole, however long; rows without an id are learned from and predicted like others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from leafmill.llm.common import crc_mod, table
+from leafmill.llm.common import crc_mod, cut, table
 
 N, SYMBOLS = 3, 64
 PER_LANGUAGE, LANDMARKS = 400, 32
+TEXTS, ALL_LANDMARKS = 40_000, 1024
 RIDGE = 1e-3
 BATCH = 256
 
@@ -77,13 +82,15 @@ class Alphabet:
         return np.flatnonzero(self.seen)
 
 
-def sample(docs: DataFrame, label: str, train: Column, most: int) -> DataFrame:
-    """About ``most`` labelled training rows of each label (all, if fewer), chosen by a hash of the id."""
-    pool = docs.filter(train & F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = pool.groupBy(F.col(label).alias("l0")).agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = pool.join(F.broadcast(counts.orderBy(F.desc("n"), "l0").limit(1000)), F.col(label) == F.col("l0"))
-    return picked.filter(draw < F.lit(float(most)) / F.col("n")).drop("l0", "n")
+def sample(docs: DataFrame, train: Column, most: int = PER_LANGUAGE, texts: int = TEXTS) -> DataFrame:
+    """lang, h, text: about ``most`` different training texts of each language (all, if fewer), chosen by a hash of the
+    text, and about ``texts`` in all. Repeated texts of a language are one row, so no copy enters the bound twice."""
+    pool = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text", F.lit("sample")).alias("h"), "text")
+    counts = cut(pool.groupBy(F.col("lang").alias("l0")).agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    each = min(float(most), texts / max(1, counts.count()))
+    draw = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = pool.join(counts, F.col("lang") == F.col("l0")).filter(draw < F.lit(each) / F.col("n"))
+    return picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 class Model:
@@ -109,19 +116,20 @@ class Model:
 
 def fit(docs: DataFrame, train: Column) -> Model | None:
     """Nyström kernel ridge regression on the bounded sample; None if there is nothing to learn from."""
-    rows = sample(docs.select("doc_id", "text", "lang"), "lang", train, PER_LANGUAGE)
+    rows = cut(sample(docs.select("doc_id", "text", "lang"), train), "language-sample")
     counted = rows.mapInArrow(_letter_counts, "letter bigint, n bigint").groupBy("letter").agg(F.sum("n").alias("n"))
     frequent = [r["letter"] for r in counted.orderBy(F.desc("n"), "letter").limit(SYMBOLS - 9).collect()]
     if not frequent:
         return None
-    got = rows.mapInArrow(_presence(frequent), "doc_id string, lang string, grams array<int>").collect()  # bounded by the sample
-    got.sort(key=lambda r: (r["lang"], str(r["doc_id"])))
+    got = rows.mapInArrow(_presence(frequent), "h bigint, lang string, grams array<int>").collect()  # bounded by the sample
+    got.sort(key=lambda r: (r["lang"], r["h"]))
     langs = sorted({r["lang"] for r in got})
+    most = max(1, min(LANDMARKS, ALL_LANDMARKS // len(langs)))
     grams = [np.array(r["grams"], np.int64) for r in got]
     taken: Counter = Counter()
     first = []
     for i, r in enumerate(got):
-        if taken[r["lang"]] < LANDMARKS:
+        if taken[r["lang"]] < most:
             taken[r["lang"]] += 1
             first.append(i)
     vocabulary = np.unique(np.concatenate([grams[i] for i in first]))
@@ -157,12 +165,12 @@ def _presence(frequent: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         alphabet = Alphabet(frequent)
         for batch in batches:
             grams = [alphabet.presence(t).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(map(str, batch.column("doc_id").to_pylist()), pa.string()), "lang": batch.column("lang"), "grams": pa.array(grams, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "lang": batch.column("lang"), "grams": pa.array(grams, pa.list_(pa.int32()))})
 
     return emit
 
 
-def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(model: Model | None, names: tuple[str, str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the language, its score and the score's share of what the length allows as three last columns; needs a
     ``text`` column."""
 
@@ -186,26 +194,25 @@ def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         share[at] = score[at] / model.possible(grams)
                         for i, b in zip(at, best):
                             lang[i] = model.langs[b]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(share)], [*batch.schema.names, PRED, SCORE, SHARE])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(share)], [*batch.schema.names, *names])
 
     return predict
 
 
-PRED, SCORE, SHARE = "_lang_pred", "_lang_score", "_lang_share"
-
-
-def identified(docs: DataFrame, train: Column) -> DataFrame:
-    """``docs`` with the predicted language, its score and share (PRED, SCORE, SHARE), learned from the rows that ``train`` names."""
+def identified(docs: DataFrame, train: Column, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with three further columns of the given ``names``: the predicted language, its score and share, learned
+    from the rows that ``train`` names."""
     model = fit(docs, train)
-    schema = StructType([*docs.schema.fields, StructField(PRED, StringType()), StructField(SCORE, DoubleType()), StructField(SHARE, DoubleType())])
-    return docs.mapInArrow(_predict(model), schema)
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), DoubleType())))])
+    return docs.mapInArrow(_predict(model, names), schema)
 
 
 def identify(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs``."""
+    names = ("lang_pred", "score", "share")
     model = fit(docs, train)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model), f"doc_id bigint, text string, {PRED} string, {SCORE} double, {SHARE} double")
-    return rows.select("doc_id", F.col(PRED).alias("lang_pred"), F.col(SCORE).alias("score"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model, names), "doc_id bigint, text string, lang_pred string, score double, share double")
+    return rows.select("doc_id", "lang_pred", "score")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
