@@ -5,11 +5,13 @@ weights are learned from preference pairs (a good and a bad training document):
 features. The cut-off is a quantile of the sample's strengths, the one that parts good from bad best; scores are a
 logistic curve of the strength that passes 0.3 there, so a document is predicted good from that quantile on.
 
-The fit takes about ``FIT_ROWS`` labelled training rows, chosen by a hash of the id, and ``PAIRS`` pairs of them;
-executors reduce texts to features before the driver sees them.
+The fit takes about ``FIT_ROWS`` labelled training rows, chosen by a hash of the id, one text an id, and ``PAIRS``
+pairs of them; executors reduce texts to features before the driver sees them.
 
-Defined cases: a null or empty text is scored by its (zero) features; without both labels every score is 0; several
-labels of one id are averaged and rounded up at a half; extra columns are ignored.
+Defined cases: a null or empty text is scored by its (zero) features; without both labels, as with an empty table,
+every score is 0; several labels of one id are averaged and rounded up at a half; of several texts of one id the one
+with the smallest hash is learned from, and every row is scored; equal texts get equal scores; texts are read whole,
+however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,14 +109,14 @@ def rank(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FIT_ROWS) -> Model | None:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in runs(whole):
                 x = features(*buffers(batch.column("text")))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    rows = labelled(docs, labels, "quality", train, FIT_ROWS)
+    rows = labelled(docs, labels, "quality", train, most)
     got = rows.select("doc_id", "y", "text").mapInArrow(emit, "doc_id bigint, y int, x array<double>").collect()  # bounded by FIT_ROWS
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)

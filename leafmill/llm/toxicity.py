@@ -3,12 +3,15 @@
 Features of a whole text: densities of a lexicon (plain, weighted, and after undoing digit and symbol spellings), how
 near its hits are to second-person words, densities of second-person words, capitals, exclamation and question marks,
 other punctuation, digits, letters joined by foreign characters, stretched letters, and length. The lexicon is part of
-the fit: words that are much more frequent in toxic training texts than in others. The fit takes about ``FIT_ROWS``
-labelled training rows, chosen by a hash of the id; executors reduce them to word counts and features before the
-driver sees them. All of them grow the trees; the calibration uses margins from trees that left the row's fold out.
-
-Defined cases: a null or empty text is scored by its (zero) features; without two labels to learn from every score is
-0; several labels of one id are averaged and rounded up at a half; extra columns are ignored.
+the fit: at most ``LEXICON`` words that are much more frequent in toxic training texts than in others. The fit takes
+about ``FIT_ROWS`` labelled training rows, chosen by a hash of the id, one text an id; executors reduce them to word
+counts and features before the driver sees them. All of them grow the trees; the calibration uses margins from trees
+that left the row's fold out. Both bounds are parameters of :func:`fit`.
+
+Defined cases: a null or empty text is scored by its (zero) features; without two labels to learn from, as with an
+empty table, every score is 0; several labels of one id are averaged and rounded up at a half; of several texts of one
+id the one with the smallest hash is learned from, and every row is scored; equal texts get equal scores; texts are
+read whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.boosting import Boosted, isotonic
-from leafmill.llm.common import LEAD, LOWER, SPACE, buffers, crc_mod, mix, per_doc, prefix_sums, runs, spans_hash, spans_of, sums_by_doc, table
+from leafmill.llm.common import LEAD, LOWER, SPACE, buffers, crc_mod, cut, mix, per_doc, prefix_sums, runs, spans_hash, spans_of, sums_by_doc, table
 
 FIT_ROWS = 12_000
 LEXICON = 1000  # words and stems at most
@@ -112,6 +115,9 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     if len(buf) > 2:
         inner[1:-1] = _ALPHA[buf[:-2]] & ~_ALPHA[buf[1:-1]] & ~SPACE[buf[1:-1]] & (buf[1:-1] != 39) & (buf[1:-1] != 45) & _ALPHA[buf[2:]]
         stretched[2:] = _ALPHA[buf[2:]] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
+        # never across documents
+        first, last = off[:-1][np.diff(off) > 0], off[1:][np.diff(off) > 0] - 1
+        inner[first] = inner[last] = stretched[first] = stretched[np.minimum(first + 1, last)] = False
     words = np.maximum(1, per_doc(doc, n))
     chars = np.maximum(1, sums_by_doc(LEAD[buf] & ~SPACE[buf], off))
     hits = per_doc(doc[hit], n)
@@ -154,7 +160,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, most
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.filter(draw < F.lit(min(1.0, most / max(1, n))))  # about `most` small rows
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text an id, so that rows that repeat an id don't break the bound
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,23 +194,21 @@ class Model:
         return np.interp(self.trees.margin(features(buf, off, self.lexicon)), self.places, self.values)
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
+def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> Lexicon:
     n_toxic, n = rows.agg(F.sum("y"), F.count("*")).first()
     n_clean = n - n_toxic
     counts = rows.select("text", "y").mapInArrow(_word_counts, "word string, t bigint, c bigint").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     words = counts.withColumn("w", odds).filter((F.col("t") >= max(3, 0.004 * n_toxic)) & (F.col("w") > 1.2))
-    got = words.orderBy(F.desc("w"), "word").limit(LEXICON).collect()
+    got = words.orderBy(F.desc("w"), "word").limit(most).collect()
     return Lexicon([bytes.fromhex(r["word"]).decode("utf-8", "surrogateescape") for r in got], [r["w"] for r in got])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
-    from leafmill.llm.common import cut
-
-    rows = cut(labelled(docs, labels, "toxic", train, FIT_ROWS), "toxic-sample")
+def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FIT_ROWS, words: int = LEXICON) -> Model | None:
+    rows = cut(labelled(docs, labels, "toxic", train, most), "toxic-sample")
     if rows.select("y").distinct().count() < 2:
         return None
-    lexicon = learn_lexicon(rows)
+    lexicon = learn_lexicon(rows, words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
