@@ -8,8 +8,10 @@ hash bits give the bucket in which the rest is used up, only that bucket's rows
 and so on to the single document, so nothing is sorted. The document at the edge goes in if that brings the source
 nearer to its rest.
 
-Defined cases: null text has size 0 and takes 0; null source is a source of its own; rows with the same ``doc_id``
-stand or fall together (null ids count as one); an empty table gives an empty result; other columns are ignored.
+Defined cases: null text has size 0 and takes 0; null source is a source of its own; the hash is of id and text, so
+rows that share an id (or have none) are chosen one by one, and only rows that repeat both stand or fall together, as
+they can't be told apart; texts are counted whole, however long; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, table
+from leafmill.llm.common import cut, free_prefix, table
 
 BITS, LEVELS = 12, 5
 WEIGHTS = (3, 1, 2)
@@ -28,9 +30,10 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def hash60(doc_id: Column) -> Column:
-    """The first 60 bits of the md5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def hash60(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the md5 of the id as text, a colon and the md5 of the text."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -114,7 +117,7 @@ def mix_plan(sized: DataFrame) -> DataFrame:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return cut(docs.select("doc_id", "source", word_count("text").alias("size"), hash60(F.col("doc_id")).alias("h")), "mixsizes")
+    return cut(docs.select("doc_id", "source", word_count("text").alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h")), "mixsizes")
 
 
 def times_taken(h: Column) -> Column:
@@ -132,11 +135,12 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def mix_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; those without words are taken once."""
     plan = mix_plan(sizes(docs))
-    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
-    more = F.least(F.lit(2), F.col("_mix_times") + (hash60(docs["doc_id"]) < F.col("_mix_below")).cast("int"))
+    own = free_prefix(docs.columns, "_mix_")
+    plan = plan.select(*(F.col(c).alias(f"{own}{c}") for c in plan.columns))
+    more = F.least(F.lit(2), F.col(f"{own}times") + (hash60(docs["doc_id"], docs["text"]) < F.col(f"{own}below")).cast("int"))
     taken = F.when(word_count(docs["text"]) > 0, more).otherwise(1)
-    rows = docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_s1"))).withColumn("_mix_taken", taken).filter("_mix_taken > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_taken")))).select(*docs.columns)
+    rows = docs.join(plan, docs["source"].eqNullSafe(F.col(f"{own}s1"))).withColumn(f"{own}taken", taken).filter(F.col(f"{own}taken") > 0)
+    return rows.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}taken")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +150,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
