@@ -7,9 +7,14 @@ of what quantisation dropped, Cauchy-Schwarz bounds the error. A pair survives i
 largest lower bound of its query; survivors are recomputed in double precision from the original vectors, so the
 answer is exact. Best-k lists are merged by heaps within a task and by a ranked window across tasks.
 
+Every query group meets every block, so the work and the rows sent grow with queries x candidates: a block is sent once
+for each ``tile`` queries.
+
 Vectors that are null, zero or hold null or non-finite components take no part; vectors only meet others of the same
-length. Repeated ids are rows of their own, but a query never meets a row with its own id. With fewer than k
-candidates all are returned. An empty table gives an empty result; other columns are ignored.
+length. Rows that repeat an id are rows of their own, each with its own neighbours, but a query never meets a row with
+its own id. Rows that repeat id and vector are searched once and told as often as they occur, so a vector that a third
+of the table repeats is no hot block. With fewer than k candidates all are returned. Ties go to the smaller id. An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import table
+from leafmill.llm.common import cut, table
 
 TILE = 4096
-FOUND = "g int, query_id bigint, vec_id bigint, score double"
+#: q tells queries apart, times is how often a query's row occurs, copies how often the found row does (k at most).
+FOUND = "g int, q bigint, query_id bigint, times bigint, vec_id bigint, copies bigint, score double"
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -53,11 +59,12 @@ def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def tile_top(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def top(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, found = pa.schema([("g", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), []
+        ids, found = pa.schema([("g", pa.int32()), *((c, pa.int64()) for c in ("q", "query_id", "times", "vec_id", "copies")), ("score", pa.float64())]), []
         if not queries.num_rows or not rows.num_rows:
             return ids.empty_table()
         qid, q = _matrix(queries)
         cid, c = _matrix(rows)
+        row, times, copies = (t.column(n).to_numpy() for t, n in ((queries, "q"), (queries, "times"), (rows, "copies")))
         code_c, scale_c, norm_c, miss_c = _codes(c)
         exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # holds every sum of products of codes
         tile_c = code_c.astype(exact).T
@@ -77,7 +84,8 @@ def tile_top(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
             i, j, score = i[order], j[order], score[order]
             first = np.searchsorted(i, i)
             keep = np.arange(len(i)) - first < k
-            found.append((qid[a + i[keep]], cid[j[keep]], score[keep]))
+            at = a + i[keep]
+            found.append((row[at], qid[at], times[at], cid[j[keep]], copies[j[keep]], score[keep]))
         cols = [np.concatenate(x) for x in zip(*found)]
         return pa.table([pa.array(np.full(len(cols[0]), key[0].as_py(), np.int32)), *map(pa.array, cols)], schema=ids)
 
@@ -88,26 +96,27 @@ def heaps(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """Merges the best-k lists that a task has made, keeping one query group in memory at a time."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
+        best: dict[tuple, list[tuple[float, int, int]]] = {}
         group = None
 
         def flush() -> pa.RecordBatch:
-            rows = [(q, -v, s) for q, found in best.items() for s, v in found]
-            cols = list(zip(*rows)) if rows else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array([group] * len(rows), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["g", "query_id", "vec_id", "score"])
+            cols = zip(*((*q, -v, n, s) for q, found in best.items() for s, v, n in found))
+            ids = [pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)]
+            return pa.RecordBatch.from_arrays([pa.array([group] * len(ids[0]), pa.int32()), *ids], names)
 
+        names = ["g", "q", "query_id", "times", "vec_id", "copies", "score"]
         for batch in batches:
-            for g, q, v, s in zip(*(batch.column(c).to_pylist() for c in ("g", "query_id", "vec_id", "score"))):
+            for g, *q, v, n, s in zip(*(batch.column(c).to_pylist() for c in names)):
                 if g != group:
                     if best:
                         yield flush()
                         best.clear()
                     group = g
-                heap = best.setdefault(q, [])
+                heap = best.setdefault(tuple(q), [])
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -v))  # the worst stands first: lowest score, then largest id
+                    heapq.heappush(heap, (s, -v, n))  # the worst stands first: lowest score, then largest id
                 else:
-                    heapq.heappushpop(heap, (s, -v))
+                    heapq.heappushpop(heap, (s, -v, n))
         if best:
             yield flush()
 
@@ -116,17 +125,20 @@ def heaps(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tile: int = TILE) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row whose id ``every`` divides."""
-    rows = usable(vectors)
+    rows = cut(usable(vectors).groupBy("vec_id", "v", "dim").agg(F.count("*").alias("times")), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     blocks, groups = max(1, -(-n // tile)), max(1, -(-n_queries // tile))
-    spread = rows.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    spread = spread.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int"))
+    spread = rows.withColumn("s", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)).cast("int"))
+    spread = spread.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("copies", F.least("times", F.lit(k)))
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("q", F.xxhash64("vec_id", "v"))
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("vec_id", "v", F.lit(2)), F.lit(groups)).cast("int"))
     asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["g", "s", "dim"]
     found = asked.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(tile_top(k), FOUND).mapInArrow(heaps(k), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    each = each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return each.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
