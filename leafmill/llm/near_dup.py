@@ -8,28 +8,31 @@ Half-keys that nobody shares are dropped before the pairs are formed, so most do
 
 In a bucket every document is paired with the bucket's hub, its first member by a hash of the ids, never all with all.
 So the documents of a large group share a few hubs over all tables. Four bits of each minhash travel along: of 48, a
-pair of similarity 0.75 has 36.8 alike on average (deviation 2.9), and a pair with fewer than ``ALIKE`` is no candidate
-(a true one is lost with probability 5e-6). Pairs are confirmed on the full shingle sets. First each document's most
-frequent hub is tried, which settles groups of copies of any size; then only pairs that still join two components.
-Buckets that still hold several components draw ``MORE_HUBS`` further hubs each, which meet the members of other
-components. These steps are linear in the number of bucket rows, but leave pairs of which neither is a hub. So the
-documents of buckets that hold several components even then are joined exactly (:func:`rare_pairs`): a pair that shares
-a bucket is in one component or has been found. Components come from alternating large-star and small-star steps.
+pair of similarity 0.75 has 36.8 alike on average (deviation 2.9), and a pair with fewer than ``ALIKE`` is not tried
+with its hub. Pairs are confirmed on the full shingle sets. First each document's most frequent hub is tried, which
+settles groups of copies of any size; then only pairs that still join two components. These steps are linear in the
+number of bucket rows, but leave pairs of which neither is a hub and those that ``ALIKE`` kept out. So the documents of
+buckets that still hold several components, and only they, are joined exactly (:func:`rare_pairs`): a pair that shares a
+bucket is in one component or is found there, in groups of any size. Components come from alternating large-star and
+small-star steps.
 
 The exact join orders shingles from rare to frequent, those that a single component holds before all others, as no link
 rests on them. The first shingle that two linked documents share leaves each at least the overlap that their sizes ask
 for, so it lies in the first quarter of the larger one and in the first seventh of the smaller one. Documents of a
-template differ by more than that, so the template's own shingles are in no such seventh and form no pair. Pairs grow
-with the square of a group only if its documents agree in their rarest shingles without being linked.
+template differ by more than that, so the template's own shingles are in no such seventh and form no pair. Where more
+than ``CROWD`` documents hold a shingle, each first meets ``DRAWS`` documents of the component with most of them, which
+joins fragments of large groups by pairs linear in the rows; the exact join follows on what is left. Its pairs grow with
+the square of a group only if the group's documents agree in their rarest shingles without being linked.
 
 Defined cases: documents without words have an empty set, are linked with nothing and kept; a null ``doc_id`` takes no
-part (component null, kept); repeated ids are one document whose set is the larger one's; other columns are ignored.
+part (component null, kept); repeated rows are one document, and so are repeated ids, whose set is the larger one's;
+of equal documents the smallest id is kept; texts are read whole, one that is longer than a run in a run of its own; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from leafmill.llm.common import LOWER, buffers, cut, mix, prefix_sums, runs, spa
 
 SHINGLE, HALVES, ROWS = 5, 12, 2
 NEED = 75  # percent
-ALIKE, MORE_HUBS = 24, 4
+ALIKE, CROWD, DRAWS = 24, 16, 8
 
 SETS = "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, halves array<bigint>, s0 bigint, s1 bigint, s2 bigint"
 
@@ -129,12 +132,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Each step only takes minima over neighbours and joins them back, so a hub with any number of links is split.
     """
-    now, before = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name), None
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name)
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == before:
+        # done when all are stars: no node has two smaller neighbours, or both a smaller and a larger one
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
-        before = mark
         # large star: every larger neighbour of a node goes to the least node around it
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -170,15 +173,13 @@ def absorbed(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
 
 
-def _hubs(keys: DataFrame, *also: str, salt: str | None = None) -> DataFrame:
+def _hubs(keys: DataFrame) -> DataFrame:
     """One member of each bucket of two or more: key, hub, and its hub_ columns.
 
-    Without a salt, buckets rank their members alike, so a document of a large group meets the same few hubs in all of
-    its tables; with one, every bucket draws its own.
+    Buckets rank their members alike, so a document of a large group meets the same few hubs in all of its tables.
     """
-    order = (F.xxhash64("doc_id") if salt is None else F.xxhash64("doc_id", "key", F.lit(salt))).alias("o")
-    held = [F.col(c).alias(f"hub_{c}") for c in ("n", "s0", "s1", "s2", *also)]
-    found = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(order, F.col("doc_id").alias("hub"), *held)).alias("m"))
+    held = [F.col(c).alias(f"hub_{c}") for c in ("n", "s0", "s1", "s2")]
+    found = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("hub"), *held)).alias("m"))
     return found.filter("c > 1").select("key", "m.*").drop("o")
 
 
@@ -211,19 +212,38 @@ def _several(members: DataFrame) -> DataFrame:
     return cut(members.join(cut(several, "several-keys"), "key", "left_semi"), "several")
 
 
-def rare_pairs(sets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of ``sets`` (doc_id, component, shingles) that may be linked and are of different components."""
+def rare_places(sets: DataFrame) -> DataFrame:
+    """doc_id, component, n, g, left, short: the shingles of ``sets`` (doc_id, component, shingles) at which a link between
+    two components can begin. left: how many shingles of the document such a link can still rest on; short: whether
+    that is enough for a partner that is no smaller."""
     rows = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     held = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
     ordered = rows.join(held.filter("x != y").select("g", "c"), "g").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("s"))
-    # left: how many shingles of the document a link that begins at this one can still rest on
     places = ordered.select("doc_id", "component", "n", F.size("s").alias("size"), F.posexplode("s").alias("i", "e"))
     places = places.select("doc_id", "component", "n", F.col("e.g").alias("g"), (F.col("size") - F.col("i")).alias("left")).filter(F.col("left") * 100 >= F.col("n") * NEED)
-    places = cut(places.withColumn("short", F.col("left") * (100 + NEED) >= F.col("n") * (2 * NEED)), "places")
-    # per shingle, only its largest component's documents never meet each other at all
-    counts = places.groupBy("g", "component").agg(F.count("*").alias("c"), F.max("short").alias("short"))
-    large = counts.groupBy("g").agg(F.max(F.struct("c", "component"))["component"].alias("large"), F.max("short").alias("short"), F.count("*").alias("k"))
-    places = cut(places.join(large.filter("short and k > 1").select("g", "large"), "g").withColumn("other", F.col("component") != F.col("large")), "rare")
+    return cut(places.withColumn("short", F.col("left") * (100 + NEED) >= F.col("n") * (2 * NEED)), "places")
+
+
+def _shared_places(places: DataFrame) -> DataFrame:
+    """Places whose shingle several components hold, with how many hold it (held), whether the document is of another
+    component than most of them (other) and one document of those, drawn by shingle (hub)."""
+    drawn = F.array(*(F.min_by(F.struct("doc_id", "n", "left"), F.xxhash64("doc_id", "g", F.lit(i))) for i in range(DRAWS)))
+    counts = places.groupBy("g", "component").agg(F.count("*").alias("c"), F.max("short").alias("short"), drawn.alias("hubs"))
+    large = counts.groupBy("g").agg(F.max(F.struct("c", "component", "hubs")).alias("m"), F.max("short").alias("short"), F.count("*").alias("k"), F.sum("c").alias("held"))
+    large = large.filter("short and k > 1").select("g", "held", F.col("m.component").alias("large"), "m.hubs")
+    return cut(places.join(large, "g").withColumn("other", F.col("component") != F.col("large")).drop("large"), "rare")
+
+
+def rare_hub_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join a document to the hubs of a shingle that more than ``CROWD`` documents hold."""
+    met = shared.filter(F.col("other") & (F.col("held") > CROWD)).withColumn("hub", F.explode("hubs"))
+    met = met.filter(F.least("left", "hub.left") * (100 + NEED) >= (F.col("n") + F.col("hub.n")) * NEED)
+    return met.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
+
+
+def rare_pairs(shared: DataFrame) -> DataFrame:
+    """All pairs (a, b) that may be linked and are of different components; the largest component that holds a shingle
+    never meets itself there."""
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
@@ -232,8 +252,9 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
         reach = (F.least("x.left", "y.left") * (100 + NEED) >= need) & (F.col("x.component") != F.col("y.component"))
         return x.join(y, (F.col("x.g") == F.col("y.g")) & smaller & reach).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b"))
 
-    first = places.filter("short")
-    return met(first.filter("other"), places).unionByName(met(first.filter("not other"), places.filter("other"))).distinct()
+    shared = shared.drop("hubs", "held")
+    first = shared.filter("short")
+    return met(first.filter("other"), shared).unionByName(met(first.filter("not other"), shared.filter("other"))).distinct()
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,9 +262,10 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = cut(docs.mapInArrow(_emit_sets, SETS), "sets")
     known = sets.select("doc_id", "n_shingles", "print_a", "print_b").filter("doc_id is not null and n_shingles > 0")
-    same = known.groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"))
-    classes = cut(known.join(same, ["n_shingles", "print_a", "print_b"]).select("doc_id", "n_shingles", "rep").distinct(), "classes")
-    reps = classes.filter("doc_id = rep").select("doc_id")
+    # tables of their own, so that the join can split a class of very many copies
+    same = cut(known.groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep")), "same")
+    classes = cut(known.join(same, ["n_shingles", "print_a", "print_b"]).select("doc_id", "n_shingles", "rep"), "classes")
+    reps = cut(classes.filter("doc_id = rep").select("doc_id").distinct(), "reps")
     # half-keys that two classes share
     own = ["n", "s0", "s1", "s2"]
     half = sets.filter("n_shingles > 0").join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), *own[1:], F.posexplode("halves").alias("i", "half"))
@@ -262,20 +284,18 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # pairs that would still join two components
     rest = _labelled(_labelled(pairs.select("a", "b"), labels, "a"), labels, "b").filter("a_component != b_component").select("a", "b")
     labels = absorbed(labels, _confirmed(rest.join(best, ["a", "b"], "left_anti"), whole, "links-rest"))
-    # buckets that still hold several components
-    members = _several(_labelled(keys.join(hub.select("key"), "key", "left_semi"), labels, "doc_id"))
-    hubs = [_hubs(members, "doc_id_component", salt=f"more {i}") for i in range(MORE_HUBS)]
-    hubs = cut(reduce(DataFrame.unionByName, hubs).distinct(), "more-hubs")
-    more = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("doc_id_component") != F.col("hub_doc_id_component")) & _alike())
-    more = more.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
-    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = cut(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    labels = absorbed(labels, _confirmed(more, _full_sets(docs, more, "sets-more"), "links-more"))
-    # every pair of components that a bucket holds even then
-    nodes = _several(_labelled(members.select("key", "doc_id"), labels, "doc_id")).select("doc_id", F.col("doc_id_component").alias("component")).distinct()
-    nodes = cut(nodes, "unmet")
+    # every pair of components that a bucket still holds
+    members = _labelled(keys.join(hub.select("key"), "key", "left_semi").select("key", "doc_id"), labels, "doc_id")
+    nodes = cut(_several(members).select("doc_id", F.col("doc_id_component").alias("component")).distinct(), "unmet")
     whole = _sets_of(docs, nodes.select("doc_id"), "sets-unmet")
-    exact = cut(rare_pairs(whole.join(nodes, "doc_id")).join(tried.unionByName(more), ["a", "b"], "left_anti"), "exact-pairs")
+    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    places = rare_places(whole.join(nodes, "doc_id"))
+    shared = _shared_places(places)
+    # first a few partners a row, which join what is left of large groups, so that the rest forms few pairs
+    drawn = cut(rare_hub_pairs(shared).join(tried, ["a", "b"], "left_anti"), "drawn-pairs")
+    labels = absorbed(labels, _confirmed(drawn, whole, "links-drawn"))
+    places = _labelled(places.drop("component"), labels, "doc_id").withColumnRenamed("doc_id_component", "component")
+    exact = cut(rare_pairs(_shared_places(places)).join(tried.unionByName(drawn), ["a", "b"], "left_anti"), "exact-pairs")
     return classes, absorbed(labels, _confirmed(exact, whole, "links-exact"))
 
 

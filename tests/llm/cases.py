@@ -33,7 +33,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 #: Names that operators use inside.
-EXTRA = ["row", "rank", "cls", "key", "n", "size", "h", "hub", "rep", "score", "bucket", "length", "piece", "b", "_times"]
+EXTRA = ["row", "rank", "cls", "key", "n", "size", "h", "hub", "rep", "score", "bucket", "length", "piece", "b", "_times", "_lang_pred", "_kept_id", "_mix_s1", "_mix_taken", "q", "copies", "component"]
 
 
 def awkward(spark):

@@ -1,21 +1,18 @@
 """Nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
-import sys
 from collections import Counter
-from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
-import cases  # noqa: E402
-
-import corpus_pipeline  # noqa: E402
-from leafmill.llm import language, mixing, near_dup, nearest, packing, quality, repeats, rules, secrets, toxicity  # noqa: E402
-from leafmill.llm.common import crc_mod  # noqa: E402
+import cases
+import corpus_pipeline
+from leafmill.llm import language, mixing, near_dup, nearest, packing, quality, repeats, rules, secrets, toxicity
+from leafmill.llm.common import crc_mod
 
 PAIRS = [(r[0], r[1]) for r in cases.ROWS]
+NEAR_TEXT = " ".join(f"copied{i}" for i in range(30))
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +39,24 @@ def test_language(docs, none):
     assert {r["lang_pred"] for r in unlearned} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """Thousands of rows of one id or one text don't enter the sample together; every language does."""
+    rows = [(2, f"text number {i} of one id", "en") for i in range(3000)] + [(None, "one text again", "de")] * 3000
+    rows += [(10_000 + i, f"langue {i}", f"l{i}") for i in range(1200)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), 400, 240_000).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in got}
+    assert n["de"] == 1 and 100 < n["en"] < 300 and len(n) > 1100
+    small = language.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), 400, 2404)
+    assert small.count() <= 2500
+
+
+def test_labelled_sample_is_bounded(spark):
+    rows = [(2, f"text number {i} of one id") for i in range(3000)] + [(None, "none")] * 100 + [(3, None)] * 50
+    labels = spark.createDataFrame([(2, 1), (3, 0), (None, 1)], "doc_id bigint, toxic int")
+    got = toxicity.labelled(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, "toxic", F.lit(True), 100).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in got) == [(2, 1), (3, 0)]
+
+
 @pytest.mark.parametrize("part", [toxicity, quality])
 def test_classifiers(part, spark, docs, none):
     model = part.fit(docs, cases.labels(spark), F.lit(True))
@@ -150,6 +165,36 @@ def test_near_duplicates_in_a_template(spark):
     assert sorted((r["component_id"], r["doc_id"]) for r in got if not r["kept"]) == sorted(links)
 
 
+def test_near_duplicates_of_twins(spark):
+    """Pages of one template: 300 common words and a tail, of which documents 2k and 2k + 1 share the first two words.
+
+    Twins are 0.7525 alike, all others 0.7437, and every document shares most of its tables with hundreds of others.
+    """
+    common = " ".join(f"page{j}" for j in range(300))
+    rows = [(i, " ".join([common, f"t{i // 2}x0", f"t{i // 2}x1", *(f"d{i}x{j}" for j in range(49))])) for i in range(1200)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(1200)}
+
+
+def test_near_duplicates_of_many_copies(spark):
+    """Thousands of rows of one text, repeated rows and repeated ids."""
+    rows = [(i, NEAR_TEXT) for i in range(4000)] + [(7, NEAR_TEXT)] * 500 + [(None, NEAR_TEXT)] * 100 + [(5000, "something else entirely but not long")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("component_id", "kept").count().collect()
+    assert {(r["component_id"], r["kept"]): r["count"] for r in got} == {(0, True): 1, (0, False): 4499, (None, True): 100, (5000, True): 1}
+
+
+def test_near_dup_stage_with_repeated_ids(spark):
+    """Of rows that share an id the one with the smallest hash of the text stays, in whatever order they come."""
+    rows = [(1, "first text of one"), (1, "second text of one"), (1, "first text of one"), (2, "some other words here now"), (None, "a"), (None, "a")]
+    stays = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        stays.append(counted(corpus_pipeline.near_dup_stage(spark, docs, "")))
+    assert stays[0] == stays[1] and sum(stays[0].values()) == 4 and stays[0][(None, "a")] == 2
+    texts = spark.createDataFrame(rows[:2], "doc_id bigint, text string").orderBy(F.xxhash64("text")).first()
+    assert stays[0][tuple(texts)] == 1
+
+
 def test_near_dup_stage_in_a_template(spark):
     """The pipeline keeps one document of each linked pair, and all others of the family."""
     rows, links = template_family(900, 45)
@@ -215,6 +260,16 @@ def test_nearest(spark):
     assert len(few) == 2
 
 
+def test_nearest_with_repeated_ids(spark):
+    """Rows that share an id keep neighbours of their own; equal rows are told as often as they occur."""
+    schema = "vec_id bigint, embedding array<double>"
+    got = nearest.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 5.0])], schema), k=2)
+    assert counted(got.select("query_id", "rank", "vec_id", "score")) == Counter([(20, 1, 1, 5.0), (20, 2, 2, 0.0), (20, 1, 2, 5.0), (20, 2, 1, 0.0)])
+    rows = [(20, [1.0, 2.0])] * 3 + [(1, [5.0, 0.0])] * 4000 + [(2, [0.0, 1.0])] + [(3, [9.0, 9.0])] * 2
+    got = nearest.nearest(spark.createDataFrame(rows, schema), k=5, tile=64).select("query_id", "rank", "vec_id", "score")
+    assert counted(got) == Counter({(20, 1, 3, 27.0): 3, (20, 2, 3, 27.0): 3, **{(20, k, 1, 5.0): 3 for k in (3, 4, 5)}})
+
+
 def test_rules(docs, none):
     got = {r["doc_id"]: r for r in rules.quality_rules(docs).collect()}
     assert got[1]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
@@ -241,6 +296,14 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_rows_without_ids(spark):
+    """A source of rows without ids, or of one id, comes near its target all the same."""
+    rows = [(None, f"w{i} " * 10, "a") for i in range(3000)] + [(7, f"v{i} " * 10, "b") for i in range(3000)] + [(i, f"u{i} " * 10, "c") for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    for r in got.groupBy("doc_id", "target").agg(F.sum("taken").alias("n")).groupBy("target").agg(F.sum("n").alias("n")).collect():
+        assert abs(r["n"] - r["target"]) <= 10
+
+
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
 def test_stages(stage, spark, docs, none, sf_dir):
     run = dict(corpus_pipeline.STAGES)[stage]

@@ -1,17 +1,13 @@
 """The ten queries and the pipeline over whole tables: against their SQL, brute force or held-out labels."""
 
-import sys
-from pathlib import Path
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
-import cases  # noqa: E402
-
-import corpus_pipeline  # noqa: E402
-from leafmill.llm import registry  # noqa: E402
+import cases
+import corpus_pipeline
+from leafmill.llm import registry
 
 
 @pytest.fixture(scope="module")
