@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.patterns import NOT_WS, WORD_START, WS, rebuild, regex_hits
+from leafmill.functions.patterns import NOT_WS, WORD_START, WS, let, rebuild, regex_hits
 from leafmill.model import HIT
 
 # The rules' patterns and their languages.
@@ -22,15 +22,24 @@ CAPITAL = "(^|[.!?]" + WS + "+)([a-ząćęłńóśźż])"
 ORPHAN = "(" + NOT_WS + "+)" + WS + r"+(i)\." + WS + r"*\z"
 SINGLE_LETTER = "(?i)" + WORD_START + "([wzioua])" + WS + "+"
 NBSP = chr(0xA0)
+_LAST_I = WS + r"i\." + WS + r"*\z"
 
 
 @dataclass(frozen=True)
 class Rule:
     id: str
     langs: tuple[str, ...]
+    pattern: str
     hits: Callable[[Column], Column]
     fix: Callable[[Column], Column]
     optional: bool = False
+    #: A cheap pattern that every text with a hit matches; others are not searched.
+    only: str | None = None
+
+    def count(self, text: Column) -> Column:
+        """How many hits a text has, without placing them."""
+        n = F.regexp_count(text, F.lit(self.pattern))
+        return n if self.only is None else F.when(text.rlike(self.only), n).otherwise(F.lit(0))
 
 
 def _after(pattern: str, after: Callable[[Column], Column], cut: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
@@ -51,19 +60,29 @@ def _sub(pattern: str, repl: str) -> Callable[[Column], Column]:
     return lambda c: F.regexp_replace(c, pattern, repl)
 
 
+def _orphan_hits(text: Column) -> Column:
+    found = _after(ORPHAN, _sub(ORPHAN, "$2 $1."))(text)
+    return F.when(text.rlike(_LAST_I), found).otherwise(F.array().cast(f"array<{HIT}>"))
+
+
+def _orphan_fix(text: Column) -> Column:
+    return let(text, lambda t: F.when(t.rlike(_LAST_I), _sub(ORPHAN, "$2 $1.")(t)).otherwise(t))
+
+
 RULES = (
-    Rule("double-space", ("pl", "en"), _after(DOUBLE_SPACE, lambda b: F.lit(" ")), _sub(DOUBLE_SPACE, " ")),
-    Rule("space-before-punct", ("pl", "en"), _after(SPACE_BEFORE, lambda b: F.right(b, F.lit(1))), _sub(SPACE_BEFORE, "$1")),
-    Rule("ellipsis", ("pl", "en"), _after(ELLIPSIS, lambda b: F.lit("…")), _sub(ELLIPSIS, "…")),
-    Rule("quotes-pl", ("pl",), _after(QUOTES, lambda b: F.concat(F.lit("„"), F.substr(b, F.lit(2)))), _sub(QUOTES, "„$1\"")),
+    Rule("double-space", ("pl", "en"), DOUBLE_SPACE, _after(DOUBLE_SPACE, lambda b: F.lit(" ")), _sub(DOUBLE_SPACE, " ")),
+    Rule("space-before-punct", ("pl", "en"), SPACE_BEFORE, _after(SPACE_BEFORE, lambda b: F.right(b, F.lit(1))), _sub(SPACE_BEFORE, "$1")),
+    Rule("ellipsis", ("pl", "en"), ELLIPSIS, _after(ELLIPSIS, lambda b: F.lit("…")), _sub(ELLIPSIS, "…")),
+    Rule("quotes-pl", ("pl",), QUOTES, _after(QUOTES, lambda b: F.concat(F.lit("„"), F.substr(b, F.lit(2)))), _sub(QUOTES, "„$1\"")),
     Rule(
         "cap-after-period",
         ("pl", "en"),
+        CAPITAL,
         _after(CAPITAL, F.upper, lambda b: F.length(b) - 1),
         lambda c: rebuild(c, CAPITAL, lambda m: F.concat(F.left(m, F.length(m) - 1), F.upper(F.right(m, F.lit(1))))),
     ),
-    Rule("orphan-i", ("pl",), _after(ORPHAN, _sub(ORPHAN, "$2 $1.")), _sub(ORPHAN, "$2 $1.")),
-    Rule("nbsp-pl", ("pl",), _after(SINGLE_LETTER, lambda b: F.concat(F.left(b, F.lit(1)), F.lit(NBSP))), _sub(SINGLE_LETTER, "$1" + NBSP), optional=True),
+    Rule("orphan-i", ("pl",), ORPHAN, _orphan_hits, _orphan_fix, only=_LAST_I),
+    Rule("nbsp-pl", ("pl",), SINGLE_LETTER, _after(SINGLE_LETTER, lambda b: F.concat(F.left(b, F.lit(1)), F.lit(NBSP))), _sub(SINGLE_LETTER, "$1" + NBSP), optional=True),
 )
 
 
@@ -82,10 +101,16 @@ def scan(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Col
     return F.flatten(F.array(*parts))
 
 
+def counts(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
+    """Array of (rule_id, n) of the rules that have hits."""
+    each = [F.struct(F.lit(r.id).alias("rule_id"), (r.count(text) if lang is None else F.when(lang.isin(*r.langs), r.count(text)).otherwise(0)).alias("n")) for r in rules]
+    return F.filter(F.array(*each), lambda x: x["n"] > 0)
+
+
 def _numbered(rule_id: str) -> Callable[[Column, Column], Column]:
     return lambda h, i: F.struct(F.lit(rule_id).alias("rule_id"), i.cast("int").alias("ord"), *(h[c].alias(c) for c in ("start", "end", "before", "after")))
 
 
 def fix(text: Column, rules: Iterable[Rule], lang: Column | None = None) -> Column:
     """All fixes in list order."""
-    return reduce(lambda c, r: r.fix(c) if lang is None else F.when(lang.isin(*r.langs), r.fix(c)).otherwise(c), rules, text)
+    return reduce(lambda c, r: r.fix(c) if lang is None else let(c, lambda t: F.when(lang.isin(*r.langs), r.fix(t)).otherwise(t)), rules, text)

@@ -15,8 +15,6 @@ NOT_WS = f"[^{WS_CHARS}]"
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 
-_SPANS = "array<struct<start:int,end:int,before:string>>"
-
 
 def literal_pattern(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
@@ -40,26 +38,42 @@ def gaps(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sum(values: Column) -> Column:
+    """Sums up to and including each item, by doubling distances: n log n steps, no list is ever copied per item."""
+    n = F.size(values)
+    rounds = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        far = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - far), F.lit(0)))
+
+    return F.aggregate(rounds, values, step)
+
+
 def regex_hits(text: Column, pattern: str) -> Column:
     """Array of (start, end, before) of all matches. The pattern must not match the empty string."""
-    pairs = F.arrays_zip(F.slice(gaps(text, pattern), F.lit(1), F.size(matches(text, pattern))).alias("gap"), matches(text, pattern).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("hits"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        gap, hit = pair["gap"], pair["hit"]
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(hit)
-        return F.struct(end.alias("at"), F.array_append(acc["hits"], F.struct(start.alias("start"), end.alias("end"), hit.alias("before"))).alias("hits"))
+    def placed(p: Column) -> Column:
+        lengths = F.zip_with(p["hits"], F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), lambda hit, gap: F.length(gap) + F.length(hit))
+        at = lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("before"))
+        return let(lengths, lambda n: F.zip_with(p["hits"], running_sum(n), at))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["hits"])
+    return let(F.struct(matches(text, pattern).alias("hits"), gaps(text, pattern).alias("gaps")), placed)
 
 
 def rebuild(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """The text with every match sent through ``change``."""
-    m = matches(text, pattern)
-    g = gaps(text, pattern)
-    parts = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda gap, hit: F.concat(gap, change(hit)))
-    return F.concat(F.array_join(parts, ""), F.element_at(g, -1))
+
+    def joined(p: Column) -> Column:
+        parts = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), p["hits"], lambda gap, hit: F.concat(gap, change(hit)))
+        return F.concat(F.array_join(parts, ""), F.element_at(p["gaps"], -1))
+
+    return let(text, lambda t: let(F.struct(matches(t, pattern).alias("hits"), gaps(t, pattern).alias("gaps")), joined))
 
 
 def ends_trimmed(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.patterns import ends_trimmed
+from leafmill.functions.patterns import ends_trimmed, let
 from leafmill.functions.text import escape_html
 from leafmill.model import RUN, RUNS, STYLE
 
@@ -97,15 +97,20 @@ def merge_styles(base: Column, over: Column) -> Column:
 
 
 def merge_adjacent(runs: Column) -> Column:
-    """Joins neighbours of equal style; breaks stay apart."""
+    """Joins neighbours of equal style; breaks stay apart. One pass finds where runs start, one joins what lies between."""
+    brk = lambda r: F.coalesce(r["is_break"], F.lit(False))
 
-    def step(acc: Column, run: Column) -> Column:
-        top = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & ~F.coalesce(run["is_break"], F.lit(False)) & F.coalesce(~F.coalesce(F.try_element_at(acc, F.lit(-1))["is_break"], F.lit(False)) & styles_equal(F.try_element_at(acc, F.lit(-1))["style"], run["style"]), F.lit(False))
-        grown = F.struct(F.lit(False).alias("is_break"), F.concat(F.coalesce(top["text"], F.lit("")), F.coalesce(run["text"], F.lit(""))).alias("text"), top["style"].alias("style")).cast(RUN)
-        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.array_append(acc, run.cast(RUN)))
+    def joined(r: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | brk(F.get(r, i)) | brk(F.get(r, i - 1)) | ~styles_equal(F.get(r, i)["style"], F.get(r, i - 1)["style"]))
 
-    return F.aggregate(runs, F.array().cast(RUNS), step)
+        def one(s: Column, at: Column, k: Column) -> Column:
+            part, first = F.slice(r, at + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - at), F.get(r, at)
+            grown = F.struct(F.lit(False).alias("is_break"), F.array_join(F.transform(part, lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("text"), first["style"].alias("style")).cast(RUN)
+            return F.when(F.size(part) == 1, first.cast(RUN)).otherwise(grown)
+
+        return let(starts, lambda s: F.transform(s, lambda at, k: one(s, at, k)))
+
+    return let(runs, lambda r: F.when(F.size(r) > 0, joined(r)).otherwise(r.cast(RUNS)))
 
 
 def runs_text(runs: Column) -> Column:

@@ -23,22 +23,35 @@ def scan(paragraphs: DataFrame, rules: Iterable[lint.Rule], lang: Column | None
     return hits.drop("text")
 
 
-def by_rule(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+def counts(paragraphs: DataFrame, rules: Iterable[lint.Rule], lang: Column | None = None) -> DataFrame:
+    """The paragraph's ids, rule_id and n of each rule that has hits: the scan's counts without placing the hits."""
+    ids = [c for c in paragraphs.columns if c != "text"]
+    return paragraphs.select(*ids, F.explode(lint.counts(F.col("text"), tuple(rules), lang)).alias("c")).select(*ids, "c.*")
+
+
+def by_rule(counted: DataFrame) -> DataFrame:
+    """Hits and documents of each rule."""
+    return counted.groupBy("rule_id").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-def by_document_and_rule(hits: DataFrame) -> DataFrame:
+def by_document_and_rule(counted: DataFrame) -> DataFrame:
     """Both levels at once; a null rule_id is a document's total, nulls in both the corpus's."""
-    return hits.rollup("doc_id", "rule_id").agg(F.count("*").alias("n"))
+    return counted.rollup("doc_id", "rule_id").agg(F.sum("n").alias("n"))
+
+
+def with_hits(paragraphs: DataFrame, rules: Iterable[lint.Rule], lang: Column | None = None) -> DataFrame:
+    """Paragraphs in which some rule has a hit."""
+    return paragraphs.filter(F.size(lint.counts(F.col("text"), tuple(rules), lang)) > 0)
 
 
 def fix(paragraphs: DataFrame, rules: Iterable[lint.Rule], lang: Column | None = None, only_hit: bool = False, on: Iterable[lint.Rule] | None = None) -> DataFrame:
     """Changed paragraphs with ``new_text``. ``only_hit``: just those with a hit of ``on`` (the same rules by default)."""
     rules = tuple(rules)
     if only_hit:
-        paragraphs = paragraphs.filter(F.size(lint.scan(F.col("text"), tuple(on or rules), lang)) > 0)
-    fixed = paragraphs.withColumn("new_text", lint.fix(F.col("text"), rules, lang))
-    return fixed.filter(F.col("new_text") != F.col("text"))
+        paragraphs = with_hits(paragraphs, tuple(on or rules), lang)
+    # a list of none or one, so that the fixes run once for the test and the result
+    changed = F.filter(F.array(lint.fix(F.col("text"), rules, lang)), lambda new: new != F.col("text"))
+    return paragraphs.withColumn("new_text", F.explode(changed))
 
 
 def apply_hits(paragraphs: DataFrame, chosen: DataFrame) -> DataFrame:

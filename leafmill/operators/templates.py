@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import tokens
 from leafmill.functions.patterns import ends_trimmed
+from leafmill.storage import stored
 
 
 def token_rows(paragraphs: DataFrame, hits: Column) -> DataFrame:
@@ -53,10 +54,14 @@ def read_library(raw: DataFrame, column: str = "json") -> DataFrame:
 
 
 def upsert(library: DataFrame, new: DataFrame) -> DataFrame:
-    """The newest row of each name."""
-    newest = Window.partitionBy("name").orderBy(F.desc("updated_at"), F.desc("_new"), "body")
-    both = library.withColumn("_new", F.lit(0)).unionByName(valid_library(new).withColumn("_new", F.lit(1)))
-    return both.withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k", "_new")
+    """The newest row of each name; of equally new ones a new row, then the first body. Rows without a time are oldest.
+
+    An aggregate that combines before the shuffle, so a name with very many versions is no hot key.
+    """
+    both = library.select("*", F.lit(0).alias("_new")).unionByName(valid_library(new).select("*", F.lit(1).alias("_new")))
+    order = F.struct(F.col("updated_at").isNull(), -F.col("updated_at"), -F.col("_new"), "body")
+    newest = F.min_by(F.struct(*library.columns), order)
+    return both.groupBy("name").agg(newest.alias("_row")).select("_row.*")
 
 
 def delete(library: DataFrame, names: DataFrame) -> DataFrame:
@@ -90,5 +95,18 @@ def expand_and_fill(text: Column, bodies: Column, values: Column, as_of: datetim
     return F.struct(full["text"].alias("text"), grown["n"].alias("n_expanded"), full["n"].alias("n_filled"))
 
 
+def ranked_names(names: DataFrame, collation: str = "pl") -> DataFrame:
+    """place (from 1), name of different ``names`` in a language's order, without bringing them into one task.
+
+    Names are range-partitioned, numbered in each part, and the counts of the parts before are added (one row a part).
+    """
+    ordered = F.collate(F.col("name"), collation)
+    parts = stored(names.select("name").repartitionByRange(ordered, "name").withColumn("part", F.spark_partition_id()), "ranked")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part").join(sizes.select(F.col("part").alias("p"), "n"), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(ordered, "name"))
+    return parts.withColumn("own", own).join(before, "part").select((F.col("own") + F.col("before")).cast("int").alias("place"), "name")
+
+
 def by_collation(library: DataFrame, collation: str = "pl") -> DataFrame:
     return library.orderBy(F.collate(F.col("name"), collation), "name")

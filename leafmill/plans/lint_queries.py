@@ -76,18 +76,18 @@ def g10(spark, sf_dir):
 @query("g10_scan_by_row_language", f"{ALL_HITS} SELECT d.lang, rule_id, count(*) AS n FROM h JOIN d USING (doc_id, para_idx) WHERE d.lang = 'en' AND rule_id NOT IN ('quotes-pl', 'orphan-i') GROUP BY ALL")
 def g10_lang(spark, sf_dir):
     """Each paragraph by the rules of its own language; languages without rules have no hits."""
-    hits = linting.scan(defects(spark, sf_dir), lint.enabled(None), F.col("lang"), details=False)
-    return hits.groupBy("lang", "rule_id").agg(F.count("*").alias("n"))
+    counted = linting.counts(defects(spark, sf_dir), lint.enabled(None), F.col("lang"))
+    return counted.groupBy("lang", "rule_id").agg(F.sum("n").alias("n"))
 
 
 @query("a03_hits_by_rule", f"{ALL_HITS} SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM h GROUP BY rule_id")
 def a03(spark, sf_dir):
-    return linting.by_rule(linting.scan(defects(spark, sf_dir), lint.enabled("pl"), details=False))
+    return linting.by_rule(linting.counts(defects(spark, sf_dir), lint.enabled("pl")))
 
 
 @query("a03_hits_rollup", f"{ALL_HITS} SELECT doc_id, rule_id, count(*) AS n FROM h GROUP BY ROLLUP (doc_id, rule_id)")
 def a03_rollup(spark, sf_dir):
-    return linting.by_document_and_rule(linting.scan(defects(spark, sf_dir), lint.enabled("pl"), details=False))
+    return linting.by_document_and_rule(linting.counts(defects(spark, sf_dir), lint.enabled("pl")))
 
 
 @query("g11_fix_batch", f"{ALL_HITS}, f AS ({_chain(['ellipsis'])}) SELECT doc_id, para_idx, text AS new_text FROM f SEMI JOIN h USING (doc_id, para_idx) WHERE text <> old_text")
@@ -108,9 +108,7 @@ def g12(spark, sf_dir):
 @query("j06_paragraphs_with_hits", f"{ALL_HITS} SELECT DISTINCT doc_id, para_idx FROM h")
 def j06(spark, sf_dir):
     """Paragraphs that have hits (also the set U4)."""
-    d = defects(spark, sf_dir)
-    hits = linting.scan(d, lint.enabled("pl"), details=False).select("doc_id", "para_idx").distinct()
-    return d.join(hits, ["doc_id", "para_idx"], "left_semi").select("doc_id", "para_idx")
+    return linting.with_hits(defects(spark, sf_dir), lint.enabled("pl")).select("doc_id", "para_idx")
 
 
 @query("j07_rules_by_language", f"WITH {D_SQL} SELECT lang, count(*) AS n_paragraphs, (count(*) * CASE lang WHEN 'en' THEN 4 WHEN 'pl' THEN 7 ELSE 0 END)::BIGINT AS n_checks FROM d GROUP BY lang")

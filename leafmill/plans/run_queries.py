@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import runs as R
 from leafmill.operators import structure, styled
 from leafmill.plans.base import P_SQL, paras, query, table
-from leafmill.sources import html
+from leafmill.sources import docx, html
 
 
 @query("s06_html_runs")
@@ -72,11 +72,30 @@ def w02(spark, sf_dir):
     return styled.merged(styled.exploded(_styled(spark, sf_dir))).select("doc_id", "para_idx", "run_idx", "text", R.style_css(F.col("style")).alias("css"))
 
 
-@query("r06_runs_to_text", f"WITH {P_SQL} SELECT doc_id, para_idx, text, true AS merged_equal FROM p")
+@query("r06_runs_to_text", f"WITH {P_SQL} SELECT doc_id, para_idx, text, (doc_id + para_idx) % 2 = 0 OR len(string_split(text, ' ')) <= 3 AS same FROM p")
 def r06(spark, sf_dir):
-    """Text of runs, and equality with the merged runs."""
-    r = _styled(spark, sf_dir)
-    return r.select("doc_id", "para_idx", R.runs_text(F.col("runs")).alias("text"), R.runs_equal(F.col("runs"), R.merge_adjacent(F.col("runs"))).alias("merged_equal"))
+    """Text of runs, and their equality with the merged runs or, in every other paragraph, with unstyled ones.
+
+    The first three words have no style, so only paragraphs of up to three words equal unstyled runs.
+    """
+    runs = F.col("runs")
+    other = F.when((F.col("doc_id") + F.col("para_idx")) % 2 == 0, R.merge_adjacent(runs)).otherwise(R.text_runs(F.col("text")))
+    return _styled(spark, sf_dir).select("doc_id", "para_idx", R.runs_text(runs).alias("text"), R.runs_equal(runs, other).alias("same"))
+
+
+@query("s09_styled_to_html", f"""{_W} SELECT doc_id, para_idx, string_agg(CASE WHEN css = '' THEN t ELSE '<span style="' || css || '">' || t || '</span>' END, '' ORDER BY run_idx) AS html
+FROM (SELECT doc_id, para_idx, run_idx, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, {_CSS_OF} AS css FROM m) GROUP BY doc_id, para_idx""")
+def s09_styled(spark, sf_dir):
+    """Merged runs of all paragraphs as HTML."""
+    return _styled(spark, sf_dir).select("doc_id", "para_idx", R.runs_html(R.merge_adjacent(F.col("runs"))).alias("html"))
+
+
+@query("s03_docx_runs", f"{_W} SELECT doc_id, para_idx, run_idx, false AS is_break, text, {_CSS_OF} AS css FROM m")
+def s03(spark, sf_dir):
+    """Styled runs written into packages and read out of them again."""
+    xml = R.runs_xml(R.merge_adjacent(F.col("runs")))
+    packages = docx.built(_styled(spark, sf_dir).select("doc_id", "para_idx", xml.alias("xml")))
+    return styled.exploded(docx.paragraphs(docx.parsed(packages))).withColumn("css", R.style_css(F.col("style"))).drop("style")
 
 
 @query("j09_offsets_to_runs", f"""{_W} SELECT doc_id, para_idx, 5 AS start, 25 AS "end", run_idx, greatest(5 - (run_end - len(text)), 0)::INTEGER AS from_offset, (least(25, run_end) - (run_end - len(text)))::INTEGER AS to_offset

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,10 +12,10 @@ from leafmill.operators import templates
 from leafmill.plans.base import P_SQL, paras, query, table
 from leafmill.plans.lint_queries import ALL_HITS
 from leafmill.sources import docx
+from leafmill.storage import shared_folder
 from leafmill.streaming import ingest
 
 
-
 def packages(spark, sf_dir):
     """A package of every document: its paragraphs, every third one a list item."""
     p = paras(spark, sf_dir)
@@ -35,13 +34,6 @@ def s02(spark, sf_dir):
     return docx.text_nodes(docx.parsed(packages(spark, sf_dir)))
 
 
-@query("s03_docx_runs", f"WITH {P_SQL} SELECT doc_id, para_idx, 0 AS run_idx, false AS is_break, text, '' AS css FROM p")
-def s03(spark, sf_dir):
-    from leafmill.operators.styled import exploded
-
-    return exploded(docx.paragraphs(docx.parsed(packages(spark, sf_dir)))).withColumn("css", R.style_css(F.col("style"))).drop("style")
-
-
 @query("s05_routing", "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN 'docx' WHEN doc_id % 4 = 1 THEN 'pdf' ELSE 'unsupported' END AS file_type, source || '-' || doc_id || CASE doc_id % 4 WHEN 0 THEN '_edited.docx' WHEN 1 THEN '.pdf_edited.docx' WHEN 2 THEN '.txt_edited.docx' ELSE '_edited.docx' END AS saved FROM documents")
 def s05(spark, sf_dir):
     """Routing by name, and the name under which an edited file is saved."""
@@ -73,8 +65,7 @@ def st01(spark, sf_dir):
     """The same measures on a stream: what lies in the folder has arrived, results are appended and read back."""
     from leafmill.plans.base import defects
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-leafmill-")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"]), "\n")
     docs = defects(spark, sf_dir).groupBy("doc_id").agg(texts.alias("text"))
     docs.write.parquet(f"{place}/in")

@@ -177,11 +177,8 @@ def k12(spark, sf_dir):
 
 @query("o01_polish_order", "SELECT (row_number() OVER (ORDER BY c_name COLLATE pl, c_name))::INTEGER AS place, c_name AS name FROM (SELECT DISTINCT c_name FROM customer)")
 def o01(spark, sf_dir):
-    """Names in Polish order; the place of each is a ranked window, so the order survives the output."""
-    from pyspark.sql import Window
-
-    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).distinct()
-    return names.select(F.row_number().over(Window.orderBy(F.collate(F.col("name"), "pl"), "name")).alias("place"), "name")
+    """Names in Polish order, with their places, so the order survives the output."""
+    return templates.ranked_names(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).distinct())
 
 
 @query("o02_by_length", "SELECT string_agg(turn, ' ' ORDER BY len(text) DESC, turn) AS turns, conv_id FROM conversations GROUP BY conv_id")

@@ -97,7 +97,7 @@ def t16(spark, sf_dir):
     return _each(spark, sf_dir, sample=T.shortened(_c(), 72), label=T.shortened(_c(), 80))
 
 
-@query("t17_file_size", "SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 3) * 97 AS b FROM documents)")
+@query("t17_file_size", "SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0 * 10 + 0.5) / 10) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 3) * 97 AS b FROM documents)")
 def t17(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.file_size(F.col("n_chars") * (F.col("doc_id") % 3) * 97).alias("size"))
 

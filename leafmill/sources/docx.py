@@ -237,14 +237,19 @@ def patched(files: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def save(packages: DataFrame, folder: str, name: str = "name") -> None:
-    """Writes each package to a file of its own in a folder that all executors share (a mounted path)."""
+    """Writes each package to a file of its own in a folder that all executors share (a mounted path). A file appears
+    whole or not at all, also if its task runs twice or is lost."""
 
     def put(rows) -> None:
         import os
+        import uuid
 
         os.makedirs(folder, exist_ok=True)
         for r in rows:
-            with open(os.path.join(folder, r[name]), "wb") as f:
+            path = os.path.join(folder, r[name])
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
                 f.write(r["content"])
+            os.replace(part, path)
 
     packages.select(name, "content").foreachPartition(put)

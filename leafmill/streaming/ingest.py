@@ -19,7 +19,7 @@ def measured(docs: DataFrame, lang: str = "pl") -> DataFrame:
     """Stateless statistics and lint counts of each document, from its paragraph array; batch or stream."""
     paras = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rules = lint.enabled(lang)
-    hits = F.transform(paras, lambda t: F.size(lint.scan(t, rules)))
+    hits = F.transform(paras, lambda t: F.aggregate(lint.counts(t, rules), F.lit(0), lambda a, c: a + c["n"]))
     words = F.transform(paras, word_count)
     return docs.select("doc_id", F.size(paras).alias("paragraphs"), F.aggregate(words, F.lit(0), lambda a, w: a + w).alias("words"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.aggregate(hits, F.lit(0), lambda a, n: a + n).alias("n_hits"))
 
