@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.patterns import NOT_WS, WORD_START, WS, let, rebuild, regex_hits
+from leafmill.functions.patterns import NOT_WS, WORD_START, WS, fast, let, rebuild, regex_hits
 from leafmill.model import HIT
 
 # The rules' patterns and their languages.
@@ -22,7 +22,9 @@ CAPITAL = "(^|[.!?]" + WS + "+)([a-ząćęłńóśźż])"
 ORPHAN = "(" + NOT_WS + "+)" + WS + r"+(i)\." + WS + r"*\z"
 SINGLE_LETTER = "(?i)" + WORD_START + "([wzioua])" + WS + "+"
 NBSP = chr(0xA0)
-_LAST_I = WS + r"i\." + WS + r"*\z"
+#: The same hits as ORPHAN has, tried once a word, and the end that a text with a hit has.
+_ORPHAN_ONCE = f"(?<!{NOT_WS})({NOT_WS}++){WS}++(i)\\.{WS}*\\z"
+_LAST_I = f"i\\.{WS}*\\z"
 
 
 @dataclass(frozen=True)
@@ -38,8 +40,8 @@ class Rule:
 
     def count(self, text: Column) -> Column:
         """How many hits a text has, without placing them."""
-        n = F.regexp_count(text, F.lit(self.pattern))
-        return n if self.only is None else F.when(text.rlike(self.only), n).otherwise(F.lit(0))
+        n = F.regexp_count(text, F.lit(fast(self.pattern)))
+        return n if self.only is None else F.when(text.rlike(fast(self.only)), n).otherwise(F.lit(0))
 
 
 def _after(pattern: str, after: Callable[[Column], Column], cut: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
@@ -57,16 +59,16 @@ def _after(pattern: str, after: Callable[[Column], Column], cut: Callable[[Colum
 
 
 def _sub(pattern: str, repl: str) -> Callable[[Column], Column]:
-    return lambda c: F.regexp_replace(c, pattern, repl)
+    return lambda c: F.regexp_replace(c, fast(pattern), repl)
 
 
 def _orphan_hits(text: Column) -> Column:
-    found = _after(ORPHAN, _sub(ORPHAN, "$2 $1."))(text)
-    return F.when(text.rlike(_LAST_I), found).otherwise(F.array().cast(f"array<{HIT}>"))
+    found = _after(_ORPHAN_ONCE, _sub(ORPHAN, "$2 $1."))(text)
+    return F.when(text.rlike(fast(_LAST_I)), found).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
 def _orphan_fix(text: Column) -> Column:
-    return let(text, lambda t: F.when(t.rlike(_LAST_I), _sub(ORPHAN, "$2 $1.")(t)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(fast(_LAST_I)), _sub(_ORPHAN_ONCE, "$2 $1.")(t)).otherwise(t))
 
 
 RULES = (
@@ -81,7 +83,7 @@ RULES = (
         _after(CAPITAL, F.upper, lambda b: F.length(b) - 1),
         lambda c: rebuild(c, CAPITAL, lambda m: F.concat(F.left(m, F.length(m) - 1), F.upper(F.right(m, F.lit(1))))),
     ),
-    Rule("orphan-i", ("pl",), ORPHAN, _orphan_hits, _orphan_fix, only=_LAST_I),
+    Rule("orphan-i", ("pl",), _ORPHAN_ONCE, _orphan_hits, _orphan_fix, only=_LAST_I),
     Rule("nbsp-pl", ("pl",), SINGLE_LETTER, _after(SINGLE_LETTER, lambda b: F.concat(F.left(b, F.lit(1)), F.lit(NBSP))), _sub(SINGLE_LETTER, "$1" + NBSP), optional=True),
 )
 

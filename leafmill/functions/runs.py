@@ -101,7 +101,9 @@ def merge_adjacent(runs: Column) -> Column:
     brk = lambda r: F.coalesce(r["is_break"], F.lit(False))
 
     def joined(r: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | brk(F.get(r, i)) | brk(F.get(r, i - 1)) | ~styles_equal(F.get(r, i)["style"], F.get(r, i - 1)["style"]))
+        # null for a break, which equals nothing
+        looks = F.transform(r, lambda x: F.when(~brk(x), normal(x["style"])))
+        starts = let(looks, lambda s: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True))))
 
         def one(s: Column, at: Column, k: Column) -> Column:
             part, first = F.slice(r, at + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - at), F.get(r, at)
@@ -117,13 +119,15 @@ def runs_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r["is_break"], "\n").otherwise(F.coalesce(r["text"], F.lit("")))), "")
 
 
-def runs_equal(a: Column, b: Column) -> Column:
-    """Same breaks, texts and styles once neighbours are merged."""
+def canonical(runs: Column) -> Column:
+    """Merged runs whose missing and empty values are alike: equal for runs that look the same."""
+    brk = lambda r: F.coalesce(r["is_break"], F.lit(False))
+    return F.transform(merge_adjacent(runs), lambda r: F.struct(brk(r), F.when(~brk(r), F.struct(F.coalesce(r["text"], F.lit("")), normal(r["style"])))))
 
-    def plain(runs: Column) -> Column:
-        return F.transform(merge_adjacent(runs), lambda r: F.struct(F.coalesce(r["is_break"], F.lit(False)), F.when(~F.coalesce(r["is_break"], F.lit(False)), F.struct(F.coalesce(r["text"], F.lit("")), normal(r["style"])))))
 
-    return F.to_json(plain(a)) == F.to_json(plain(b))
+def runs_equal(a: Column, b: Column) -> Column:
+    """Same breaks, texts and styles once neighbours are merged."""
+    return canonical(a) == canonical(b)
 
 
 def text_runs(text: Column) -> Column:

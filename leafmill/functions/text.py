@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.patterns import WS, WS_CHARS, ends_trimmed, literal_pattern, literal_replacement, regex_hits
+from leafmill.functions.patterns import WS, WS_CHARS, ends_trimmed, fast, literal_pattern, literal_replacement, regex_hits
 
 
 def sanitize_xml(text: Column) -> Column:
@@ -47,7 +47,7 @@ def trim_ends(text: Column) -> Column:
 
 
 def trim_collapse(text: Column) -> Column:
-    return ends_trimmed(F.regexp_replace(text, f"{WS}+", " "))
+    return ends_trimmed(F.regexp_replace(text, fast(f"{WS}+"), " "))
 
 
 def trim_hard(text: Column) -> Column:
@@ -94,7 +94,7 @@ def escape_html(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WS}+", -1), lambda w: F.length(w) > 0)
+    return F.filter(F.split(text, fast(f"{WS}+"), -1), lambda w: F.length(w) > 0)
 
 
 def word_count(text: Column) -> Column:

@@ -26,7 +26,7 @@ def nested(rows: DataFrame) -> DataFrame:
 def merged(rows: DataFrame) -> DataFrame:
     """Neighbours of equal style as one run, by islands of unchanged style; breaks never merge."""
     order = Window.partitionBy(*KEY).orderBy("run_idx")
-    plain = F.to_json(R.normal(F.col("style")))
+    plain = R.normal(F.col("style"))
     brk = F.coalesce("is_break", F.lit(False))
     starts = (F.lag(plain).over(order).isNull() | (F.lag(plain).over(order) != plain) | brk | F.coalesce(F.lag(brk).over(order), F.lit(True))).cast("int")
     island = rows.withColumn("_new", starts).withColumn("_island", F.sum("_new").over(order))

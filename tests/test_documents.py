@@ -19,28 +19,28 @@ def texts(df):
 
 @pytest.fixture()
 def sample(spark):
-    lines = ["Sample document — one", "To jest przykładowy dokument testowy dla programu.", "Szukaj: {{placeholder}} — pole do wypełnienia w przyszłości."]
+    lines = ["Kiln log — spring", "Każda partia szkliwa stygnie przez noc w piecu.", "Wpisz {{partia}} przy każdym piecu, zanim ostygnie."]
     return spark.createDataFrame([("a", i, t, "Heading1" if i == 0 else None) for i, t in enumerate(lines)], "doc_id string, para_idx int, text string, style string")
 
 
 def test_sample_document(sample):
     got = structure.statistics(sample).first()
-    assert (got["paragraphs"], got["chars"], got["words"], got["tables"], got["headings"]) == (3, 131, 19, 0, 3)
-    assert templates.field_summary(sample).first()["name"] == "placeholder"
-    done = search.replace_some(sample, "{{placeholder}}", "WYPELNIONE", order="para_idx")
+    assert (got["paragraphs"], got["chars"], got["words"], got["tables"], got["headings"]) == (3, 115, 19, 0, 3)
+    assert templates.field_summary(sample).first()["name"] == "partia"
+    done = search.replace_some(sample, "{{partia}}", "B-17", order="para_idx")
     assert done.agg(F.sum("n_replaced")).first()[0] == 1
 
 
 def test_structural_edits(spark):
-    p = spark.createDataFrame([("a", 0, "ROUNDTRIP INLINE EDIT"), ("a", 1, "next")], "doc_id string, para_idx int, text string")
-    cut = spark.createDataFrame([("a", 0, "ROUNDTRIP", "INLINE EDIT")], "doc_id string, para_idx int, before string, after string")
+    p = spark.createDataFrame([("a", 0, "night firing morning check"), ("a", 1, "next")], "doc_id string, para_idx int, text string")
+    cut = spark.createDataFrame([("a", 0, "night firing", "morning check")], "doc_id string, para_idx int, before string, after string")
     two = edits.split_paragraphs(p, cut)
-    assert texts(two) == ["ROUNDTRIP", "INLINE EDIT", "next"]
+    assert texts(two) == ["night firing", "morning check", "next"]
     joined = edits.merge_paragraphs(two, spark.createDataFrame([("a", 1)], "doc_id string, para_idx int"))
-    assert texts(joined) == ["ROUNDTRIPINLINE EDIT", "next"]
-    assert joined.filter("para_idx = 0").first()["join_at"] == 9
-    batch = edits.apply_batch(p, spark.createDataFrame([("a", 0, "LINE1\nLINE2"), ("a", 9, "x")], "doc_id string, para_idx int, text string"))
-    assert texts(batch) == ["LINE1\nLINE2", "next"]
+    assert texts(joined) == ["night firingmorning check", "next"]
+    assert joined.filter("para_idx = 0").first()["join_at"] == 12
+    batch = edits.apply_batch(p, spark.createDataFrame([("a", 0, "upper shelf\nlower shelf"), ("a", 9, "x")], "doc_id string, para_idx int, text string"))
+    assert texts(batch) == ["upper shelf\nlower shelf", "next"]
     kinds = [r["is_break"] for r in batch.filter("para_idx = 0").select(F.explode(R.text_runs(F.col("text"))).alias("r")).select("r.*").collect()]
     assert kinds == [False, True, False]
     levels = spark.createDataFrame([("a", 0, 8), ("a", 1, -1)], "doc_id string, para_idx int, list_level int")
@@ -83,18 +83,18 @@ def test_library(spark):
 
 def test_package_round_trip(spark, tmp_path):
     props = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
-    runs = '<w:r><w:rPr><w:b/><w:color w:val="FF0000"/><w:sz w:val="28"/></w:rPr><w:t>Red bold</w:t></w:r><w:r><w:rPr><w:i/><w:u w:val="single"/></w:rPr><w:t xml:space="preserve"> italic underline</w:t></w:r><w:r><w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr><w:t xml:space="preserve"> mono</w:t></w:r>'
-    table = "<w:r><w:t>LINE1</w:t></w:r><w:r><w:br/></w:r><w:r><w:t>LINE2</w:t></w:r>"
+    runs = '<w:r><w:rPr><w:b/><w:color w:val="FF0000"/><w:sz w:val="28"/></w:rPr><w:t>Loud crimson</w:t></w:r><w:r><w:rPr><w:i/><w:u w:val="single"/></w:rPr><w:t xml:space="preserve"> leaning line</w:t></w:r><w:r><w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr><w:t xml:space="preserve"> typed</w:t></w:r>'
+    table = "<w:r><w:t>upper shelf</w:t></w:r><w:r><w:br/></w:r><w:r><w:t>lower shelf</w:t></w:r>"
     content = docx.new_package([props + runs, table], {"word/other.xml": b"<x/>", "media/a.bin": bytes(range(256))})
     files = spark.createDataFrame([("a", bytearray(content)), ("broken", bytearray(b"no zip"))], "doc_id string, content binary")
     paras = docx.paragraphs(docx.parsed(files))
-    assert texts(paras) == ["Red bold italic underline mono", "LINE1\nLINE2"]
+    assert texts(paras) == ["Loud crimson leaning line typed", "upper shelf\nlower shelf"]
     first = paras.filter("para_idx = 0").first()
     assert first["style"] == "Heading1" and first["list_level"] == -1
     assert [(r["text"], r["style"]["bold"], r["style"]["color"], r["style"]["font_size"], r["style"]["font_family"]) for r in first["runs"]] == [
-        ("Red bold", True, "#FF0000", "14pt", None),
-        (" italic underline", None, None, None, None),
-        (" mono", None, None, None, "Courier New"),
+        ("Loud crimson", True, "#FF0000", "14pt", None),
+        (" leaning line", None, None, None, None),
+        (" typed", None, None, None, "Courier New"),
     ]
     # writing the runs back and reading them again keeps every property
     changes = paras.filter("para_idx = 0").select("doc_id", "para_idx", R.runs_xml(F.col("runs")).alias("xml"))
@@ -143,14 +143,75 @@ def test_html_runs(spark):
     ]
 
 
+def plain_blocks(page):
+    """Blocks of a page as [tag, [(break or text, bold, italic, underline)]], by walking its tags one by one."""
+    import html as entities
+    import re
+
+    out, around, current = [], [], None
+    page = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", page or "")
+    for tag, name, text in re.findall(r"(<(/?\w+)[^>]*>)|([^<]+)", page):
+        name = name.lower()
+        if name.lstrip("/") in html.BLOCKS:
+            around, current = [], None
+            if name[0] != "/":
+                current = []
+                out.append([name, current])
+        elif name == "br" and current is not None:
+            current.append((None, {a for a in around}))
+        elif text and current is not None:
+            current.append((entities.unescape(text), {a for a in around}))
+        elif name and name[0] == "/" and name[1:] in around:
+            del around[len(around) - 1 - around[::-1].index(name[1:]) :]
+        elif name and name[0] != "/" and current is not None and name not in html.VOID:
+            around.append(name)
+    merged = []
+    for tag, pieces in out:
+        runs = []
+        for text, tags in pieces:
+            look = (bool(tags & {"b", "strong"}), bool(tags & {"i", "em"}), "u" in tags)
+            if text is not None and runs and runs[-1][0] is not None and runs[-1][1] == look:
+                runs[-1] = (runs[-1][0] + text, look)
+            else:
+                runs.append((text, look if text is not None else None))
+        merged.append((tag, runs))
+    return merged
+
+
+def test_whole_pages_by_walking(spark, sf_dir):
+    """All runs of all pages, their HTML and their outline (s06, s09, w03) against a plain walk over the tags."""
+    import html as entities
+
+    from leafmill.plans.registry import QUERIES
+
+    pages = {r["page_id"]: plain_blocks(r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+
+    def css(look):
+        return ";".join(c for c, on in zip(("font-weight:bold", "font-style:italic", "text-decoration:underline"), look or ()) if on)
+
+    runs = [(d, i, k, text is None, text, css(look)) for d, b in pages.items() for i, (_, rs) in enumerate(b) for k, (text, look) in enumerate(rs)]
+    got = QUERIES["s06_html_runs"](spark, sf_dir).select("doc_id", "para_idx", "run_idx", "is_break", "text", "style").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(runs, key=str) and any(r[5] for r in runs)
+
+    def shown(text, look):
+        text = entities.escape(text, quote=False) if text is not None else None
+        return "<br>" if text is None else f'<span style="{css(look)}">{text}</span>' if css(look) else text
+
+    want = sorted((d, i, "".join(shown(*r) for r in rs)) for d, b in pages.items() for i, (_, rs) in enumerate(b))
+    assert sorted(map(tuple, QUERIES["s09_runs_to_html"](spark, sf_dir).collect())) == want
+    heads = {(d, i) for d, b in pages.items() for i, (tag, rs) in enumerate(b) if tag[0] == "h" and any(t and t.strip() for t, _ in rs)}
+    found = QUERIES["w03_page_outline"](spark, sf_dir)
+    assert heads <= {(r["doc_id"], r["para_idx"]) for r in found.collect()}
+
+
 def test_restyle_and_splice(spark):
-    r = spark.createDataFrame([("a", 0, 0, False, "Red bold", (True, None, None, "red", None, None)), ("a", 0, 1, False, " plain", (None,) * 6)], f"doc_id string, para_idx int, run_idx int, is_break boolean, text string, style {__import__('leafmill.model').model.STYLE}")
-    mark = spark.createDataFrame([("a", 0, 4, 11)], "doc_id string, para_idx int, start int, end int").withColumn("new_style", R.style(underline=F.lit(True)))
+    r = spark.createDataFrame([("a", 0, 0, False, "Dark ink", (True, None, None, "red", None, None)), ("a", 0, 1, False, " faint", (None,) * 6)], f"doc_id string, para_idx int, run_idx int, is_break boolean, text string, style {__import__('leafmill.model').model.STYLE}")
+    mark = spark.createDataFrame([("a", 0, 5, 11)], "doc_id string, para_idx int, start int, end int").withColumn("new_style", R.style(underline=F.lit(True)))
     got = styled.restyle(r, mark).orderBy("run_idx").collect()
-    assert [(x["text"], x["style"]["bold"], x["style"]["underline"]) for x in got] == [("Red ", True, None), ("bold", True, True), (" pl", None, True), ("ain", None, None)]
-    new = spark.createDataFrame([("a", 0, 8, 8, " NOWY")], "doc_id string, para_idx int, start int, end int, insert string")
+    assert [(x["text"], x["style"]["bold"], x["style"]["underline"]) for x in got] == [("Dark ", True, None), ("ink", True, True), (" fa", None, True), ("int", None, None)]
+    new = spark.createDataFrame([("a", 0, 8, 8, " added")], "doc_id string, para_idx int, start int, end int, insert string")
     got = styled.splice(r, new).orderBy("run_idx").collect()
-    assert [(x["text"], x["style"]["bold"]) for x in got] == [("Red bold NOWY", True), (" plain", None)]
+    assert [(x["text"], x["style"]["bold"]) for x in got] == [("Dark ink added", True), (" faint", None)]
 
 
 def test_stream_equals_batch(spark, tmp_path, sf_dir):
