@@ -7,8 +7,6 @@ from prefix sums, so no Python code runs per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,39 +15,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.storage import stored
+
 #: Texts are handed to NumPy in runs of about this many bytes, which bounds a worker's memory.
 RUN_BYTES = 1 << 20
 
-_own_folder: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse; where driver and
-    executors are one process (local mode), a temporary one."""
-    global _own_folder
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        found = spark.conf.get("spark.sql.warehouse.dir")
-    if found:
-        return found.rstrip("/")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-leafmill-")
-    return _own_folder
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps reuse it, and lost executors cost nothing.
-
-    The table stays until the folder is cleared, since lazily returned results may still read it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: later steps reuse it, and lost executors cost nothing."""
+    return stored(df, name)
 
 
 def free_prefix(columns: list[str], prefix: str) -> str:

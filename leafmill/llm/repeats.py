@@ -1,9 +1,10 @@
-"""Removal of repeated 400-byte strings by distributed prefix doubling.
+"""Removal of repeated 400-byte strings by winnowing with exact refinement, in place of prefix doubling.
 
-Prefix doubling ranks all positions by growing prefixes: Spark groups the pairs (rank so far, rank of what follows),
-gives equal pairs one new rank, and positions with a rank of their own leave. Only equality matters here, so a rank is
-a 64-bit fingerprint. Ranking every byte position would move hundreds of bytes for each input byte, so the rounds run
-over synchronised positions, which equal strings share by construction, and reach single bytes only where needed:
+Like prefix doubling it goes on in rounds of growing length, in which Spark groups (rank so far, new rank), and strings
+with a rank of their own leave. Unlike it, no rank is formed from two earlier ones: a rank is a 64-bit fingerprint of
+the bytes, as only equality matters. And ranking every byte position would move many bytes for each input byte, so the
+rounds run over synchronised positions, which equal strings share by construction, and reach single bytes only where
+needed:
 
 * Round 1, length 32. A position is an *anchor* if it is the leftmost minimum (by fingerprint) among the 32-byte
   strings of some 400-byte window; every window has exactly one. Equal windows have equal anchors at the same place,
@@ -18,7 +19,8 @@ In each round one member of every repeated rank goes on with the open ones, sinc
 Ranks are counted with map-side combining; groups are never collected, so copies in any number cost the same per row.
 
 Defined cases: null text is empty; repeated rows and repeated ids are texts of their own (told apart by id and text
-fingerprint); texts under 400 bytes are never touched; an empty table gives an empty result; other columns are ignored.
+fingerprint); texts under 400 bytes are never touched; texts are read whole, one that is longer than a run in a run of
+its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,12 @@ lies further outside the middle half than ``FENCE`` times its width plus a slack
 quartiles come from mergeable sketches (``percentile_approx``): every task sketches its own rows, so a language or
 source that holds a third of the corpus is no hot key. The fences are joined back on (lang, source).
 
+The sketch's rank error is 1 / ``ACCURACY``, so its quartiles are those of the group exactly while a group has fewer rows
+than that, and may be off by that share of the rows in larger ones.
+
 Defined cases: null text has no words and fails the base rules; null lang or source is a group of its own; repeated
-rows give repeated results; an empty table gives an empty result; other columns are ignored.
+rows give repeated results and count as often as they occur; a measure that equals its fence passes; texts are counted
+whole, however long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ document. The index folds A-Z, so it only ever admits more candidates, and it co
 
 Base rules: ``assign``, ``access``, ``hex``; further ones add spans. Offsets are code points, end exclusive.
 
-Defined cases: null text is empty and has no spans; repeated rows give repeated results; extra columns are ignored.
+Defined cases: null text is empty and has no spans; repeated rows give repeated results; texts are scanned whole,
+however long; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
