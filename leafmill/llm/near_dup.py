@@ -230,7 +230,8 @@ def _shared_places(places: DataFrame) -> DataFrame:
     drawn = F.array(*(F.min_by(F.struct("doc_id", "n", "left"), F.xxhash64("doc_id", "g", F.lit(i))) for i in range(DRAWS)))
     counts = places.groupBy("g", "component").agg(F.count("*").alias("c"), F.max("short").alias("short"), drawn.alias("hubs"))
     large = counts.groupBy("g").agg(F.max(F.struct("c", "component", "hubs")).alias("m"), F.max("short").alias("short"), F.count("*").alias("k"), F.sum("c").alias("held"))
-    large = large.filter("short and k > 1").select("g", "held", F.col("m.component").alias("large"), "m.hubs")
+    # a table of its own, so that the join can split a shingle that very many documents hold
+    large = cut(large.filter("short and k > 1").select("g", "held", F.col("m.component").alias("large"), "m.hubs"), "shared-shingles")
     return cut(places.join(large, "g").withColumn("other", F.col("component") != F.col("large")).drop("large"), "rare")
 
 
