@@ -101,7 +101,8 @@ def rerank(units: DataFrame, member: list[str], name: str) -> tuple[DataFrame, D
     crowded = _crowded(units, "cls", name)
     units = cut(units.join(crowded, "cls", "left_semi"), f"{name}-units")
     ranks = cut(units.groupBy("cls", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*member)).alias("one")), f"{name}-ranks")
-    open_ = ranks.filter("n = 1").select("cls").distinct()
+    # a table of its own, so that the join can split a class of very many ranks
+    open_ = cut(ranks.filter("n = 1").select("cls").distinct(), f"{name}-open")
     going = ranks.join(open_, "cls", "left_semi").select("cls", "one.*")
     return units.join(ranks.filter("n > 1").select("cls", "rank"), ["cls", "rank"], "left_semi"), going
 
