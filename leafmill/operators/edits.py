@@ -48,8 +48,12 @@ def change_list_level(paragraphs: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_batch(paragraphs: DataFrame, items: DataFrame) -> DataFrame:
-    """``items`` (doc_id, para_idx, text): new texts by position, sanitised; others and unknown positions are left alone."""
-    new = items.select("doc_id", "para_idx", T.sanitize_xml(F.col("text")).alias("_new"))
+    """``items`` (doc_id, para_idx, text): new texts by position, sanitised; others and unknown positions are left alone.
+
+    Of several items for one position the last by ``seq`` counts; without such a column, the greatest text.
+    """
+    last = F.max_by("text", F.struct("seq", "text")) if "seq" in items.columns else F.max("text")
+    new = items.groupBy("doc_id", "para_idx").agg(T.sanitize_xml(last).alias("_new"))
     rows = paragraphs.join(new, ["doc_id", "para_idx"], "left")
     rows = rows.withColumn("changed", F.col("_new").isNotNull() & (F.col("_new") != F.col("text")))
     return rows.withColumn("text", F.coalesce("_new", "text")).drop("_new")

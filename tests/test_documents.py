@@ -41,6 +41,9 @@ def test_structural_edits(spark):
     assert joined.filter("para_idx = 0").first()["join_at"] == 12
     batch = edits.apply_batch(p, spark.createDataFrame([("a", 0, "upper shelf\nlower shelf"), ("a", 9, "x")], "doc_id string, para_idx int, text string"))
     assert texts(batch) == ["upper shelf\nlower shelf", "next"]
+    twice = spark.createDataFrame([("a", 0, "zz first", 1), ("a", 0, "last", 2)], "doc_id string, para_idx int, text string, seq int")
+    assert texts(edits.apply_batch(p, twice)) == ["last", "next"]
+    assert texts(edits.apply_batch(p, twice.drop("seq"))) == ["zz first", "next"]
     kinds = [r["is_break"] for r in batch.filter("para_idx = 0").select(F.explode(R.text_runs(F.col("text"))).alias("r")).select("r.*").collect()]
     assert kinds == [False, True, False]
     levels = spark.createDataFrame([("a", 0, 8), ("a", 1, -1)], "doc_id string, para_idx int, list_level int")
