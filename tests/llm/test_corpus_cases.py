@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import cases
 import corpus_pipeline
+import doubling
 from leafmill.llm import language, mixing, near_dup, nearest, packing, quality, repeats, rules, secrets, toxicity
 from leafmill.llm.common import crc_mod
 
@@ -83,6 +84,13 @@ def test_repeats_inside_and_at_edges(spark):
     assert sorted(map(tuple, got.collect()), key=str) == cases.removed(rows)
 
 
+def test_repeats_are_those_of_prefix_doubling(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = counted(doubling.removed(doubling.repeated_positions(docs)))
+    got = repeats.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "n_removed", "n_spans")
+    assert counted(got) == want and want
+
+
 def test_secrets(docs, none):
     got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
     assert (got[15]["n_assign"], got[15]["n_access"], got[15]["n_hex"]) == (1, 1, 1)
