@@ -52,6 +52,8 @@ LOWER[65:91] += 32
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
 _BASE = 0x9E3779B97F4A7C15
+#: Weights of prefix sums start anew after this many bytes, so that the tables of powers don't grow with a text.
+TURN = 1 << 22
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
@@ -79,19 +81,33 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """S with S[0] = 0, from which :func:`spans_hash` takes the fingerprint of any span of ``buf``."""
-    power, _ = _powers(len(buf) + 1)
-    out = np.empty(len(buf) + 1, np.uint64)
+    n = len(buf)
+    power, _ = _powers(min(n, TURN) + 1)
+    out = np.empty(n + 1, np.uint64)
     out[0] = 0
-    terms = buf.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= power[: len(buf)]
-    np.cumsum(terms, out=out[1:])
+    for a in range(0, n, TURN):
+        terms = buf[a : a + TURN].astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[: len(terms)]
+        part = out[a + 1 : a + 1 + len(terms)]
+        np.cumsum(terms, out=part)
+        part += out[a]
     return out
 
 
 def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start])
+    _, inverse = _powers(min(len(sums), TURN + 1))
+    if len(sums) <= TURN + 1:
+        return mix((sums[end] - sums[start]) * inverse[start])
+    power, _ = _powers(TURN + 1)
+    h, weight, at = np.zeros(len(start), np.uint64), np.ones(len(start), np.uint64), np.asarray(start)
+    while True:  # as often as the longest span meets a new turn
+        stop = np.minimum(end, (at // TURN + 1) * TURN)
+        h += (sums[stop] - sums[at]) * inverse[at % TURN] * weight
+        if (stop >= end).all():
+            return mix(h)
+        weight *= power[stop - at]
+        at = stop
 
 
 def windows_hash(h: np.ndarray, n: int) -> np.ndarray:

@@ -54,17 +54,26 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(sums: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Places of one text's anchors, the least and the largest distance from a window's start, and the rank of each."""
-    n = len(sums) - 1
-    at = np.arange(n - seed + 1)
-    h = spans_hash(sums, at, at + seed)
-    # leftmost minimum: 33 bits of the fingerprint, then the place
-    place = (_sliding_min((h >> np.uint64(31)) << np.uint64(31) | at.astype(np.uint64), length - seed + 1) & np.uint64((1 << 31) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:], [len(place)]]) - 1
-    where = place[first]
-    return where, where - last, where - first, h[where]
+def anchors(sums: np.ndarray, length: int = LENGTH, seed: int = SEED, most: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Places of one text's anchors, the least and the largest distance from a window's start, and the rank of each.
+
+    At most ``most`` windows are looked at together, which bounds the memory that a long text takes.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    windows = len(sums) - length
+    for a in range(0, windows, most):
+        at = np.arange(a, min(a + most, windows) + length - seed)
+        h = spans_hash(sums, at, at + seed)
+        # leftmost minimum: 33 bits of the fingerprint, then the place
+        place = (_sliding_min((h >> np.uint64(31)) << np.uint64(31) | at.astype(np.uint64), length - seed + 1) & np.uint64((1 << 31) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.concatenate([first[1:], [len(place)]]) - 1
+        found.append((place[first], a + first, a + last, h[place[first] - a]))
+    where, first, last, rank = (np.concatenate(c) for c in zip(*found))
+    # an anchor whose windows lie on both sides of a cut is one
+    new = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    last = last[np.concatenate([new[1:], [len(where)]]) - 1]
+    return where[new], where[new] - last, where[new] - first[new], rank[new]
 
 
 def _signed(x: np.ndarray) -> pa.Array:

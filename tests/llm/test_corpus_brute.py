@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import boosting, language, quality, toxicity
+from leafmill.llm import boosting, common, language, quality, repeats, toxicity
 from leafmill.llm.common import buffers, crc_mod
 
 TEXTS = [
@@ -235,3 +235,28 @@ def test_equal_texts_score_alike(part, spark):
         by.setdefault(t[1] or "", set()).add(round(r["score"], 12))
     assert all(len(s) == 1 for s in by.values())
     assert by["tie"] and len(by) == len({t[1] or "" for t in cases.ROWS})
+
+
+def test_fingerprints_of_a_text_longer_than_a_turn(monkeypatch):
+    rng = np.random.default_rng(3)
+    buf = rng.integers(0, 4, 5000).astype(np.uint8)
+    start = rng.integers(0, 5001, 900)
+    end = np.minimum(start + rng.choice([0, 1, 40, 400, 3000], 900), 5000)
+    whole = common.spans_hash(common.prefix_sums(buf), start, end)
+    for turn in (64, 100, 1000, 4999, 5000):
+        monkeypatch.setattr(common, "TURN", turn)
+        assert (common.spans_hash(common.prefix_sums(buf), start, end) == whole).all()
+    raw = buf.tobytes()
+    texts = [raw[a:b] for a, b in zip(start, end)]
+    assert len(set(whole.tolist())) == len(set(texts)) == len(set(zip(whole.tolist(), texts)))
+
+
+@pytest.mark.parametrize("n", [400, 401, 800, 4000])
+def test_anchors_do_not_depend_on_slices(n):
+    sums = common.prefix_sums(np.random.default_rng(n).integers(0, 3, n).astype(np.uint8))
+    whole = repeats.anchors(sums)
+    # every window has exactly one anchor
+    where, low, high, _ = whole
+    assert sorted(s for w, a, b in zip(where, low, high) for s in range(w - b, w - a + 1)) == list(range(n - 399))
+    for most in (1, 7, 100, 399, n - 399):
+        assert all((a == b).all() for a, b in zip(repeats.anchors(sums, most=most), whole))
