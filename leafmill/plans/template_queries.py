@@ -72,6 +72,13 @@ def k05(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", K.resolve_body(body, AS_OF, "pl").alias("pl"), K.resolve_body(both, AS_OF, "pl").alias("both"))
 
 
+@query("k05_english_bodies", "SELECT c_custkey, 'On Jun 30, 2026 at 2:05 PM, Tuesday, ' || c_name AS body, c_name || ': Jun 30, 2026 2:05 PM' AS both FROM customer")
+def k05_english(spark, sf_dir):
+    n = F.col("c_name")
+    body, both = F.concat(F.lit("On {date} at {Time}, {day}, "), n, F.lit("{cursor}")), F.concat(n, F.lit(": {DateTime}"))
+    return table(spark, sf_dir, "customer").select("c_custkey", K.resolve_body(body, AS_OF, "en").alias("body"), K.resolve_body(both, AS_OF, "en").alias("both"))
+
+
 def _values():
     return F.create_map(F.lit("c_name"), F.when(F.col("doc_id") % 7 != 0, F.col("c_name")), F.lit("c_mktsegment"), F.concat(F.col("c_mktsegment"), F.lit(" $1 {{none}}")))
 
