@@ -206,6 +206,15 @@ def w05(spark, sf_dir):
     return search.numbered(search.matches_of(paras(spark, sf_dir), "tion", regex=True).drop("length", "sample"), step=-1)
 
 
+#: Numbers, or the ends of words from two vowels on, before a comma or full stop.
+_ENDS = "(?:[0-9]{2,}|[aeiou]{2}[a-z]+)[.,]"
+
+
+@query("t05_regex_find_all", f"WITH {P_SQL}, h AS (SELECT doc_id, para_idx, s AS start, len(m)::INTEGER AS length, m AS sample FROM {hits_sql('p', '(?i)' + _ENDS)}) SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, start) - 1)::INTEGER AS match_no FROM h")
+def t05_regex(spark, sf_dir):
+    return search.matches_of(paras(spark, sf_dir), _ENDS, regex=True)
+
+
 @query("p05_heading_search", f"WITH {P_SQL}, q AS (SELECT * FROM p WHERE len(text) < 120), h AS (SELECT doc_id, para_idx, s AS start, len(m)::INTEGER AS length, m AS sample FROM {hits_sql('q', '(?i)an')}) SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, start) - 1)::INTEGER AS match_no FROM h")
 def p05(spark, sf_dir):
     p = paras(spark, sf_dir).withColumn("is_heading", F.length("text") < 120)
@@ -219,6 +228,12 @@ def a02(spark, sf_dir):
     return out.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat_ws(":", x["para_idx"], x["text"])), "|"))
 
 
+@query("a02_regex_preview", f"WITH {P_SQL}, n AS (SELECT doc_id, para_idx, text, len(regexp_extract_all(text, '{_ENDS}')) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS k FROM n WHERE n > 0) SELECT doc_id, sum(n)::BIGINT AS hits, count(*) AS paragraphs, string_agg(para_idx || ':' || CASE WHEN len(text) > 72 THEN text[:69] || '…' ELSE text END, '|' ORDER BY para_idx) FILTER (k <= 8) AS samples FROM k GROUP BY doc_id")
+def a02_regex(spark, sf_dir):
+    out = search.preview(paras(spark, sf_dir), _ENDS, regex=True)
+    return out.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat_ws(":", x["para_idx"], x["text"])), "|"))
+
+
 _KTH = f"""WITH {P_SQL}, h AS (SELECT doc_id, para_idx, ord, s, len(m) AS l FROM {hits_sql('p', 'the')}),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, ord) AS k FROM h),
 c AS (SELECT doc_id, para_idx, s, l, k BETWEEN 3 AND 5 AS due FROM n)
