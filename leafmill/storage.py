@@ -24,9 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back. The table stays until the folder is cleared, since lazily
-    returned results may still read it."""
+    returned results may still read it. ``codec`` is Parquet's compression, by default the session's."""
     path = f"{shared_folder(df.sparkSession)}/leafmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
