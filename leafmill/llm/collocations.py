@@ -7,6 +7,10 @@ a run for each length stays open, and what a partition's first and last runs hol
 partitions that share them. No phrase is looked up in a table. A word, pair or line that a third of all texts hold is one
 row a batch, and its windows are dealt over as many ranges as they fill.
 
+In the stream, a word is a code of two or three bytes from a code book of at most ``CODES`` words, or else it is spelled
+out. The book is taken from about ``SAMPLE`` documents; it only shortens the stream (no code is the beginning of another,
+so windows with the same first words still stand together) and has no part in any result.
+
 The phrases that occur often enough are the count stream of everything that follows. A phrase's cuts are brought into
 prefix order for the counts of their left parts and into suffix order for those of their right parts, and phrases into
 the order of the parts of longer ones for extension counts; each is a merge join of two sorted streams. All sums and
@@ -32,43 +36,113 @@ from leafmill.llm.common import LOWER, buffers, cut, runs, spans_of, table
 
 ORDER, LEAST, COVERED, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 BATCH_BYTES, STREAM_ROWS, SHARDS = 4 << 20, 1 << 18, 64
+SAMPLE, CODES, SHORT = 20_000, 1 << 18, 1 << 14
 
 _B = np.arange(256)
 _BREAK = np.isin(_B, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _WORD = ~_BREAK & (_B != 0x20) & (_B != 0x09)
 
 
-def windows(buf: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[pa.Array, np.ndarray]:
-    """The window that each word of the texts starts, as its words with a space after each, and the word's document."""
+def words(buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the texts in lower case, the document of each, and where a piece begins."""
     low = LOWER[buf]
     start, end, doc = spans_of(_WORD[low], off)
-    if not len(start):
-        return pa.array([], pa.large_string()), doc
-    size = end - start
-    at = np.concatenate([[0], np.cumsum(size + 1)])  # place of each word among the words with their spaces
-    line = np.full(at[-1], 0x20, np.uint8)
-    line[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = low[_WORD[low]]
     breaks = np.concatenate([[0], np.cumsum(_BREAK[low])])
     new = np.ones(len(start), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (breaks[start[1:]] != breaks[end[:-1]])
-    piece_end = np.append(np.flatnonzero(new)[1:], len(start))[np.cumsum(new) - 1]
-    stop = at[np.minimum(np.arange(len(start)) + order, piece_end)]
-    n = stop - at[:-1]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    data = line[np.repeat(at[:-1] - upto[:-1], n) + np.arange(upto[-1])]
-    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(upto), pa.py_buffer(data)), doc
+    upto = np.concatenate([[0], np.cumsum(end - start)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(upto), pa.py_buffer(low[_WORD[low]])]), doc, new
+
+
+class Book:
+    """Codes of the most frequent words; a code is told by its first byte, a spelled word ends with a space."""
+
+    def __init__(self, found: list[bytes]):
+        self.found, self.array = found, pa.array(found, pa.large_binary())
+
+    def code(self, i: int) -> bytes:
+        return (0x8000 + i).to_bytes(2) if i < SHORT else (0xC00000 + i - SHORT).to_bytes(3)
+
+    def tokens(self, distinct: pa.Array) -> list[bytes]:
+        known = pc.index_in(distinct, self.array).to_pylist()
+        return [b"\x01" + w + b" " if i is None else self.code(i) for w, i in zip(distinct.to_pylist(), known)]
+
+    def word(self, token: bytes) -> bytes:
+        if token[0] == 1:
+            return token[1:-1]
+        return self.found[int.from_bytes(token) - 0x8000 if len(token) == 2 else int.from_bytes(token) - 0xC00000 + SHORT]
+
+
+def token_ends(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the tokens of all rows end."""
+    spaces = np.append(np.flatnonzero(buf == 0x20), len(buf))
+    mark = np.zeros(len(buf) + 1, bool)
+    at, stop = off[:-1], off[1:]
+    while True:
+        more = at < stop
+        at, stop = at[more], stop[more]
+        if not len(at):
+            return np.flatnonzero(mark)
+        lead = buf[at]
+        at = np.where(lead >= 0xC0, at + 3, np.where(lead >= 0x80, at + 2, spaces[np.searchsorted(spaces, at)] + 1))
+        mark[at] = True
+
+
+def windows(buf: np.ndarray, off: np.ndarray, langs: pa.Array, book: Book, order: int = ORDER) -> pa.Array:
+    """The window that each word of the texts starts: the tokens of its language and of the words."""
+    found, doc, new = words(buf, off)
+    if not len(found):
+        return pa.array([], pa.large_binary())
+    coded, spoken = found.dictionary_encode(), langs.cast(pa.large_binary()).dictionary_encode()
+    tokens, heads = book.tokens(coded.dictionary), book.tokens(spoken.dictionary)
+    pool = np.frombuffer(b"".join(tokens + heads), np.uint8)
+    size = np.fromiter(map(len, tokens + heads), np.int64, len(tokens) + len(heads))
+    place = np.concatenate([[0], np.cumsum(size)])[:-1]
+    word = coded.indices.to_numpy()
+    at = np.concatenate([[0], np.cumsum(size[word])])
+    line = pool[np.repeat(place[word] - at[:-1], size[word]) + np.arange(at[-1])]
+    piece_end = np.append(np.flatnonzero(new)[1:], len(found))[np.cumsum(new) - 1]
+    stop = at[np.minimum(np.arange(len(found)) + order, piece_end)]
+    head = len(tokens) + spoken.indices.to_numpy()[doc]
+    n, m = size[head], stop - at[:-1]
+    upto = np.concatenate([[0], np.cumsum(n + m)])
+    data = np.empty(upto[-1], np.uint8)
+    for source, begin, where, count in ((pool, place[head], upto[:-1], n), (line, at[:-1], upto[:-1] + n, m)):
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        data[np.repeat(where, count) + step] = source[np.repeat(begin, count) + step]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(m), [None, pa.py_buffer(upto), pa.py_buffer(data)])
+
+
+def _count_windows(book: Book):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in runs(whole, most=BATCH_BYTES):
+                got = pc.value_counts(windows(*buffers(batch.column("text")), batch.column("lang"), book))
+                order = pc.sort_indices(got.field(0))
+                for a in range(0, len(order), STREAM_ROWS):
+                    some = got.take(order.slice(a, STREAM_ROWS))
+                    yield pa.RecordBatch.from_arrays([some.field(0).cast(pa.binary()), some.field(1)], ["k", "c"])
+
+    return count
 
 
-def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in runs(whole, most=BATCH_BYTES):
-            found, doc = windows(*buffers(batch.column("text")))
-            keys = pc.binary_join_element_wise(batch.column("lang").cast(pa.large_string()).take(pa.array(doc)), found, pa.scalar(" ", pa.large_string()))
-            got = pc.value_counts(keys)
-            order = pc.sort_indices(got.field(0))
-            for a in range(0, len(order), STREAM_ROWS):
-                some = got.take(order.slice(a, STREAM_ROWS))
-                yield pa.RecordBatch.from_arrays([some.field(0).cast(pa.string()), some.field(1)], ["k", "c"])
+            found, doc, _ = words(*buffers(batch.column("text")))
+            langs = batch.column("lang").cast(pa.large_binary()).take(pa.array(doc))
+            got = pc.value_counts(pa.chunked_array([found, langs]))
+            for a in range(0, len(got), STREAM_ROWS):
+                some = got.slice(a, STREAM_ROWS)
+                yield pa.RecordBatch.from_arrays([some.field(0).cast(pa.binary()), some.field(1)], ["k", "c"])
+
+
+def code_book(docs: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> Book:
+    """The most frequent words (and languages) of about ``sample`` of the ``docs`` (lang, text)."""
+    share = sample / max(1, docs.count())
+    some = docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    often = some.mapInArrow(_count_words, "k binary, c bigint").groupBy("k").agg(F.sum("c").alias("c")).filter("c > 1")
+    return Book([bytes(r["k"]) for r in often.orderBy(F.desc("c"), "k").limit(codes).select("k").collect()])  # `codes` at most
 
 
 class Runs:
@@ -86,12 +160,12 @@ class Runs:
             self.out.append((self.key[d], d, self.count[d]))
 
     def add(self, rows: pa.Table) -> None:
-        keys = rows.column("k").combine_chunks().cast(pa.large_string())
+        keys = rows.column("k").combine_chunks().cast(pa.large_binary())
         c = rows.column("c").to_numpy()
         buf, off = buffers(keys)
-        ends = np.flatnonzero(buf == 0x20) + 1  # of all words; the language is the first of a row
-        words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(np.ascontiguousarray(buf)))
-        code = words.dictionary_encode().indices.to_numpy()
+        ends = token_ends(buf, off)  # of all words; the language is the first of a row
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(np.ascontiguousarray(buf))])
+        code = parts.dictionary_encode().indices.to_numpy()
         upto = np.searchsorted(ends, off, side="right")
         first, held = upto[:-1], np.diff(upto)
         raw, new = buf.tobytes(), np.zeros(len(c), bool)
@@ -116,13 +190,20 @@ class Runs:
                 self.key[d], self.count[d], self.edge[d] = (raw[a[-1] : b[-1]] if whole[-1] else None), int(total[-1]), False
         self.started = True
 
-    def take(self) -> pa.RecordBatch:
+    def take(self, book: Book) -> pa.RecordBatch:
+        """The closed runs: words with a space after each, d, c."""
         k, d, c = zip(*self.out) if self.out else ((), (), ())
         self.out = []
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()).cast(pa.string()), pa.array(d, pa.int32()), pa.array(c, pa.int64())], ["k", "d", "c"])
+        raw = b"".join(k)
+        off = np.concatenate([[0], np.cumsum([len(x) for x in k], dtype=np.int64)]).astype(np.int64)
+        ends = token_ends(np.frombuffer(raw, np.uint8), off)
+        said = [book.word(raw[i:j]) + b" " for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        upto = np.searchsorted(ends, off, side="right").tolist()
+        text = [b"".join(said[i:j]) for i, j in zip(upto, upto[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(text, pa.binary()).cast(pa.string()), pa.array(d, pa.int32()), pa.array(c, pa.int64())], ["k", "d", "c"])
 
 
-def _count_prefixes(least: int):
+def _count_prefixes(least: int, book: Book):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, n = Runs(ORDER + 1, least), [], 0
         for batch in batches:
@@ -132,12 +213,12 @@ def _count_prefixes(least: int):
             if n >= STREAM_ROWS:
                 own.add(pa.Table.from_batches(held))
                 held, n = [], 0
-                yield own.take()
+                yield own.take(book)
         if held:
             own.add(pa.Table.from_batches(held))
         for d in own.depths:
             own.close(d, last=True)
-        yield own.take()
+        yield own.take(book)
 
     return count
 
@@ -146,9 +227,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, m (its number of words), f: phrases of up to ``ORDER`` words that occur ``least`` times, and each
     language's number of words (m = 0)."""
     lang = F.url_encode(F.coalesce("lang", F.lit("und")))  # without spaces, so it can stand as a window's first word
-    stream = docs.select(lang.alias("lang"), "text").mapInArrow(_count_windows, "k string, c bigint")
-    stream = cut(stream, "windows").repartitionByRange("k").sortWithinPartitions("k")
-    counted = stream.mapInArrow(_count_prefixes(least), "k string, d int, c bigint").groupBy("k", "d").agg(F.sum("c").alias("f"))
+    docs = docs.select(lang.alias("lang"), "text")
+    book = code_book(docs)
+    stream = cut(docs.mapInArrow(_count_windows(book), "k binary, c bigint"), "windows", "zstd")
+    stream = stream.repartitionByRange("k").sortWithinPartitions("k")
+    counted = stream.mapInArrow(_count_prefixes(least, book), "k string, d int, c bigint").groupBy("k", "d").agg(F.sum("c").alias("f"))
     head = F.substring_index("k", " ", 1)
     phrase = F.expr("substring(k, instr(k, ' ') + 1, length(k) - instr(k, ' ') - 1)")
     return counted.filter((F.col("d") == 0) | (F.col("f") >= least)).select(F.url_decode(head).alias("lang"), phrase.alias("phrase"), F.col("d").alias("m"), "f")

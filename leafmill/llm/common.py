@@ -24,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps reuse it, and lost executors cost nothing."""
-    return stored(df, name)
+    return stored(df, name, codec)
 
 
 def free_prefix(columns: list[str], prefix: str) -> str:
