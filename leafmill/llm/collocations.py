@@ -9,7 +9,8 @@ row a batch, and its windows are dealt over as many ranges as they fill.
 
 In the stream, a word is a code of two or three bytes from a code book of at most ``CODES`` words, or else it is spelled
 out. The book is taken from about ``SAMPLE`` documents; it only shortens the stream (no code is the beginning of another,
-so windows with the same first words still stand together) and has no part in any result.
+so windows with the same first words still stand together) and has no part in any result. So do the bounds of the
+ranges, which come from the windows of some of these documents and only even out the partitions.
 
 The phrases that occur often enough are the count stream of everything that follows. A phrase's cuts are brought into
 prefix order for the counts of their left parts and into suffix order for those of their right parts, and phrases into
@@ -24,6 +25,7 @@ their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from leafmill.llm.common import LOWER, buffers, cut, runs, spans_of, table
 
 ORDER, LEAST, COVERED, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 BATCH_BYTES, STREAM_ROWS, SHARDS = 4 << 20, 1 << 18, 64
-SAMPLE, CODES, SHORT = 20_000, 1 << 18, 1 << 14
+SAMPLE, CODES, SHORT, DRAWN = 20_000, 1 << 18, 1 << 14, 64
 
 _B = np.arange(256)
 _BREAK = np.isin(_B, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -113,15 +115,23 @@ def windows(buf: np.ndarray, off: np.ndarray, langs: pa.Array, book: Book, order
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(m), [None, pa.py_buffer(upto), pa.py_buffer(data)])
 
 
-def _count_windows(book: Book):
+def _count_windows(book: Book, bounds: list[bytes]):
+    """Windows (k) with their counts in a batch (c) and the range that each is in (p)."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in runs(whole, most=BATCH_BYTES):
                 got = pc.value_counts(windows(*buffers(batch.column("text")), batch.column("lang"), book))
-                order = pc.sort_indices(got.field(0))
-                for a in range(0, len(order), STREAM_ROWS):
-                    some = got.take(order.slice(a, STREAM_ROWS))
-                    yield pa.RecordBatch.from_arrays([some.field(0).cast(pa.binary()), some.field(1)], ["k", "c"])
+                got = got.take(pc.sort_indices(got.field(0)))
+                keys = got.field(0)
+                at, upto = 0, [0]
+                for b in bounds:
+                    at = bisect_left(range(len(keys)), b, at, key=lambda i: keys[i].as_py())
+                    upto.append(at)
+                part = np.repeat(np.arange(len(upto), dtype=np.int32), np.diff([*upto, len(keys)]))
+                for a in range(0, len(keys), STREAM_ROWS):
+                    some = got.slice(a, STREAM_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[a : a + STREAM_ROWS]), some.field(0).cast(pa.binary()), some.field(1)], ["p", "k", "c"])
 
     return count
 
@@ -137,14 +147,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([some.field(0).cast(pa.binary()), some.field(1)], ["k", "c"])
 
 
-def code_book(docs: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> Book:
-    """The most frequent words (and languages) of about ``sample`` of the ``docs`` (lang, text)."""
-    share = sample / max(1, docs.count())
-    some = docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    often = some.mapInArrow(_count_words, "k binary, c bigint").groupBy("k").agg(F.sum("c").alias("c")).filter("c > 1")
+def _some(docs: DataFrame, share: float) -> DataFrame:
+    return docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
+def code_book(docs: DataFrame, share: float, codes: int = CODES) -> Book:
+    """The most frequent words (and languages) of a ``share`` of the ``docs`` (lang, text)."""
+    often = _some(docs, share).mapInArrow(_count_words, "k binary, c bigint").groupBy("k").agg(F.sum("c").alias("c")).filter("c > 1")
     return Book([bytes(r["k"]) for r in often.orderBy(F.desc("c"), "k").limit(codes).select("k").collect()])  # `codes` at most
 
 
+def range_bounds(docs: DataFrame, share: float, book: Book, n: int) -> list[bytes]:
+    """n - 1 windows that cut the stream into ranges of about the same size, by ``DRAWN`` windows a range."""
+    drawn = _some(docs, share).mapInArrow(_count_windows(book, []), "p int, k binary, c bigint").orderBy(F.xxhash64("k"), "k").limit(DRAWN * n)
+    keys = sorted(bytes(r["k"]) for r in drawn.select("k").collect())
+    return [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+
+
 class Runs:
     """Counts of the prefixes of each length in a sorted stream of windows (k, c), of which a run for each length stays open."""
 
@@ -228,9 +247,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     language's number of words (m = 0)."""
     lang = F.url_encode(F.coalesce("lang", F.lit("und")))  # without spaces, so it can stand as a window's first word
     docs = docs.select(lang.alias("lang"), "text")
-    book = code_book(docs)
-    stream = cut(docs.mapInArrow(_count_windows(book), "k binary, c bigint"), "windows", "zstd")
-    stream = stream.repartitionByRange("k").sortWithinPartitions("k")
+    share, n = SAMPLE / max(1, docs.count()), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    book = code_book(docs, share)
+    stream = docs.mapInArrow(_count_windows(book, range_bounds(docs, share / 8, book, n)), "p int, k binary, c bigint")
+    stream = stream.repartitionById(n, "p").select("k", "c").sortWithinPartitions("k")
     counted = stream.mapInArrow(_count_prefixes(least, book), "k string, d int, c bigint").groupBy("k", "d").agg(F.sum("c").alias("f"))
     head = F.substring_index("k", " ", 1)
     phrase = F.expr("substring(k, instr(k, ' ') + 1, length(k) - instr(k, ' ') - 1)")
