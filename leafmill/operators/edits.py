@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.functions.patterns import WS_CHARS
+from leafmill.operators import editlog
 
 
 def renumbered(paragraphs: DataFrame, *order: str) -> DataFrame:
@@ -93,70 +90,9 @@ def apply_uniform(paragraphs: DataFrame, log: list[dict]) -> DataFrame:
     return paragraphs.withColumn("new_text", new).withColumn("changed", F.col("new_text") != F.col("text"))
 
 
-# --- per-document logs ---------------------------------------------------------------------------------------
-
-_WS = "[" + WS_CHARS.replace(r"\x{A0}", "\\u00A0").replace("\\x{", "\\u").replace("}", "") + "]"
-_HARD = "[" + chr(0xA0) + chr(0x2007) + chr(0x202F) + "]"
-_TITLE = re.compile(r"[^\W\d_]+")
-
-
-def _change(texts: list[str], op: str, p: dict, items) -> tuple[list[str], int]:
-    """One edit on the document's current paragraphs; returns them and how many places changed."""
-    at = int(p.get("index", -1))
-    if op == "split":
-        if not 0 <= at < len(texts):
-            return texts, 0
-        return texts[:at] + [p.get("before", ""), p.get("after", "")] + texts[at + 1 :], 1
-    if op == "merge":
-        if not 0 < at < len(texts):
-            return texts, 0
-        return texts[: at - 1] + [texts[at - 1] + texts[at]] + texts[at + 1 :], 1
-    if op == "paragraphBatch":
-        out = list(texts)
-        for item in items if items is not None else ():
-            if 0 <= item["index"] < len(out):
-                out[item["index"]] = item["text"]
-    elif op == "replace":
-        find, repl = p.get("find", ""), p.get("replace", "")
-        pattern = re.compile(find if p.get("regex") else re.escape(find))
-        n = 0
-        out = []
-        for t in texts:
-            t, k = pattern.subn(lambda m: repl, t)
-            out.append(t)
-            n += k
-        return out, n
-    else:
-        mode = p.get("mode", "")
-        each = {
-            "case": {"upper": str.upper, "lower": str.lower}.get(mode, lambda t: _TITLE.sub(lambda m: m[0][0].upper() + m[0][1:].lower(), t)),
-            "trim": lambda t: re.sub(f"^{_WS}+|{_WS}+\\Z", "", re.sub(f"{_WS}+", " ", t) if mode == "collapse" else re.sub(_HARD, " ", t) if mode == "hard" else t),
-            "affix": lambda t: p.get("prefix", "") + t + p.get("suffix", ""),
-        }.get(op)
-        if each is None:
-            return texts, 0
-        out = [each(t) if t else t for t in texts]
-    return out, sum(a != b for a, b in zip(out, texts))
-
-
-REPLAYED = "doc_id {0}, para_idx int, text string, n_changes bigint"
-
-
 def replay(paragraphs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Each document's own ordered log on its paragraphs; every edit sees the positions that the last one left.
+    """Each document's own ordered log on its paragraphs: doc_id, para_idx, text, n_changes (see :mod:`editlog`).
 
-    Groups are single documents. Documents without edits come out unchanged with n_changes 0.
+    Documents without edits come out unchanged with n_changes 0.
     """
-
-    def run(texts: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts):
-            return pd.DataFrame({"doc_id": [], "para_idx": [], "text": [], "n_changes": []})
-        now, n = texts.sort_values("para_idx")["text"].tolist(), 0
-        for e in log.sort_values("seq").itertuples() if len(log) else ():
-            now, k = _change(now, e.op or "replace", dict(e.params or {}), e.items)
-            n += k
-        return pd.DataFrame({"doc_id": [texts["doc_id"].iloc[0]] * len(now), "para_idx": range(len(now)), "text": now, "n_changes": [n] * len(now)})
-
-    kind = dict(paragraphs.dtypes)["doc_id"]
-    log = edits.select("doc_id", "seq", "op", "params", F.col("items"))
-    return paragraphs.select("doc_id", "para_idx", "text").groupBy("doc_id").cogroup(log.groupBy("doc_id")).applyInPandas(run, REPLAYED.format(kind))
+    return editlog.edited(editlog.run_log(paragraphs, edits)).select("doc_id", "para_idx", "text", "n_changes")
