@@ -51,6 +51,59 @@ def s07(spark, sf_dir):
     return docx.paragraphs(docx.parsed(docx.patched(packages(spark, sf_dir), changes))).select("doc_id", "para_idx", "text", "list_level")
 
 
+#: A document part as another writer makes it: its own prefix, unused declarations, comments, instructions, both quotes.
+_HEAD = f"""<?xml version='1.0' encoding="UTF-8"?>\r\n<!-- kept --><?app keep?><d:document xmlns:d='{docx.W}' xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14='http://schemas.microsoft.com/office/word/2010/wordml' xmlns:un="urn:unused" mc:Ignorable="w14" ><d:body>"""
+_PROPS, _TAIL = "<d:pPr ><d:jc d:val='left'/></d:pPr>", "<d:sectPr  /></d:body >\n</d:document><!--end-->"
+
+
+def foreign(spark, sf_dir):
+    """A package of every document that our own writer did not make: entries of text, put together by Spark."""
+    p = paras(spark, sf_dir).withColumn("text", T.sanitize_xml(F.col("text")))
+    at = F.col("para_idx").cast("string")
+    body = F.concat(F.lit("<d:p w14:paraId='"), at, F.lit(f"'>{_PROPS}<!-- "), at, F.lit(" --><d:r><d:t xml:space='preserve'>"), T.escape_html(F.col("text")), F.lit("</d:t></d:r></d:p>\n"))
+    body = F.when(F.col("text") == "", "<d:p />").otherwise(body)
+    listed = p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", body.alias("x")))), lambda x: x["x"]), "").alias("body"))
+    part = listed.select("doc_id", F.lit(docx.PART).alias("name"), F.concat(F.lit(_HEAD), "body", F.lit(_TAIL)).alias("data"))
+    other = listed.select("doc_id", F.lit("custom/item.xml").alias("name"), F.concat(F.lit("<x a='"), F.col("doc_id").cast("string"), F.lit("'/>")).alias("data"))
+    return docx.zipped(part.unionByName(other))
+
+
+def _quoted(x: str) -> str:
+    """A SQL literal."""
+    return "'" + x.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
+
+
+_NEW = f"""{_quoted(f'<w:r xmlns:w="{docx.W}"><w:t>[')} || para_idx || ']</w:t></w:r></d:p>'"""
+_OPEN = f"""{_quoted("<d:p w14:paraId='")} || para_idx || {_quoted("'>" + _PROPS)}"""
+
+
+@query(
+    "s07_byte_exact",
+    f"""WITH {P_SQL}, x AS (
+  SELECT doc_id, para_idx, CASE
+    WHEN para_idx % 2 = 0 AND text = '' THEN '<d:p>' || {_NEW}
+    WHEN para_idx % 2 = 0 THEN {_OPEN} || {_NEW} || chr(10)
+    WHEN text = '' THEN '<d:p />'
+    ELSE {_OPEN} || '<!-- ' || para_idx || {_quoted(" --><d:r><d:t xml:space='preserve'>")} || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</d:t></d:r></d:p>' || chr(10) END AS s FROM p),
+d AS (SELECT doc_id, count(*) FILTER (para_idx % 2 = 0) AS n, {_quoted(_HEAD)} || string_agg(s, '' ORDER BY para_idx) || {_quoted(_TAIL)} AS part FROM x GROUP BY doc_id)
+SELECT doc_id, n AS n_changed, name, CASE name WHEN '{docx.PART}' THEN sha256(part) ELSE sha256({_quoted("<x a='")} || doc_id || {_quoted("'/>")}) END AS sha256 FROM d, (VALUES ('{docx.PART}'), ('custom/item.xml')) v(name)""",
+)
+def s07_exact(spark, sf_dir):
+    """Every other paragraph of another writer's packages rewritten: digests of all entries, byte for byte."""
+    new = F.concat(F.lit("<w:r><w:t>["), F.col("para_idx").cast("string"), F.lit("]</w:t></w:r>"))
+    changes = paras(spark, sf_dir).filter("para_idx % 2 = 0").select("doc_id", "para_idx", new.alias("xml"))
+    done = docx.patched(foreign(spark, sf_dir), changes)
+    found = docx.entries(done).select("doc_id", "name", F.sha2("data", 256).alias("sha256"))
+    return found.join(done.filter("error is null").select("doc_id", "n_changed"), "doc_id")
+
+
+@query("s01_foreign_packages", f"WITH {P_SQL} SELECT doc_id, para_idx, text, len(text) > 0 AS has_run FROM p")
+def s01_foreign(spark, sf_dir):
+    """Paragraphs of packages that another writer made."""
+    got = docx.paragraphs(docx.parsed(foreign(spark, sf_dir)))
+    return got.select("doc_id", "para_idx", "text", (F.size("runs") > 0).alias("has_run"))
+
+
 @query("s11_snippet_library", "SELECT 'c' || c_custkey AS name, c_name AS body, c_custkey AS updated_at FROM customer WHERE c_custkey % 4 <> 3 AND c_custkey % 5 <> 0")
 def s11(spark, sf_dir):
     """JSON lists; broken ones, invalid names and empty bodies give nothing."""

@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,42 +201,196 @@ def built(rows: DataFrame) -> DataFrame:
     return ordered.mapInPandas(write, f"doc_id {kind}, content binary")
 
 
-def patch(content: bytes, changes: dict[int, str]) -> bytes:
-    """The package with the runs of some paragraphs replaced; every other entry keeps its content."""
-    if not changes:
-        return content
-    ElementTree.register_namespace("w", W)
+class PatchError(ValueError):
+    """Why a package can't be patched; the text is a code."""
+
+
+_TAG = re.compile(rb"""<(?:[^<>"']|"[^"]*"|'[^']*')*>""")
+
+
+def _events(data: bytes, start, end) -> None:
+    """Sends the names (with their namespaces) and byte offsets of all start and end tags."""
+    parser = expat.ParserCreate(namespace_separator="}")
+    scopes: dict[str, list[str]] = {}
+    parser.StartNamespaceDeclHandler = lambda prefix, uri: scopes.setdefault(prefix or "", []).append(uri or "")
+    parser.EndNamespaceDeclHandler = lambda prefix: scopes[prefix or ""].pop()
+    parser.StartElementHandler = lambda name, _: start(name, parser.CurrentByteIndex, (scopes.get("w") or [""])[-1])
+    parser.EndElementHandler = lambda name: end(name, parser.CurrentByteIndex)
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError as e:
+        raise PatchError("bad-xml") from e
+
+
+def _places(data: bytes) -> list[tuple[int, int, list[tuple[int, int]], str]]:
+    """Byte span of each paragraph row, the spans of its properties, and what the prefix w stands for there."""
+    path, tags, found = [], [], {True: [], False: []}
+    row, bodies = None, 0
+
+    def start(name: str, at: int, w: str) -> None:
+        nonlocal row, bodies
+        bodies += len(path) == 1 and name == W + "}body"
+        local = name.rpartition("}")[2]
+        if row is None and path and local == "p" and not any(x.rpartition("}")[2] == "sectPr" for x in path):
+            row = (len(path), at, [], w, bodies == 1 and len(path) > 1 and path[1] == W + "}body")
+        path.append(name)
+        tags.append(at)
+
+    def end(name: str, at: int) -> None:
+        nonlocal row
+        path.pop()
+        first = tags.pop()
+        opening = _TAG.match(data, first)
+        stop = opening.end() if opening[0].endswith(b"/>") else _TAG.match(data, at).end()
+        if row and len(path) == row[0]:
+            found[row[4]].append((row[1], stop, row[2], row[3]))
+            row = None
+        elif row and len(path) == row[0] + 1 and name == W + "}pPr":
+            row[2].append((first, stop))
+
+    _events(data, start, end)
+    return found[True] if bodies else found[False]
+
+
+def _declared(xml: bytes) -> bytes:
+    """The runs, each of which says what the prefix w stands for."""
+    tops, depth = [], 0
+
+    def start(name: str, at: int, w: str) -> None:
+        nonlocal depth
+        depth += 1
+        if depth == 2:
+            tops.append(at)
+
+    def end(name: str, at: int) -> None:
+        nonlocal depth
+        depth -= 1
+
+    says = b" xmlns:w=" + quoteattr(W).encode()
+    head = b"<w:p" + says + b">"
+    _events(head + xml + b"</w:p>", start, end)
+    for at in reversed(tops):
+        stop = re.compile(rb"[^\s/>]+").match(xml, at - len(head) + 1).end()
+        xml = xml[:stop] + says + xml[stop:]
+    return xml
+
+
+def patched_part(data: bytes, changes: dict[int, str]) -> tuple[bytes, int]:
+    """The document part with the runs of some paragraphs replaced, and how many. Every byte outside them, their tags and
+    their properties stays as it is: declarations, comments, instructions, quotes and white space are not touched."""
+    said = re.match(rb"""(?:\xef\xbb\xbf)?\s*<\?xml[^>]*?encoding\s*=\s*["']([\w.-]+)""", data)
+    encoding = said[1].decode().lower() if said else "utf-8"
+    if encoding.startswith(("utf-16", "utf-32", "ucs")) or data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        raise PatchError("encoding")
+    out, at, n = [], 0, 0
+    for i, (a, b, props, w) in enumerate(_places(data)):
+        if i not in changes:
+            continue
+        try:
+            own = _declared(changes[i].encode())
+        except PatchError as e:
+            raise PatchError("bad-runs") from e
+        new = (changes[i] if w == W else own.decode()).encode(encoding, "xmlcharrefreplace")
+        tag = _TAG.match(data, a)[0]
+        if tag.endswith(b"/>"):
+            close = b"</" + re.match(rb"<([^\s/>]+)", tag)[1] + b">"
+            tag = tag[:-2].rstrip() + b">"
+        else:
+            close = data[data.rindex(b"</", a, b) : b]
+        out += [data[at:a], tag, *(data[x:y] for x, y in props), new, close]
+        at, n = b, n + 1
+    return b"".join([*out, data[at:]]), n
+
+
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
+
+
+def patch(content: bytes | None, changes: dict[int, str]) -> tuple[bytes | None, int, str | None]:
+    """The package with the runs of some paragraphs replaced, how many they were, and an error code or None.
+
+    Other entries keep their content, order, dates, compression and comments. With an error (no-content, not-a-package,
+    no-document-part, bad-xml, bad-runs, encoding) the package stays as it is."""
+    if content is None:
+        return None, 0, "no-content"
     out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as new:
-        for entry in old.infolist():
-            data = old.read(entry)
-            if entry.filename == PART:
-                for name, uri in re.findall(rb'xmlns:(\w+)="([^"]+)"', data):
-                    if not re.fullmatch(rb"ns\d+", name):
-                        ElementTree.register_namespace(name.decode(), uri.decode())
-                root = ElementTree.fromstring(data)
-                for i, (p, _, _) in enumerate(_paragraphs(root)):
-                    if i in changes:
-                        for c in [c for c in p if c.tag != _N + "pPr"]:
-                            p.remove(c)
-                        p.extend(ElementTree.fromstring(f"<w:p xmlns:w={quoteattr(W)}>{changes[i]}</w:p>"))
-                data = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
-            new.writestr(entry.filename, data)
-    return out.getvalue()
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as new:
+            part, n = patched_part(old.read(PART), changes)
+            if not n:
+                return content, 0, None
+            new.comment = old.comment
+            for entry in old.infolist():
+                data = part if entry.filename == PART else old.read(entry)
+                new.writestr(entry, data, zipfile.ZIP_DEFLATED if entry.filename == PART else entry.compress_type, 6)
+    except KeyError:
+        return content, 0, "no-document-part"
+    except PatchError as e:
+        return content, 0, str(e)
+    except LookupError:
+        return content, 0, "encoding"
+    except _UNREADABLE:
+        return content, 0, "not-a-package"
+    return out.getvalue(), n, None
 
 
 def patched(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """Packages (doc_id, content) with changed paragraphs (doc_id, para_idx, xml) written in: doc_id, content, n_changed."""
+    """Packages (doc_id, content) with changed paragraphs (doc_id, para_idx, xml) written in: doc_id, content, n_changed,
+    error (see :func:`patch`). Of several changes of one paragraph the greatest text counts; positions that a package
+    doesn't have, and changes of unknown documents, do nothing."""
     kind = dict(files.dtypes)["doc_id"]
-    listed = changes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("para_idx", "xml"))).alias("changes"))
+    one = changes.filter("para_idx is not null and xml is not null").groupBy("doc_id", "para_idx").agg(F.max("xml").alias("xml"))
+    listed = one.groupBy("doc_id").agg(F.collect_list(F.struct("para_idx", "xml")).alias("changes"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            maps = [dict(m) if m is not None else {} for m in b["changes"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "content": [patch(c, m) for c, m in zip(b["content"], maps)], "n_changed": [len(m) for m in maps]})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                batch = whole.slice(a, 64)
+                got = [patch(c, {x["para_idx"]: x["xml"] for x in m}) for c, m in zip(batch.column("content").to_pylist(), batch.column("changes").to_pylist())]
+                cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "content", "n_changed", "error"])
+
+    joined = files.select("doc_id", "content").join(listed, "doc_id", "left").withColumn("changes", F.coalesce("changes", F.array().cast("array<struct<para_idx:int,xml:string>>")))
+    return joined.mapInArrow(write, f"doc_id {kind}, content binary, n_changed bigint, error string")
+
+
+def zipped(rows: DataFrame) -> DataFrame:
+    """Packages of entries (doc_id, name, data) as any writer may have made them: doc_id, content, entries by name."""
+    kind = dict(rows.dtypes)["doc_id"]
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("name", F.col("data").cast("binary").alias("data")))).alias("entries"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packages = []
+            for found in batch.column("entries").to_pylist():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for e in found:
+                        z.writestr(zipfile.ZipInfo(e["name"]), e["data"] or b"", zipfile.ZIP_DEFLATED)
+                packages.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packages, pa.binary())], ["doc_id", "content"])
+
+    return listed.mapInArrow(write, f"doc_id {kind}, content binary")
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """doc_id, name, data of every entry of the packages (doc_id, content); none of those that can't be read."""
+    kind = dict(files.dtypes)["doc_id"]
 
-    joined = files.select("doc_id", "content").join(listed, "doc_id", "left")
-    return joined.mapInPandas(write, f"doc_id {kind}, content binary, n_changed bigint")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, content in enumerate(batch.column("content").to_pylist()):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                        got = [(x.filename, z.read(x)) for x in z.infolist()]
+                except _UNREADABLE:
+                    continue
+                at += [i] * len(got)
+                found += got
+            ids = batch.column("doc_id").take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "name", "data"])
+
+    return files.select("doc_id", "content").mapInArrow(read, f"doc_id {kind}, name string, data binary")
 
 
 def save(packages: DataFrame, folder: str, name: str = "name") -> None:
