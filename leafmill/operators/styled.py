@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import runs as R
 from leafmill.model import RUN
+from leafmill.operators import ranges
 
 KEY = ("doc_id", "para_idx")
 
@@ -43,68 +44,27 @@ def with_offsets(rows: DataFrame) -> DataFrame:
     return ends.withColumn("run_start", (F.col("run_end") - F.col("_n")).cast("int")).drop("_n")
 
 
-def locate(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+def locate(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """The runs that each range (doc_id, para_idx, start, end) touches, with the part of the run: from_offset, to_offset.
 
     A range of length zero is in the run whose characters it stands before, or at the very end in the last one.
     """
     o = with_offsets(rows).withColumn("_last", F.max("run_end").over(Window.partitionBy(*KEY)))
-    both = o.join(ranges, list(KEY))
+    both = o.join(asked, list(KEY))
     touch = (F.col("start") < F.col("run_end")) & (F.col("end") > F.col("run_start"))
     at = (F.col("start") == F.col("end")) & (((F.col("run_start") <= F.col("start")) & (F.col("start") < F.col("run_end"))) | ((F.col("start") == F.col("_last")) & (F.col("run_end") == F.col("_last"))))
     hit = both.filter(touch | at)
     return hit.select(*KEY, "start", "end", "run_idx", F.greatest(F.col("start") - F.col("run_start"), F.lit(0)).alias("from_offset"), (F.least("end", "run_end") - F.col("run_start")).alias("to_offset"))
 
 
-def _part(start: Column, end: Column, style: Column) -> Column:
-    text = F.substr(F.coalesce(F.col("text"), F.lit("")), start + 1, F.greatest(end - start, F.lit(0)))
-    return F.struct(F.lit(False).alias("is_break"), text.alias("text"), style.alias("style")).cast(RUN)
+def restyle(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Applies styles to any ranges (doc_id, para_idx, start, end, new_style, seq) of run rows, see :mod:`ranges`."""
+    return exploded(ranges.restyled(nested(rows), marks))
 
 
-def _repiece(rows: DataFrame, pieces: Column) -> DataFrame:
-    """Rows replaced by the pieces of each, empty ones dropped, renumbered and merged."""
-    cut = rows.select(*KEY, "run_idx", F.posexplode(F.filter(pieces, lambda p: p["is_break"] | (p["text"] != ""))).alias("_k", "p"))
-    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("run_idx", "_k")) - 1
-    return merged(cut.select(*KEY, number.alias("run_idx"), "p.*"))
-
-
-def _marked(rows: DataFrame, ranges: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-    """Rows with their paragraph's range, and where it cuts them; outside of ranges the cuts lie at the run's end."""
-    o = with_offsets(rows).join(ranges, list(KEY), "left")
-    n = F.col("run_end") - F.col("run_start")
-    a = F.coalesce(F.least(F.greatest(F.col("start") - F.col("run_start"), F.lit(0)), n), n)
-    b = F.coalesce(F.least(F.greatest(F.col("end") - F.col("run_start"), F.lit(0)), n), n)
-    return o, a, b, n
-
-
-def _whole() -> Column:
-    return F.struct("is_break", "text", "style").cast(RUN)
-
-
-def restyle(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Applies a style to one range (doc_id, para_idx, start, end, new_style) of each paragraph."""
-    o, a, b, n = _marked(rows, ranges)
-    style = R.merge_styles(F.col("style"), F.col("new_style"))
-    pieces = F.array(_part(F.lit(0), a, F.col("style")), _part(a, b, style), _part(b, n, F.col("style")))
-    return _repiece(o, F.when(F.coalesce("is_break", F.lit(False)) | F.col("start").isNull(), F.array(_whole())).otherwise(pieces))
-
-
-def splice(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Replaces one range (doc_id, para_idx, start, end, insert) of each paragraph; the new text takes the style of the
-    character before it, or of the first run at the paragraph's start."""
-    o, a, b, n = _marked(rows, ranges)
-    first = F.col("run_start") == 0
-    takes = F.col("start").isNotNull() & (((F.col("run_start") < F.col("start")) & (F.col("start") <= F.col("run_end"))) | ((F.col("start") == 0) & first & (F.row_number().over(Window.partitionBy(*KEY).orderBy("run_idx")) == 1)))
-    brk = F.coalesce("is_break", F.lit(False))
-    gone = F.col("start").isNotNull() & (F.col("start") <= F.col("run_start")) & (F.col("end") >= F.col("run_end")) & (n > 0)
-    new = F.when(takes, F.coalesce("insert", F.lit(""))).otherwise("")
-    added = F.struct(F.lit(False).alias("is_break"), new.alias("text"), F.col("style")).cast(RUN)
-    inside = F.array(_part(F.lit(0), a, F.col("style")), added, _part(b, n, F.col("style")))
-    around = F.when(F.col("start") <= F.col("run_start"), F.array(added)).otherwise(F.array().cast(f"array<{RUN}>"))
-    kept = F.when(gone, F.array().cast(f"array<{RUN}>")).otherwise(F.array(_whole()))
-    after = F.when(F.col("start") > F.col("run_start"), F.array(added)).otherwise(F.array().cast(f"array<{RUN}>"))
-    pieces = F.when(F.col("start").isNull(), F.array(_whole())).when(brk, F.concat(around, kept, after)).otherwise(inside)
-    return _repiece(o.withColumn("_p", pieces), F.col("_p"))
+def splice(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Replaces any ranges (doc_id, para_idx, start, end, insert, seq) of run rows, see :mod:`ranges`."""
+    return exploded(ranges.respliced(nested(rows), cuts))
 
 
 def changed_paragraphs(baseline: DataFrame, edited: DataFrame, how: str = "inner") -> DataFrame:

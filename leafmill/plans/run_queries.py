@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import runs as R
-from leafmill.operators import structure, styled
+from leafmill.operators import ranges, structure, styled
 from leafmill.plans.base import P_SQL, paras, query, table
 from leafmill.sources import docx, html
 
@@ -102,19 +102,18 @@ def s03(spark, sf_dir):
 FROM o WHERE 5 < run_end AND 25 > run_end - len(text)""")
 def j09(spark, sf_dir):
     r = _styled(spark, sf_dir)
-    ranges = r.select("doc_id", "para_idx", F.lit(5).alias("start"), F.lit(25).alias("end"))
-    return styled.locate(styled.merged(styled.exploded(r)), ranges)
+    asked = r.select("doc_id", "para_idx", F.lit(5).alias("start"), F.lit(25).alias("end"))
+    return styled.locate(styled.merged(styled.exploded(r)), asked)
 
 
 @query("r08_restyle_range", f"WITH {P_SQL} SELECT doc_id, para_idx, text, text[6:25] AS underlined FROM p")
 def r08(spark, sf_dir):
     """Characters 5 to 24 underlined: the text stays, and exactly they are."""
     r = _styled(spark, sf_dir)
-    ranges = r.select("doc_id", "para_idx", F.lit(5).alias("start"), F.lit(25).alias("end"), R.style(underline=F.lit(True)).alias("new_style"))
+    marks = r.select("doc_id", "para_idx", F.lit(5).alias("start"), F.lit(25).alias("end"), R.style(underline=F.lit(True)).alias("new_style"))
     runs = F.col("runs")
-    out = styled.nested(styled.restyle(styled.exploded(r), ranges))
     marked = F.array_join(F.transform(F.filter(runs, lambda x: F.coalesce(x["style"]["underline"], F.lit(False))), lambda x: x["text"]), "")
-    return r.select("doc_id", "para_idx").join(out, ["doc_id", "para_idx"], "left").select("doc_id", "para_idx", F.coalesce(R.runs_text(runs), F.lit("")).alias("text"), F.coalesce(marked, F.lit("")).alias("underlined"))
+    return ranges.restyled(r, marks).select("doc_id", "para_idx", R.runs_text(runs).alias("text"), marked.alias("underlined"))
 
 
 @query("r09_splice_range", f"WITH {P_SQL} SELECT doc_id, para_idx, text[:5] || '<new>' || text[9:] AS text FROM p")
@@ -122,9 +121,45 @@ def r09(spark, sf_dir):
     """Characters 5 to 7 replaced; shorter paragraphs take the new text at their end."""
     r = _styled(spark, sf_dir)
     n = F.length("text")
-    ranges = r.select("doc_id", "para_idx", F.least(F.lit(5), n).alias("start"), F.least(F.lit(8), n).alias("end"), F.lit("<new>").alias("insert"))
-    out = styled.nested(styled.splice(styled.exploded(r), ranges))
-    return out.select("doc_id", "para_idx", R.runs_text(F.col("runs")).alias("text"))
+    cuts = r.select("doc_id", "para_idx", F.least(F.lit(5), n).alias("start"), F.least(F.lit(8), n).alias("end"), F.lit("<new>").alias("insert"))
+    return ranges.respliced(r, cuts).select("doc_id", "para_idx", R.runs_text(F.col("runs")).alias("text"))
+
+
+def _many(r):
+    """Ranges of every paragraph: two that overlap, one inside them, an empty one, one far beyond the text, one of all."""
+    look = [R.style(underline=F.lit(True), color=F.lit("#00FF00")), R.style(italic=F.lit(True), color=F.lit("#0000FF")), R.style(bold=F.lit(True), font_size=F.lit("9pt")), R.style(bold=F.lit(True)), R.style(italic=F.lit(True)), R.style(font_family=F.lit("Arial"), color=F.lit(""))]
+    n = F.length("text")
+    ends = [(F.lit(2), F.lit(20)), (F.lit(10), F.lit(30)), (F.lit(12), F.lit(15)), (F.lit(7), F.lit(7)), (F.lit(90_000), F.lit(90_001)), (F.lit(-3), n + 5)]
+    given = F.array(*(F.struct(F.lit(i).alias("seq"), a.alias("start"), b.alias("end"), s.alias("new_style"), F.lit(f"<{i}>").alias("insert")) for i, ((a, b), s) in enumerate(zip(ends, look))))
+    return r.select("doc_id", "para_idx", F.inline(given))
+
+
+@query(
+    "r08_many_ranges",
+    f"""{_W}, c AS (SELECT doc_id, para_idx, bold, red, run_end - len(text) + k AS pos, text[k + 1] AS ch FROM (SELECT *, unnest(range(len(text))) AS k FROM o)),
+z AS (SELECT doc_id, para_idx, pos, ch, bold OR pos BETWEEN 12 AND 14 AS bold, pos BETWEEN 10 AND 29 AS italic, pos BETWEEN 2 AND 19 AS underline,
+  CASE WHEN pos BETWEEN 10 AND 29 THEN '#0000FF' WHEN pos BETWEEN 2 AND 19 THEN '#00FF00' WHEN red THEN '#FF0000' ELSE '' END AS color, CASE WHEN pos BETWEEN 12 AND 14 THEN '9pt' ELSE '' END AS size FROM c),
+y AS (SELECT *, concat_ws(';', CASE WHEN bold THEN 'font-weight:bold' END, CASE WHEN italic THEN 'font-style:italic' END, CASE WHEN underline THEN 'text-decoration:underline' END, CASE WHEN color <> '' THEN 'color:' || color END, 'font-family:"Arial"', CASE WHEN size <> '' THEN 'font-size:' || size END) AS css FROM z),
+g2 AS (SELECT *, CASE WHEN lag(css) OVER k = css THEN 0 ELSE 1 END AS n FROM y WINDOW k AS (PARTITION BY doc_id, para_idx ORDER BY pos)),
+u2 AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, para_idx ORDER BY pos) - 1 AS run_idx FROM g2)
+SELECT doc_id, para_idx, run_idx::INTEGER AS run_idx, string_agg(ch, '' ORDER BY pos) AS text, css FROM u2 GROUP BY doc_id, para_idx, run_idx, css""",
+)
+def r08_many(spark, sf_dir):
+    """Overlapping, nested and empty ranges of every paragraph restyled at once; the SQL goes character by character."""
+    r = _styled(spark, sf_dir)
+    return styled.exploded(ranges.restyled(r, _many(r))).select("doc_id", "para_idx", "run_idx", "text", R.style_css(F.col("style")).alias("css"))
+
+
+@query(
+    "r09_many_ranges",
+    f"WITH {P_SQL} SELECT doc_id, para_idx, CASE WHEN len(text) >= 12 THEN text[:4] || '<0>' || text[7] || '<1>' || text[11] || '<2>' || text[13:] ELSE text END AS text FROM p",
+)
+def r09_many(spark, sf_dir):
+    """Three replacements in each paragraph of twelve characters or more, two of them overlapping."""
+    r = _styled(spark, sf_dir)
+    spots = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(f"<{i}>").alias("insert")) for i, (a, b) in enumerate([(4, 6), (7, 10), (11, 12)])))
+    cuts = r.filter(F.length("text") >= 12).select("doc_id", "para_idx", F.inline(F.concat(spots, F.array(F.struct(F.lit(3).alias("seq"), F.lit(8).alias("start"), F.lit(10).alias("end"), F.lit("").alias("insert"))))))
+    return ranges.respliced(r, cuts).select("doc_id", "para_idx", R.runs_text(F.col("runs")).alias("text"))
 
 
 @query("j05_paragraph_diff", f"WITH {P_SQL} SELECT doc_id, para_idx, 'changed' AS state, upper(text[1]) || 'x' AS head FROM p WHERE (doc_id + para_idx) % 4 = 1 AND len(text) > 0")
