@@ -45,6 +45,15 @@ def gaps(text: Column, pattern: str) -> Column:
     return F.split(text, fast(pattern), -1)
 
 
+def split_up(text: Column, pattern: str) -> Column:
+    """Struct (hits, gaps) of the matches, also of a pattern that can match nothing.
+
+    The JVM's split leaves out what stands before an empty match at the start; it is put back where a gap is missing."""
+    pair = F.struct(matches(text, pattern).alias("hits"), gaps(text, pattern).alias("gaps"))
+    full = lambda p: F.when(F.size(p["gaps"]) <= F.size(p["hits"]), F.concat(F.array(F.lit("")), p["gaps"])).otherwise(p["gaps"])
+    return let(pair, lambda p: F.struct(p["hits"].alias("hits"), full(p).alias("gaps")))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]
@@ -63,14 +72,14 @@ def running_sum(values: Column) -> Column:
 
 
 def regex_hits(text: Column, pattern: str) -> Column:
-    """Array of (start, end, before) of all matches. The pattern must not match the empty string."""
+    """Array of (start, end, before) of all matches, empty ones too."""
 
     def placed(p: Column) -> Column:
         lengths = F.zip_with(p["hits"], F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), lambda hit, gap: F.length(gap) + F.length(hit))
         at = lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("before"))
         return let(lengths, lambda n: F.zip_with(p["hits"], running_sum(n), at))
 
-    return let(F.struct(matches(text, pattern).alias("hits"), gaps(text, pattern).alias("gaps")), placed)
+    return let(split_up(text, pattern), placed)
 
 
 def rebuild(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:

@@ -88,7 +88,7 @@ def _fold(text: Column, entries: Column, make: Callable[[Column], Column]) -> Co
 
 
 def _quoted(name: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    return F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
 def fill(text: Column, values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.patterns import gaps, literal_pattern, matches
+from leafmill.functions.patterns import let, literal_pattern, matches, split_up
 from leafmill.functions.text import count_literal, count_regex, find_all, shortened
 
 IN_ORDER = ("para_idx", "start")
@@ -55,7 +55,10 @@ def replace_some(nodes: DataFrame, find: str, repl: str, regex: bool = False, sk
 
 
 def _due(text: Column, pattern: str, repl: str) -> Column:
-    m, g = matches(text, pattern), gaps(text, pattern)
-    pick = F.transform(m, lambda hit, i: F.when((i >= F.col("_from")) & (i < F.col("_to")), F.lit(repl)).otherwise(hit))
-    parts = F.zip_with(F.slice(g, F.lit(1), F.size(m)), pick, lambda a, b: F.concat(a, b))
-    return F.concat(F.array_join(parts, ""), F.element_at(g, -1))
+    def joined(p: Column) -> Column:
+        m, g = p["hits"], p["gaps"]
+        pick = F.transform(m, lambda hit, i: F.when((i >= F.col("_from")) & (i < F.col("_to")), F.lit(repl)).otherwise(hit))
+        parts = F.zip_with(F.slice(g, F.lit(1), F.size(m)), pick, lambda a, b: F.concat(a, b))
+        return F.concat(F.array_join(parts, ""), F.element_at(g, -1))
+
+    return let(split_up(text, pattern), joined)

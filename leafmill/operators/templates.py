@@ -69,15 +69,21 @@ def delete(library: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def expand_map(paragraphs: DataFrame, library: DataFrame) -> DataFrame:
-    """doc_id and the map of its triggers' bodies, as far as they are defined."""
+    """doc_id and the map of its triggers' bodies, as far as they are defined; of a repeated name the newest body counts,
+    of equally new ones the first."""
     used = token_rows(paragraphs, tokens.trigger_hits(F.col("text"))).select("doc_id", "name").distinct()
-    return used.join(library.select("name", "body"), "name").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "body"))).alias("bodies"))
+    age = F.struct(F.col("updated_at").isNull(), -F.col("updated_at"), "body") if "updated_at" in library.columns else F.col("body")
+    bodies = library.groupBy("name").agg(F.min_by("body", age).alias("body"))
+    return used.join(bodies, "name").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "body")))).alias("bodies"))
 
 
 def value_map(values: DataFrame) -> DataFrame:
-    """record_id and its trimmed, non-empty values as a map."""
-    kept = values.withColumn("value", ends_trimmed(F.col("value"))).filter(F.col("value") != "")
-    return kept.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("vals"))
+    """record_id and its trimmed, non-empty values as a map; of a repeated name the last by ``seq`` counts, without such a
+    column the greatest."""
+    kept = values.withColumn("value", ends_trimmed(F.col("value"))).filter((F.col("value") != "") & F.col("name").isNotNull())
+    last = F.max_by("value", F.struct("seq", "value")) if "seq" in values.columns else F.max("value")
+    one = kept.groupBy("record_id", "name").agg(last.alias("value"))
+    return one.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("vals"))
 
 
 def mail_merge(template: DataFrame, records: DataFrame, on: str = "template_id", values: str = "vals") -> DataFrame:
