@@ -14,6 +14,7 @@ from leafmill.plans.lint_queries import ALL_HITS
 from leafmill.sources import docx
 from leafmill.storage import shared_folder
 from leafmill.streaming import ingest
+from leafmill.streaming import packages as arriving
 
 
 def packages(spark, sf_dir):
@@ -125,3 +126,33 @@ def st01(spark, sf_dir):
     q = ingest.start(ingest.measured(ingest.arriving(spark, f"{place}/in", docs.schema)), f"{place}/out", f"{place}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{place}/out").select("doc_id", "paragraphs", "chars", "n_hits")
+
+
+@query(
+    "st01_arriving_packages",
+    f"""WITH {P_SQL}, n AS (SELECT doc_id, CASE WHEN (doc_id * 7 + 5) % 11 > (doc_id * 7) % 11 THEN 1 ELSE 0 END AS v, max(para_idx) + 1 AS n, sum(len(text)) AS c FROM p GROUP BY doc_id)
+SELECT doc_id, 'version ' || v AS head, (CASE WHEN v = 1 THEN n + 1 ELSE 2 END)::INTEGER AS paragraphs, (9 + CASE WHEN v = 1 THEN c ELSE 3 END)::INTEGER AS chars FROM n""",
+)
+def st01_packages(spark, sf_dir):
+    """Two versions of every document as packages, one of them twice, arriving out of order in several batches; the
+    newest of each is read, the stream is stopped once and started again."""
+    place = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
+    p = paras(spark, sf_dir).select("doc_id", "para_idx", "text")
+    docs = p.select("doc_id").distinct()
+    version = F.struct("doc_id", F.col("v"))
+    head = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"), F.lit(-1).alias("para_idx"), F.lit(None).cast("string").alias("text"))
+    old = docs.select("doc_id", F.lit(0).alias("v"), F.lit(0).alias("para_idx"), F.lit("old").alias("text"))
+    rows = p.select("doc_id", F.lit(1).alias("v"), "para_idx", "text").unionByName(old).unionByName(head.withColumn("text", F.concat(F.lit("version "), F.col("v").cast("string"))))
+    built = docx.built(rows.select(version.alias("doc_id"), "para_idx", R.runs_xml(R.text_runs(T.sanitize_xml(F.col("text")))).alias("xml"))).select("doc_id.*", "content")
+    hours = (F.col("doc_id") * 7 + F.col("v") * 5) % 11
+    at = F.timestamp_seconds(F.lit(1_767_225_600) + hours * 3600)
+    again = F.explode(F.when(F.col("v") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    arrivals = built.select("doc_id", at.alias("modified"), "content", "v", again)
+    arrivals.repartition(6, F.xxhash64("doc_id", "v", "again")).select("doc_id", "modified", "content").write.parquet(f"{place}/in/a")
+    for more in (False, True):  # the second start finds the same folder and nothing new but one more copy of all old versions
+        if more:
+            arrivals.filter("v = 0 and again = 0").select("doc_id", "modified", "content").write.parquet(f"{place}/in/b")
+        stream = spark.readStream.schema("doc_id bigint, modified timestamp, content binary").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+        arriving.start(arriving.measured(arriving.newest(stream, "30 days")), f"{place}/out", f"{place}/state").awaitTermination()
+    found = arriving.latest(spark.read.parquet(f"{place}/out"))
+    return found.select("doc_id", F.col("texts")[0].alias("head"), "paragraphs", "chars")
