@@ -7,6 +7,11 @@ of what quantisation dropped, Cauchy-Schwarz bounds the error. A pair survives i
 largest lower bound of its query; survivors are recomputed in double precision from the original vectors, so the
 answer is exact. Best-k lists are merged by heaps within a task and by a ranked window across tasks.
 
+Rows are brought to a largest component between 0.5 and 1 by a power of two before they are coded, and the powers are kept
+apart, so bounds hold for any finite components. A product that may leave the range of doubles always survives, and what
+underflow may cost is part of the error bound: the score in double precision decides, infinite or not, and a score that
+is no number (of infinite parts with both signs) stands before all others.
+
 Every query group meets every block, so the work and the rows sent grow with queries x candidates: a block is sent once
 for each ``tile`` queries.
 
@@ -48,13 +53,15 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t.column("vec_id").to_numpy(), values.reshape(t.num_rows, -1)
 
 
-def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, their scale, the norm of what they stand for and the norm of what they miss."""
+def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes of the rows divided by a power of two, their scale, the norm of what they stand for, the norm of what
+    they miss, and the power."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    x = np.ldexp(x, -power[:, None])
     scale = np.abs(x).max(axis=1) / 127
-    scale[scale == 0] = np.finfo(np.float64).tiny  # underflow of subnormal vectors
     code = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
     back = code * scale[:, None]
-    return code, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+    return code, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1), power.astype(np.int64)
 
 
 def tile_top(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
@@ -65,22 +72,30 @@ def tile_top(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         qid, q = _matrix(queries)
         cid, c = _matrix(rows)
         row, times, copies = (t.column(n).to_numpy() for t, n in ((queries, "q"), (queries, "times"), (rows, "copies")))
-        code_c, scale_c, norm_c, miss_c = _codes(c)
+        code_c, scale_c, norm_c, miss_c, power_c = _codes(c)
         exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # holds every sum of products of codes
         tile_c = code_c.astype(exact).T
+        most = power_c.max()
+        weight = np.ldexp(1.0, power_c - most)  # of a row against the tile's largest; a query's own power changes no order
+        digits = int(np.ceil(np.log2(q.shape[1]))) + 1
         for a in range(0, len(qid), 256):
-            code, scale, norm, miss = _codes(q[a : a + 256])
-            near = (code.astype(exact) @ tile_c).astype(np.float64) * scale[:, None] * scale_c
+            code, scale, norm, miss, power = _codes(q[a : a + 256])
+            near = (code.astype(exact) @ tile_c).astype(np.float64) * scale[:, None] * scale_c * weight
             slack = (norm[:, None] + miss[:, None]) * miss_c + miss[:, None] * norm_c
-            slack += 1e-9 * (norm[:, None] + miss[:, None]) * (norm_c + miss_c)  # rounding of the bounds themselves
+            slack = (slack + 1e-9 * (norm[:, None] + miss[:, None]) * (norm_c + miss_c)) * weight  # rounding of the bounds themselves
+            with np.errstate(over="ignore"):
+                slack += np.ldexp(float(q.shape[1]), -1074 - power - most)[:, None] + np.finfo(np.float64).tiny  # underflow
+            slack[power[:, None] + power_c + digits >= 1023] = np.inf  # may overflow
             own = qid[a : a + 256, None] == cid
             low = np.where(own, -np.inf, near - slack)
             least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
             i, j = np.nonzero((near + slack >= least[:, None]) & ~own)
             score = np.zeros(len(i))
-            for d in range(q.shape[1]):
-                score += q[a + i, d] * c[j, d]
-            order = np.lexsort((cid[j], -score, i))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for d in range(q.shape[1]):
+                    score += q[a + i, d] * c[j, d]
+            none = np.isnan(score)
+            order = np.lexsort((cid[j], np.where(none, 0, -score), ~none, i))
             i, j, score = i[order], j[order], score[order]
             first = np.searchsorted(i, i)
             keep = np.arange(len(i)) - first < k
@@ -96,11 +111,11 @@ def heaps(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """Merges the best-k lists that a task has made, keeping one query group in memory at a time."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, list[tuple[float, int, int]]] = {}
+        best: dict[tuple, list[tuple[bool, float, int, int]]] = {}
         group = None
 
         def flush() -> pa.RecordBatch:
-            cols = zip(*((*q, -v, n, s) for q, found in best.items() for s, v, n in found))
+            cols = zip(*((*q, -v, n, float("nan") if none else s) for q, found in best.items() for none, s, v, n in found))
             ids = [pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)]
             return pa.RecordBatch.from_arrays([pa.array([group] * len(ids[0]), pa.int32()), *ids], names)
 
@@ -113,10 +128,11 @@ def heaps(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                         best.clear()
                     group = g
                 heap = best.setdefault(tuple(q), [])
+                item = (s != s, 0.0 if s != s else s, -v, n)  # the worst stands first: lowest score, then largest id
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -v, n))  # the worst stands first: lowest score, then largest id
+                    heapq.heappush(heap, item)
                 else:
-                    heapq.heappushpop(heap, (s, -v, n))
+                    heapq.heappushpop(heap, item)
         if best:
             yield flush()
 
