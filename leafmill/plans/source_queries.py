@@ -11,7 +11,7 @@ from leafmill.functions import text as T
 from leafmill.operators import templates
 from leafmill.plans.base import P_SQL, paras, query, table
 from leafmill.plans.lint_queries import ALL_HITS
-from leafmill.sources import docx
+from leafmill.sources import docx, snippet_store
 from leafmill.storage import shared_folder
 from leafmill.streaming import ingest
 from leafmill.streaming import packages as arriving
@@ -156,3 +156,22 @@ def st01_packages(spark, sf_dir):
         arriving.start(arriving.measured(arriving.newest(stream, "30 days")), f"{place}/out", f"{place}/state").awaitTermination()
     found = arriving.latest(spark.read.parquet(f"{place}/out"))
     return found.select("doc_id", F.col("texts")[0].alias("head"), "paragraphs", "chars")
+
+
+@query(
+    "s11_snippet_store",
+    """WITH c AS (SELECT 'c' || c_custkey AS name, c_name, c_custkey AS k FROM customer),
+v AS (SELECT name, c_name AS body, k AS at_, false AS gone FROM c UNION ALL SELECT name, 'B ' || c_name, k + k % 2, false FROM c WHERE k % 3 = 0
+  UNION ALL SELECT name, NULL, k, true FROM c WHERE k % 5 = 0 UNION ALL SELECT name, 'late', k - 1, false FROM c WHERE k % 7 = 0)
+SELECT name, body, at_ AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY at_ DESC, gone DESC, body) AS n FROM v) WHERE n = 1 AND NOT gone""",
+)
+def s11_store(spark, sf_dir):
+    """Two writers' upserts and deletions, a compaction between them and a late older body; what is left is loaded."""
+    place, k = f"{shared_folder(spark)}/snippets-{uuid.uuid4().hex}", F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumn("name", F.concat(F.lit("!c"), k.cast("string")))
+    snippet_store.put(c.select("name", F.col("c_name").alias("body"), k.alias("updated_at")), place)
+    snippet_store.put(c.filter(k % 3 == 0).select("name", F.concat(F.lit("B "), "c_name").alias("body"), (k + k % 2).alias("updated_at")), place)
+    snippet_store.compact(spark, place)
+    snippet_store.remove(c.filter(k % 5 == 0).select("name", k.alias("updated_at")), place)
+    snippet_store.put(c.filter(k % 7 == 0).select("name", F.lit("late").alias("body"), (k - 1).alias("updated_at")), place)
+    return snippet_store.load(spark, place)
