@@ -11,12 +11,15 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, else the warehouse; where driver and executors are one process (local mode), a temporary
-    folder."""
+    """``spark.checkpoint.dir``, else the warehouse if it is on shared storage; where driver and executors are one process
+    (local mode), a temporary folder. On a cluster without either this is an error: executors would write to their own
+    disks and later reads miss the rows."""
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and not spark.sparkContext.master.startswith("local"):
         found = spark.conf.get("spark.sql.warehouse.dir")
+        if not found or "://" not in found or found.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if found:
         return found.rstrip("/")
     if _own_folder is None:

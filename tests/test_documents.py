@@ -202,9 +202,14 @@ def test_whole_pages_by_walking(spark, sf_dir):
 
     want = sorted((d, i, "".join(shown(*r) for r in rs)) for d, b in pages.items() for i, (_, rs) in enumerate(b))
     assert sorted(map(tuple, QUERIES["s09_runs_to_html"](spark, sf_dir).collect())) == want
-    heads = {(d, i) for d, b in pages.items() for i, (tag, rs) in enumerate(b) if tag[0] == "h" and any(t and t.strip() for t, _ in rs)}
-    found = QUERIES["w03_page_outline"](spark, sf_dir)
-    assert heads <= {(r["doc_id"], r["para_idx"]) for r in found.collect()}
+    want = []
+    for d, blocks in pages.items():
+        said = [(i, tag, "".join("\n" if t is None else t for t, _ in rs).strip()) for i, (tag, rs) in enumerate(blocks)]
+        tagged = [(i, t) for i, tag, t in said if t and tag in {f"h{n}" for n in range(1, 7)}]
+        looks = [(i, t) for i, _, t in said if t and len(t) < 120 and t[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789ĄĆĘŁŃÓŚŹŻ"]
+        want += [(d, n, i, t) for n, (i, t) in enumerate(tagged or looks)]
+    found = QUERIES["w03_page_outline"](spark, sf_dir).select("doc_id", "heading_no", "para_idx", "label")
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
 
 
 def test_restyle_and_splice(spark):
@@ -225,3 +230,19 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = ingest.measured(docs)
     assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    """Where executors are other machines, tables don't go to a folder that each has for itself."""
+    from types import SimpleNamespace
+
+    from leafmill.storage import shared_folder
+
+    def session(**conf):
+        get = SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d))
+        return SimpleNamespace(conf=get, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: get))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session(spark_sql_warehouse_dir="file:/home/x/spark-warehouse"))
+    assert shared_folder(session(spark_sql_warehouse_dir="hdfs://n/warehouse/")) == "hdfs://n/warehouse"
+    assert shared_folder(session(spark_checkpoint_dir="file:///mnt/shared", spark_sql_warehouse_dir="file:/x")) == "file:///mnt/shared"
