@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import LOWER, buffers, cut, runs, spans_of, table
 
 ORDER, LEAST, COVERED, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
-BATCH_BYTES, STREAM_ROWS, SHARDS = 4 << 20, 1 << 18, 64
+BATCH_BYTES, STREAM_ROWS, SHARDS = 3 << 20, 1 << 18, 64
 SAMPLE, CODES, SHORT, DRAWN = 20_000, 1 << 18, 1 << 14, 64
 
 _B = np.arange(256)
