@@ -12,17 +12,17 @@ pair of similarity 0.75 has 36.8 alike on average (deviation 2.9), and a pair wi
 with its hub. Pairs are confirmed on the full shingle sets. First each document's most frequent hub is tried, which
 settles groups of copies of any size; then only pairs that still join two components. These steps are linear in the
 number of bucket rows, but leave pairs of which neither is a hub and those that ``ALIKE`` kept out. So the documents of
-buckets that still hold several components, and only they, are joined exactly (:func:`rare_pairs`): a pair that shares a
+buckets that still hold several components, and only they, are joined exactly (:func:`rare_places`, :func:`leafmill.llm.tiles.tile_pairs`): a pair that shares a
 bucket is in one component or is found there, in groups of any size. Components come from alternating large-star and
 small-star steps.
 
 The exact join orders shingles from rare to frequent, those that a single component holds before all others, as no link
 rests on them. The first shingle that two linked documents share leaves each at least the overlap that their sizes ask
 for, so it lies in the first quarter of the larger one and in the first seventh of the smaller one. Documents of a
-template differ by more than that, so the template's own shingles are in no such seventh and form no pair. Where more
-than ``CROWD`` documents hold a shingle, each first meets ``DRAWS`` documents of the component with most of them, which
-joins fragments of large groups by pairs linear in the rows; the exact join follows on what is left. Its pairs grow with
-the square of a group only if the group's documents agree in their rarest shingles without being linked.
+template differ by more than that, so the template's own shingles are in no such seventh and form no pair. Shingles that
+the very same documents hold count as one. Where more than ``CROWD`` documents hold a shingle, each first meets ``DRAWS``
+documents of the component with most of them, which joins fragments of large groups by pairs linear in the rows. What is left is compared inside tasks, block by
+block, on sketches of the sets; only pairs that a sketch can't exclude become rows and are confirmed.
 
 Defined cases: documents without words have an empty set, are linked with nothing and kept; a null ``doc_id`` takes no
 part (component null, kept); repeated rows are one document, and so are repeated ids, whose set is the larger one's;
@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import LOWER, buffers, cut, mix, prefix_sums, runs, spans_hash, table, windows_hash, word_spans
+from leafmill.llm.tiles import possible_pairs, sketches, tile_pairs
 
 SHINGLE, HALVES, ROWS = 5, 12, 2
 NEED = 75  # percent
@@ -215,23 +216,27 @@ def _several(members: DataFrame) -> DataFrame:
 def rare_places(sets: DataFrame) -> DataFrame:
     """doc_id, component, n, g, left, short: the shingles of ``sets`` (doc_id, component, shingles) at which a link between
     two components can begin. left: how many shingles of the document such a link can still rest on; short: whether
-    that is enough for a partner that is no smaller."""
+    that is enough for a partner that is no smaller. Of shingles that the very same documents hold only the first counts."""
     rows = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-    held = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
-    ordered = rows.join(held.filter("x != y").select("g", "c"), "g").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("s"))
-    places = ordered.select("doc_id", "component", "n", F.size("s").alias("size"), F.posexplode("s").alias("i", "e"))
+    # sums of 32 bits over the holders: shingles of the same documents agree in both and lie side by side in the order
+    marks = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(i)), 32)).alias(f"m{i}") for i in range(3)]
+    held = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), *marks)
+    of = F.struct("c", "m0", "m1", "m2").alias("of")
+    ordered = rows.join(held.filter("x != y").select("g", of), "g").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set(F.struct("of", "g"))).alias("s"))
+    firsts = F.transform("s", lambda e, i: F.struct(e["g"].alias("g"), ((i == 0) | (F.get("s", i - 1)["of"] != e["of"])).alias("first")))
+    places = ordered.select("doc_id", "component", "n", F.size("s").alias("size"), F.posexplode(firsts).alias("i", "e")).filter("e.first")
     places = places.select("doc_id", "component", "n", F.col("e.g").alias("g"), (F.col("size") - F.col("i")).alias("left")).filter(F.col("left") * 100 >= F.col("n") * NEED)
     return cut(places.withColumn("short", F.col("left") * (100 + NEED) >= F.col("n") * (2 * NEED)), "places")
 
 
 def _shared_places(places: DataFrame) -> DataFrame:
     """Places whose shingle several components hold, with how many hold it (held), whether the document is of another
-    component than most of them (other) and one document of those, drawn by shingle (hub)."""
+    component than most of them (other), how many are (rest), and documents of that component, drawn by shingle (hubs)."""
     drawn = F.array(*(F.min_by(F.struct("doc_id", "n", "left"), F.xxhash64("doc_id", "g", F.lit(i))) for i in range(DRAWS)))
     counts = places.groupBy("g", "component").agg(F.count("*").alias("c"), F.max("short").alias("short"), drawn.alias("hubs"))
     large = counts.groupBy("g").agg(F.max(F.struct("c", "component", "hubs")).alias("m"), F.max("short").alias("short"), F.count("*").alias("k"), F.sum("c").alias("held"))
     # a table of its own, so that the join can split a shingle that very many documents hold
-    large = cut(large.filter("short and k > 1").select("g", "held", F.col("m.component").alias("large"), "m.hubs"), "shared-shingles")
+    large = cut(large.filter("short and k > 1").select("g", "held", (F.col("held") - F.col("m.c")).alias("rest"), F.col("m.component").alias("large"), "m.hubs"), "shared-shingles")
     return cut(places.join(large, "g").withColumn("other", F.col("component") != F.col("large")).drop("large"), "rare")
 
 
@@ -242,22 +247,6 @@ def rare_hub_pairs(shared: DataFrame) -> DataFrame:
     return met.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
 
 
-def rare_pairs(shared: DataFrame) -> DataFrame:
-    """All pairs (a, b) that may be linked and are of different components; the largest component that holds a shingle
-    never meets itself there."""
-
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        x, y = x.alias("x"), y.alias("y")
-        need = (F.col("x.n") + F.col("y.n")) * NEED
-        smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-        reach = (F.least("x.left", "y.left") * (100 + NEED) >= need) & (F.col("x.component") != F.col("y.component"))
-        return x.join(y, (F.col("x.g") == F.col("y.g")) & smaller & reach).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b"))
-
-    shared = shared.drop("hubs", "held")
-    first = shared.filter("short")
-    return met(first.filter("other"), shared).unionByName(met(first.filter("not other"), shared.filter("other"))).distinct()
-
-
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes (doc_id, n_shingles, rep: smallest id with the same set) and the component of each rep."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -284,7 +273,8 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = absorbed(reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), _confirmed(best, whole, "links-best"))
     # pairs that would still join two components
     rest = _labelled(_labelled(pairs.select("a", "b"), labels, "a"), labels, "b").filter("a_component != b_component").select("a", "b")
-    labels = absorbed(labels, _confirmed(rest.join(best, ["a", "b"], "left_anti"), whole, "links-rest"))
+    rest = possible_pairs(rest.join(best, ["a", "b"], "left_anti"), cut(sketches(whole, NEED), "sketches-hubs"), NEED)
+    labels = absorbed(labels, _confirmed(cut(rest, "rest-pairs"), whole, "links-rest"))
     # every pair of components that a bucket still holds
     members = _labelled(keys.join(hub.select("key"), "key", "left_semi").select("key", "doc_id"), labels, "doc_id")
     nodes = cut(_several(members).select("doc_id", F.col("doc_id_component").alias("component")).distinct(), "unmet")
@@ -294,9 +284,10 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = _shared_places(places)
     # first a few partners a row, which join what is left of large groups, so that the rest forms few pairs
     drawn = cut(rare_hub_pairs(shared).join(tried, ["a", "b"], "left_anti"), "drawn-pairs")
-    labels = absorbed(labels, _confirmed(drawn, whole, "links-drawn"))
+    sketched = cut(sketches(whole, NEED), "sketches")
+    labels = absorbed(labels, _confirmed(cut(possible_pairs(drawn, sketched, NEED), "near-drawn"), whole, "links-drawn"))
     places = _labelled(places.drop("component"), labels, "doc_id").withColumnRenamed("doc_id_component", "component")
-    exact = cut(rare_pairs(_shared_places(places)).join(tried.unionByName(drawn), ["a", "b"], "left_anti"), "exact-pairs")
+    exact = cut(tile_pairs(_shared_places(places).drop("hubs"), sketched, NEED).join(tried.unionByName(drawn), ["a", "b"], "left_anti"), "exact-pairs")
     return classes, absorbed(labels, _confirmed(exact, whole, "links-exact"))
 
 
