@@ -1,16 +1,16 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the number of distinct n-grams of 1 to ``N`` letters that both hold, divided by the root of
-the product of how many each holds (blended spectrum, presence). Letters are mapped to the most frequent symbols of the
-training sample, everything that is no letter to one gap symbol. A Nyström map over landmark texts turns the kernel into
+the product of how many each holds (blended spectrum, presence). Letters are their lower-case code points, of any script;
+runs of everything else are one gap symbol. An n-gram is named by a hash of ``BITS`` bits, which bounds the matrices
+whatever the scripts; of a text's 3,000 n-grams about 17 share a name with another of them. A Nyström map over landmark texts turns the kernel into
 features, kernel ridge regression against one 0/1 target per language gives the weights, and both fold into a single
 matrix, so a batch is scored by two matrix products: presence x landmarks, kernel x weights.
 
 The fit takes about ``PER_LANGUAGE`` different texts a language, chosen by a hash of the text, of which ``LANDMARKS``
 are landmarks. With so many languages that these would be over ``TEXTS`` texts or ``ALL_LANDMARKS`` landmarks in all,
 each language gets its even share of them (at least one landmark); none is left out. Executors reduce each text to its
-presence bits before the driver sees it. The alphabet is a parameter (``SYMBOLS``): letters beyond the most frequent
-``SYMBOLS`` - 9 share eight symbols by code block.
+n-gram names before the driver sees it.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0; null languages are not learned from; with
 no language to learn, as in an empty table, every document gets ``und``; of languages with equal scores the first in
@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from leafmill.llm.common import crc_mod, cut, table
+from leafmill.llm.common import crc_mod, cut, mix, table
 
-N, SYMBOLS = 3, 64
+N, BITS = 3, 18
+#: Code points of a text that are named at a time, which bounds memory by the text alone.
+PART = 1 << 20
 PER_LANGUAGE, LANDMARKS = 400, 32
 TEXTS, ALL_LANDMARKS = 40_000, 1024
 RIDGE = 1e-3
@@ -54,31 +56,35 @@ def letters() -> np.ndarray:
     return _letters
 
 
-class Alphabet:
-    """Symbol numbers of code points: 0 gap, then frequent letters; the last eight share all others by block."""
+def _names(code: np.ndarray) -> np.ndarray:
+    return mix(code) >> np.uint64(64 - BITS)
 
-    def __init__(self, frequent: list[int]):
-        fold = letters()
-        table = np.where(fold > 0, SYMBOLS - 8 + (fold >> 7) % 8, 0).astype(np.int32)
-        number = np.zeros(0x110000, np.int32)
-        number[frequent] = np.arange(1, len(frequent) + 1)
-        known = number[fold]
-        self.table = np.where((fold > 0) & (known > 0), known, table)
-        self.seen = np.zeros(SYMBOLS**N + SYMBOLS**2 + SYMBOLS, bool)
+
+class Spectrum:
+    """The n-gram names of texts."""
+
+    def __init__(self):
+        self.fold = letters()
+        self.seen = np.zeros(1 << BITS, bool)
 
     def presence(self, text: str) -> np.ndarray:
-        """Sorted numbers of the n-grams of 1..N symbols that occur; runs of gap symbols count as one."""
-        s = self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = np.concatenate([[0], s, [0]]).astype(np.int32)
+        """Sorted names of the n-grams of 1..N symbols that occur; empty if the text has no letter. A code point fits into
+        21 bits, so N of them are one number; shorter n-grams are told apart by a length where a first letter would be."""
+        s = self.fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if not s.any():
+            return np.empty(0, np.int64)
+        s = np.concatenate([[0], s, [0]]).astype(np.uint64)
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
         s = s[keep]
         self.seen[:] = False
-        self.seen[s] = True
-        two = s[:-1] * SYMBOLS + s[1:]
-        self.seen[two + SYMBOLS] = True
-        if len(s) > 2:
-            self.seen[two[:-1] * SYMBOLS + s[2:] + SYMBOLS + SYMBOLS**2] = True
+        for a in range(0, len(s), PART):
+            part = s[a : a + PART + N - 1]
+            for n in range(1, N + 1):
+                code = np.full(max(0, len(part) - n + 1), np.uint64(n % N))
+                for k in range(n):
+                    code = (code << np.uint64(21)) | part[k : k + len(code)]
+                self.seen[_names(code)] = True
         return np.flatnonzero(self.seen)
 
 
@@ -94,8 +100,8 @@ def sample(docs: DataFrame, train: Column, most: int = PER_LANGUAGE, texts: int
 
 
 class Model:
-    def __init__(self, alphabet: list[int], columns: np.ndarray, marks: np.ndarray, sizes: np.ndarray, weights: np.ndarray, langs: list[str]):
-        self.alphabet, self.columns, self.marks, self.sizes, self.weights, self.langs = alphabet, columns, marks, sizes, weights, langs
+    def __init__(self, columns: np.ndarray, marks: np.ndarray, sizes: np.ndarray, weights: np.ndarray, langs: list[str]):
+        self.columns, self.marks, self.sizes, self.weights, self.langs = columns, marks, sizes, weights, langs
 
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
         """Kernel of each text with each landmark."""
@@ -117,11 +123,9 @@ class Model:
 def fit(docs: DataFrame, train: Column) -> Model | None:
     """Nyström kernel ridge regression on the bounded sample; None if there is nothing to learn from."""
     rows = cut(sample(docs.select("doc_id", "text", "lang"), train), "language-sample")
-    counted = rows.mapInArrow(_letter_counts, "letter bigint, n bigint").groupBy("letter").agg(F.sum("n").alias("n"))
-    frequent = [r["letter"] for r in counted.orderBy(F.desc("n"), "letter").limit(SYMBOLS - 9).collect()]
-    if not frequent:
+    got = rows.mapInArrow(_presence, "h bigint, lang string, grams array<int>").filter("size(grams) > 0").collect()  # bounded by the sample
+    if not got:
         return None
-    got = rows.mapInArrow(_presence(frequent), "h bigint, lang string, grams array<int>").collect()  # bounded by the sample
     got.sort(key=lambda r: (r["lang"], r["h"]))
     langs = sorted({r["lang"] for r in got})
     most = max(1, min(LANDMARKS, ALL_LANDMARKS // len(langs)))
@@ -133,12 +137,12 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
             taken[r["lang"]] += 1
             first.append(i)
     vocabulary = np.unique(np.concatenate([grams[i] for i in first]))
-    columns = np.full(SYMBOLS**N + SYMBOLS**2 + SYMBOLS, -1, np.int32)
+    columns = np.full(1 << BITS, -1, np.int32)
     columns[vocabulary] = np.arange(len(vocabulary))
     marks = np.zeros((len(vocabulary), len(first)), np.float32)
     for j, i in enumerate(first):
         marks[columns[grams[i]], j] = 1
-    model = Model(frequent, columns, marks, np.array([len(grams[i]) for i in first], np.float64), np.zeros((len(first), len(langs))), langs)
+    model = Model(columns, marks, np.array([len(grams[i]) for i in first], np.float64), np.zeros((len(first), len(langs))), langs)
     k = np.concatenate([model.kernel(grams[a : a + BATCH]) for a in range(0, len(grams), BATCH)])
     values, vectors = np.linalg.eigh(k[first] + 1e-8 * np.eye(len(first)))
     nystroem = vectors / np.sqrt(np.maximum(values, 1e-6))
@@ -149,42 +153,29 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
     return model
 
 
-def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fold = letters()
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spectrum = Spectrum()
     for batch in batches:
-        n: Counter = Counter()
-        for t in batch.column("text").to_pylist():
-            v, c = np.unique(fold[np.frombuffer(t.encode("utf-32-le"), np.uint32)], return_counts=True)
-            n.update(dict(zip(v.tolist(), c.tolist())))
-        n.pop(0, None)
-        yield pa.RecordBatch.from_pydict({"letter": pa.array(list(n), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
-
-
-def _presence(frequent: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = Alphabet(frequent)
-        for batch in batches:
-            grams = [alphabet.presence(t).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "lang": batch.column("lang"), "grams": pa.array(grams, pa.list_(pa.int32()))})
-
-    return emit
+        grams = [spectrum.presence(t).astype(np.int32) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "lang": batch.column("lang"), "grams": pa.array(grams, pa.list_(pa.int32()))})
 
 
-def _predict(model: Model | None, names: tuple[str, str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(model: Model | None, names: tuple[str, str, str], texts: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the language, its score and the score's share of what the length allows as three last columns; needs a
-    ``text`` column."""
+    ``text`` column. Without ``texts`` the last column before these, the text, is left out."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = Alphabet(model.alphabet) if model else None
+        spectrum = Spectrum() if model else None
+        kept = slice(None) if texts else slice(0, -1)
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
                 lang, score, share = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-                if alphabet:
+                if spectrum:
                     grams, at = [], []
                     for i, t in enumerate(batch.column("text")):
-                        g = alphabet.presence(t.as_py() or "")
-                        if len(g) and g[np.searchsorted(g, 1) : np.searchsorted(g, SYMBOLS)].size:
+                        g = spectrum.presence(t.as_py() or "")
+                        if len(g):
                             grams.append(g)
                             at.append(i)
                     if grams:
@@ -194,7 +185,7 @@ def _predict(model: Model | None, names: tuple[str, str, str]) -> Callable[[Iter
                         share[at] = score[at] / model.possible(grams)
                         for i, b in zip(at, best):
                             lang[i] = model.langs[b]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(share)], [*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[kept], pa.array(lang, pa.string()), pa.array(score), pa.array(share)], [*batch.schema.names[kept], *names])
 
     return predict
 
@@ -211,7 +202,7 @@ def identify(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs``."""
     names = ("lang_pred", "score", "share")
     model = fit(docs, train)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model, names), "doc_id bigint, text string, lang_pred string, score double, share double")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_predict(model, names, False), "doc_id bigint, lang_pred string, score double, share double")
     return rows.select("doc_id", "lang_pred", "score")
 
 
