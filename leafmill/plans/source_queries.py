@@ -11,7 +11,7 @@ from leafmill.functions import text as T
 from leafmill.operators import templates
 from leafmill.plans.base import P_SQL, paras, query, table
 from leafmill.plans.lint_queries import ALL_HITS
-from leafmill.sources import docx, snippet_store
+from leafmill.sources import docx, docx_format, snippet_store
 from leafmill.storage import shared_folder
 from leafmill.streaming import ingest
 from leafmill.streaming import packages as arriving
@@ -105,6 +105,40 @@ def s01_foreign(spark, sf_dir):
     return got.select("doc_id", "para_idx", "text", (F.size("runs") > 0).alias("has_run"))
 
 
+def named(spark, sf_dir):
+    """The packages of all documents under file names."""
+    return packages(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "content", "doc_id")
+
+
+def _number():
+    return F.regexp_extract("name", "[0-9]+", 0).cast("bigint").alias("doc_id")
+
+
+@query("s01_docx_format", f"WITH {P_SQL} SELECT doc_id, para_idx, text, CASE WHEN para_idx % 3 = 1 THEN para_idx % 9 ELSE -1 END AS list_level FROM p WHERE doc_id % 10 <> 7")
+def s01_format(spark, sf_dir):
+    """Packages of all documents written and read as a data source in two commits; those whose names end in 7 are told
+    apart by name before any task is planned."""
+    docx_format.register(spark)
+    place, files = f"{shared_folder(spark)}/format-{uuid.uuid4().hex}", named(spark, sf_dir)
+    for odd in (0, 1):
+        files.filter(F.col("doc_id") % 2 == odd).write.format("docx").mode("append").save(place)
+    read = spark.read.format("docx").load(place).filter(~F.col("name").endswith("7.docx") & F.col("error").isNull())
+    return read.select(_number(), "para_idx", "text", "list_level")
+
+
+@query("st01_docx_format", f"WITH {P_SQL} SELECT doc_id, count(*) AS paragraphs, sum(len(text))::BIGINT AS chars FROM p GROUP BY doc_id")
+def st01_format(spark, sf_dir):
+    """A stream of the data source: each commit of packages is read once, though the stream stops and starts again."""
+    docx_format.register(spark)
+    place, files = f"{shared_folder(spark)}/format-{uuid.uuid4().hex}", named(spark, sf_dir)
+    for third in range(3):
+        files.filter(F.col("doc_id") % 3 == third).write.format("docx").mode("append").save(f"{place}/in")
+        if third:
+            rows = spark.readStream.format("docx").load(f"{place}/in").select(_number(), F.length("text").alias("n"))
+            rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum("n").alias("chars"))
+
+
 @query("s11_snippet_library", "SELECT 'c' || c_custkey AS name, c_name AS body, c_custkey AS updated_at FROM customer WHERE c_custkey % 4 <> 3 AND c_custkey % 5 <> 0")
 def s11(spark, sf_dir):
     """JSON lists; broken ones, invalid names and empty bodies give nothing."""

@@ -112,12 +112,16 @@ def parse(content: bytes) -> tuple[list[dict], list[dict]]:
     """Paragraphs and numbering levels of one package; both empty if it can't be read."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            root = ElementTree.fromstring(z.read(PART))
-            numbering = ElementTree.fromstring(z.read(NUMBERING)) if NUMBERING in z.namelist() else None
+            paras = paragraph_rows(z.read(PART))
+            return paras, level_rows(z.read(NUMBERING)) if NUMBERING in z.namelist() else []
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError, ValueError):
         return [], []
+
+
+def paragraph_rows(part: bytes) -> list[dict]:
+    """The paragraphs of a document part."""
     out = []
-    for i, (p, table, part) in enumerate(_paragraphs(root)):
+    for i, (p, table, part_name) in enumerate(_paragraphs(ElementTree.fromstring(part))):
         num = p.find(f"{_N}pPr/{_N}numPr")
         runs = [_run(r) for c in p for r in ([c] if c.tag == _N + "r" else c.findall(_N + "r") if c.tag == _N + "hyperlink" else [])]
         out.append(
@@ -128,12 +132,17 @@ def parse(content: bytes) -> tuple[list[dict], list[dict]]:
                 "num_id": _int(_val(num, "numId")) if num is not None else None,
                 "list_level": -1 if num is None else _int(_val(num, "ilvl") or "0", 0),
                 "table_no": table,
-                "part": part,
+                "part": part_name,
                 "runs": runs,
                 "nodes": [t.text or "" for r in p.iter(_N + "r") for t in r if t.tag == _N + "t"],
             }
         )
-    return out, _levels(numbering) if numbering is not None else []
+    return out
+
+
+def level_rows(part: bytes) -> list[dict]:
+    """The levels of a numbering part."""
+    return _levels(ElementTree.fromstring(part))
 
 
 def _levels(root) -> list[dict]:
@@ -302,7 +311,7 @@ def patched_part(data: bytes, changes: dict[int, str]) -> tuple[bytes, int]:
     return b"".join([*out, data[at:]]), n
 
 
-_UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
 
 
 def patch(content: bytes | None, changes: dict[int, str]) -> tuple[bytes | None, int, str | None]:
@@ -328,7 +337,7 @@ def patch(content: bytes | None, changes: dict[int, str]) -> tuple[bytes | None,
         return content, 0, str(e)
     except LookupError:
         return content, 0, "encoding"
-    except _UNREADABLE:
+    except UNREADABLE:
         return content, 0, "not-a-package"
     return out.getvalue(), n, None
 
@@ -383,7 +392,7 @@ def entries(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
                         got = [(x.filename, z.read(x)) for x in z.infolist()]
-                except _UNREADABLE:
+                except UNREADABLE:
                     continue
                 at += [i] * len(got)
                 found += got
