@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import tokens as K
-from leafmill.operators import search, templates
+from leafmill.operators import search, search_index, templates
 from leafmill.plans.base import P_SQL, T_SQL, hits_sql, paras, query, table
 from leafmill.plans.base import templates as customer_templates
+from leafmill.storage import shared_folder
 
 AS_OF = datetime(2026, 6, 30, 14, 5)
 _PLACE = r"\{\{\s*([a-zA-Z0-9_.-]+)\s*\}\}"
@@ -201,6 +205,30 @@ def t05(spark, sf_dir):
     return search.matches_of(paras(spark, sf_dir), "the")
 
 
+#: A literal, alternatives, a class before mandatory letters, and a pattern of which nothing is mandatory.
+_INDEXED = (("ation", False), ("(?:heit|keit)[a-z]*en", True), ("[bcd]er ", True), ("[xyz]", True))
+
+
+def _indexed_sql() -> str:
+    one = " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, para_idx, s AS start, m AS sample FROM {hits_sql('p', '(?i)' + find)}" for i, (find, _) in enumerate(_INDEXED))
+    return f"WITH {P_SQL}, h AS ({one}) SELECT pattern, doc_id, para_idx, start, len(sample)::INTEGER AS length, sample, (row_number() OVER (PARTITION BY pattern, doc_id ORDER BY para_idx, start) - 1)::INTEGER AS match_no FROM h"
+
+
+@query("t05_indexed_search", _indexed_sql())
+def t05_indexed(spark, sf_dir):
+    """Searches through an index of all paragraphs, which is built first."""
+    index = search_index.build(paras(spark, sf_dir), f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", parts=16, buckets=16)
+    found = [index.matches_of(find, regex).select(F.lit(i).alias("pattern"), "doc_id", "para_idx", "start", "length", "sample", "match_no") for i, (find, regex) in enumerate(_INDEXED)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("a02_indexed_preview", f"WITH {P_SQL}, h AS (SELECT doc_id, para_idx, len(regexp_extract_all(text, '[a-z]+ment ')) AS n FROM p) SELECT doc_id, sum(n)::BIGINT AS hits, count(*) AS paragraphs FROM h WHERE n > 0 GROUP BY doc_id")
+def a02_indexed(spark, sf_dir):
+    """The preview of a replacement, of which only the paragraphs that the index names are read."""
+    index = search_index.build(paras(spark, sf_dir), f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", parts=16, buckets=16)
+    return index.preview("[a-z]+ment ", regex=True).select("doc_id", "hits", "paragraphs")
+
+
 @query("w05_match_numbers", f"WITH {P_SQL}, h AS (SELECT doc_id, para_idx, s AS start FROM {hits_sql('p', '(?i)tion')}), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, start) - 1)::INTEGER AS match_no, count(*) OVER (PARTITION BY doc_id) AS total FROM h) SELECT *, match_no + 1 AS position, (match_no + total - 1) % total AS next_match FROM n")
 def w05(spark, sf_dir):
     return search.numbered(search.matches_of(paras(spark, sf_dir), "tion", regex=True).drop("length", "sample"), step=-1)
