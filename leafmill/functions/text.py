@@ -42,6 +42,12 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), "")
 
 
+def upper_char(c: Column) -> Column:
+    """The capital of one character, as one character: ß becomes ẞ, and what has no single capital stays as it is."""
+    single = lambda x, other: F.when(F.length(x) <= 1, x).otherwise(other)
+    return F.when(c == "ß", "ẞ").otherwise(single(F.upper(c), single(F.initcap(c), c)))
+
+
 def trim_ends(text: Column) -> Column:
     return ends_trimmed(text)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import runs as R
+from leafmill.functions import text as T
 from leafmill.operators import ranges, structure, styled
 from leafmill.plans.base import P_SQL, paras, query, table
 from leafmill.sources import docx, html
@@ -167,7 +168,7 @@ def j05(spark, sf_dir):
     """Every fourth paragraph edited; merged runs of equal looks don't count as a change."""
     r = _styled(spark, sf_dir)
     edit = (F.col("doc_id") + F.col("para_idx")) % 4 == 1
-    new = R.text_runs(F.concat(F.upper(F.left("text", F.lit(1))), F.lit("x")))
+    new = R.text_runs(F.concat(T.upper_char(F.left("text", F.lit(1))), F.lit("x")))
     edited = r.select("doc_id", "para_idx", F.when(edit & (F.length("text") > 0), new).otherwise(R.merge_adjacent(F.col("runs"))).alias("runs"))
     return styled.changed_paragraphs(r.select("doc_id", "para_idx", "runs"), edited).select("doc_id", "para_idx", "state", R.runs_text(F.col("runs")).alias("head"))
 
