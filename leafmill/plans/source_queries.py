@@ -64,9 +64,9 @@ def foreign(spark, sf_dir):
     body = F.concat(F.lit("<d:p w14:paraId='"), at, F.lit(f"'>{_PROPS}<!-- "), at, F.lit(" --><d:r><d:t xml:space='preserve'>"), T.escape_html(F.col("text")), F.lit("</d:t></d:r></d:p>\n"))
     body = F.when(F.col("text") == "", "<d:p />").otherwise(body)
     listed = p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", body.alias("x")))), lambda x: x["x"]), "").alias("body"))
-    part = listed.select("doc_id", F.lit(docx.PART).alias("name"), F.concat(F.lit(_HEAD), "body", F.lit(_TAIL)).alias("data"))
-    other = listed.select("doc_id", F.lit("custom/item.xml").alias("name"), F.concat(F.lit("<x a='"), F.col("doc_id").cast("string"), F.lit("'/>")).alias("data"))
-    return docx.zipped(part.unionByName(other))
+    part = F.struct(F.lit(docx.PART).alias("name"), F.concat(F.lit(_HEAD), "body", F.lit(_TAIL)).alias("data"))
+    other = F.struct(F.lit("custom/item.xml").alias("name"), F.concat(F.lit("<x a='"), F.col("doc_id").cast("string"), F.lit("'/>")).alias("data"))
+    return docx.zipped(listed.select("doc_id", F.inline(F.array(part, other))))
 
 
 def _quoted(x: str) -> str:
@@ -94,8 +94,7 @@ def s07_exact(spark, sf_dir):
     new = F.concat(F.lit("<w:r><w:t>["), F.col("para_idx").cast("string"), F.lit("]</w:t></w:r>"))
     changes = paras(spark, sf_dir).filter("para_idx % 2 = 0").select("doc_id", "para_idx", new.alias("xml"))
     done = docx.patched(foreign(spark, sf_dir), changes)
-    found = docx.entries(done).select("doc_id", "name", F.sha2("data", 256).alias("sha256"))
-    return found.join(done.filter("error is null").select("doc_id", "n_changed"), "doc_id")
+    return docx.entries(done.filter("error is null"), ("n_changed",)).select("doc_id", "n_changed", "name", F.sha2("data", 256).alias("sha256"))
 
 
 @query("s01_foreign_packages", f"WITH {P_SQL} SELECT doc_id, para_idx, text, len(text) > 0 AS has_run FROM p")
