@@ -152,20 +152,23 @@ def runs_xml(runs: Column) -> Column:
 
     def one(r: Column) -> Column:
         s = r["style"]
-        color = F.coalesce(css_color(s["color"]), F.upper(s["color"]))
-        points = css_size(s["font_size"])
-        props = F.concat_ws(
+        color = F.when(F.length(s["color"]) > 0, F.coalesce(css_color(s["color"]), F.upper(s["color"])))
+        points = F.when(F.length(s["font_size"]) > 0, css_size(s["font_size"]))
+        # all named once, since each use is computed again; what is null is left out
+        rpr = F.concat_ws(
             "",
-            F.when(F.length(s["font_family"]) > 0, F.concat(F.lit('<w:rFonts w:ascii="'), _attr(s["font_family"]), F.lit('" w:hAnsi="'), _attr(s["font_family"]), F.lit('"/>'))),
+            F.lit("<w:rPr>"),
+            F.when(F.length(s["font_family"]) > 0, let(_attr(s["font_family"]), lambda f: F.concat(F.lit('<w:rFonts w:ascii="'), f, F.lit('" w:hAnsi="'), f, F.lit('"/>')))),
             F.when(s["bold"], "<w:b/>"),
             F.when(s["italic"], "<w:i/>"),
-            F.when(F.length(color) > 0, F.concat(F.lit('<w:color w:val="'), _attr(color), F.lit('"/>'))),
-            F.when(points.isNotNull(), F.concat(F.lit('<w:sz w:val="'), F.round(points * 2).cast("int").cast("string"), F.lit('"/>'))),
+            F.when(F.length(s["color"]) > 0, let(color, lambda c: F.when(F.length(c) > 0, F.concat(F.lit('<w:color w:val="'), _attr(c), F.lit('"/>'))))),
+            F.concat(F.lit('<w:sz w:val="'), F.round(points * 2).cast("int").cast("string"), F.lit('"/>')),
             F.when(s["underline"], '<w:u w:val="single"/>'),
+            F.lit("</w:rPr>"),
         )
-        rpr = F.when(props != "", F.concat(F.lit("<w:rPr>"), props, F.lit("</w:rPr>"))).otherwise("")
+        rpr = F.replace(rpr, F.lit("<w:rPr></w:rPr>"), F.lit(""))
         text = F.coalesce(r["text"], F.lit(""))
-        space = F.when(text.rlike(r"^\s|\s\z"), ' xml:space="preserve"').otherwise("")
+        space = F.when(F.left(text, F.lit(1)).rlike(r"\s") | F.right(text, F.lit(1)).rlike(r"\s"), ' xml:space="preserve"').otherwise("")
         return F.when(r["is_break"], "<w:r><w:br/></w:r>").otherwise(F.concat(F.lit("<w:r>"), rpr, F.lit("<w:t"), space, F.lit(">"), escape_html(text), F.lit("</w:t></w:r>")))
 
     return F.array_join(F.transform(runs, one), "")
