@@ -117,11 +117,19 @@ def swept(runs: pa.Array, ranges: pa.Array, replace: bool) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(line_row[starts], np.arange(len(runs) + 1)), pa.int32()), out)
 
 
+_ROWS = 512  # paragraphs that are swept at once; it bounds what a task holds
+
+
 def _sweep(replace: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [batch.column(c) for c in KEY]
-            yield pa.RecordBatch.from_arrays([*keys, swept(batch.column("runs"), batch.column("ranges"), replace)], [*KEY, "runs"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                asked = pc.and_(pc.is_valid(batch.column("runs")), pc.is_valid(batch.column("ranges")))
+                for change, part in ((True, batch.filter(asked)), (False, batch.filter(pc.invert(asked)))):
+                    if part.num_rows:
+                        runs = swept(part.column("runs"), part.column("ranges"), replace) if change else part.column("runs").cast(pa.list_(_RUN))
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), runs], [*KEY, "runs"])
 
     return run
 
@@ -132,9 +140,7 @@ def _changed(paragraphs: DataFrame, ranges: DataFrame, what: Column, replace: bo
     by = F.struct(seq.alias("seq"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), what.alias("what"))
     listed = ranges.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(by)), lambda x: F.struct(x["start"], x["end"], x["what"])).alias("ranges"))
     both = paragraphs.select(*KEY, F.col("runs").cast(RUNS).alias("runs")).join(listed, list(KEY), "left")
-    both = both.withColumn("ranges", F.when(F.col("runs").isNotNull(), F.col("ranges")))
-    done = both.filter("ranges is not null").mapInArrow(_sweep(replace), f"doc_id {kinds['doc_id']}, para_idx {kinds['para_idx']}, runs {RUNS}")
-    return done.unionByName(both.filter("ranges is null").select(*KEY, "runs"))
+    return both.mapInArrow(_sweep(replace), f"doc_id {kinds['doc_id']}, para_idx {kinds['para_idx']}, runs {RUNS}")
 
 
 def restyled(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Run queries against their SQL on paragraphs that the given tables don't hold."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 
+from leafmill.model import RUNS
+from leafmill.operators import ranges
 from leafmill.plans.registry import QUERIES, SQL
 
 ODD = ["ßa b c d e", "ŉ x", "ᾳ x", "ﬁne day", "ǆ x", "éa b", "x", "Ax", "", " a  b ", "one two three four five six seven eight nine ten", "漢字 b\tc", "a b c d <e> & f g h i"]
@@ -27,3 +30,23 @@ def check(spark, odd, name):
 @pytest.mark.parametrize("name", ["j05_paragraph_diff", "w02_merge_runs", "s03_docx_runs", "j09_offsets_to_runs", "r06_runs_to_text", "r08_restyle_range", "r08_many_ranges", "r09_splice_range", "r09_many_ranges"])
 def test_odd_paragraphs(name, spark, odd):
     check(spark, odd, name)
+
+
+def test_ranges_in_parts_and_once(spark, monkeypatch):
+    """What a task holds at once does not follow from Spark's batches; runs without a style, and no runs, stay as they were."""
+    seen = []
+    real = ranges.swept
+    monkeypatch.setattr(ranges, "swept", lambda runs, asked, replace: seen.append(len(runs)) or real(runs, asked, replace))
+    n = 1300
+    runs = [[{"is_break": None, "text": "abc", "style": None}, {"is_break": True, "text": None, "style": None}]] * n
+    asked = [[{"start": 1, "end": 2, "what": "X"}]] * n
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("what", pa.string())]))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "para_idx": pa.array([0] * n), "ranges": pa.array(asked, kind), "runs": pa.array(runs, pa.list_(ranges._RUN))})
+    out = list(ranges._sweep(True)(iter([batch])))
+    assert seen == [512, 512, 276] and [b.num_rows for b in out] == seen
+    assert {"".join(r["text"] or "|" for r in x) for b in out for x in b.column("runs").to_pylist()} == {"aXc|"}
+    rows = spark.createDataFrame([(1, 0, runs[0]), (2, 0, None), (3, 0, []), (4, 0, [None, *runs[0]])], f"doc_id int, para_idx int, runs {RUNS}")
+    none = spark.createDataFrame([], "doc_id int, para_idx int, start int, end int, insert string")
+    got = ranges.respliced(rows, none)
+    assert sorted(got.collect()) == sorted(rows.collect())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0  # the runs are dealt once, not once for each kind
