@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.runs import merge_adjacent, merge_styles, parse_css, runs_text, style
 from leafmill.model import RUN
+from leafmill.sources.docx import sliced
 
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "area", "base", "col", "embed", "source", "track"}
 RAW = "array<struct<para_idx:int,tag:string,pieces:array<struct<is_break:boolean,text:string,bold:boolean,italic:boolean,underline:boolean,css:array<string>>>>>"
 
+_PIECE = pa.struct([("is_break", pa.bool_()), ("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("underline", pa.bool_()), ("css", pa.list_(pa.string()))])
+_BLOCKS = pa.list_(pa.struct([("para_idx", pa.int32()), ("tag", pa.string()), ("pieces", pa.list_(_PIECE))]))
+
 
 class _Blocks(HTMLParser):
     """Blocks with their text pieces; each piece knows the tags and inline styles around it."""
@@ -65,17 +69,17 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     """key, para_idx, tag, pieces of every block of every page."""
     kind = dict(pages.dtypes)[key]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, html):
             out = []
-            for page in b[html]:
+            for page in batch.column(html).to_pylist():
                 parser = _Blocks()
                 parser.feed(page or "")
                 parser.close()
                 out.append(parser.blocks)
-            yield pd.DataFrame({key: b[key], "blocks": out})
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, _BLOCKS)], [key, "blocks"])
 
-    raw = pages.select(key, html).mapInPandas(read, f"{key} {kind}, blocks {RAW}")
+    raw = pages.select(key, html).mapInArrow(read, f"{key} {kind}, blocks {RAW}")
     return raw.select(key, F.explode("blocks").alias("b")).select(key, "b.*")
 
 
