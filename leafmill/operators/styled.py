@@ -25,15 +25,10 @@ def nested(rows: DataFrame) -> DataFrame:
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """Neighbours of equal style as one run, by islands of unchanged style; breaks never merge."""
-    order = Window.partitionBy(*KEY).orderBy("run_idx")
-    plain = R.normal(F.col("style"))
+    """Neighbours of equal style as one run; breaks never merge. A paragraph's runs are gathered once."""
+    out = exploded(nested(rows).select(*KEY, R.merge_adjacent(F.col("runs")).alias("runs")))
     brk = F.coalesce("is_break", F.lit(False))
-    starts = (F.lag(plain).over(order).isNull() | (F.lag(plain).over(order) != plain) | brk | F.coalesce(F.lag(brk).over(order), F.lit(True))).cast("int")
-    island = rows.withColumn("_new", starts).withColumn("_island", F.sum("_new").over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    out = island.groupBy(*KEY, "_island").agg(F.first(brk).alias("is_break"), text.alias("_text"), F.min_by("style", "run_idx").alias("style"))
-    return out.select(*KEY, (F.col("_island") - 1).cast("int").alias("run_idx"), "is_break", F.when(~F.col("is_break"), F.col("_text")).alias("text"), "style")
+    return out.select(*KEY, "run_idx", brk.alias("is_break"), F.when(~brk, F.coalesce("text", F.lit(""))).alias("text"), "style")
 
 
 def with_offsets(rows: DataFrame) -> DataFrame:

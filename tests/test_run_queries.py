@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 from conftest import rows_of
 
-from leafmill.model import RUNS
-from leafmill.operators import ranges
+from leafmill.model import RUNS, STYLE
+from leafmill.operators import ranges, styled
 from leafmill.plans.registry import QUERIES, SQL
 
 ODD = ["ßa b c d e", "ŉ x", "ᾳ x", "ﬁne day", "ǆ x", "éa b", "x", "Ax", "", " a  b ", "one two three four five six seven eight nine ten", "漢字 b\tc", "a b c d <e> & f g h i"]
@@ -50,3 +50,14 @@ def test_ranges_in_parts_and_once(spark, monkeypatch):
     got = ranges.respliced(rows, none)
     assert sorted(got.collect()) == sorted(rows.collect())
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0  # the runs are dealt once, not once for each kind
+
+
+def test_merging_gathers_once(spark):
+    """Breaks, missing texts and missing styles merge as before, without a window over all runs."""
+    bold = (True, None, None, None, None, None)
+    plain = (False, None, None, "", None, None)
+    rows = [(1, 0, 3, True, None, bold), (1, 0, 0, None, None, None), (1, 0, 1, False, "a", plain), (1, 0, 2, None, "b", bold), (1, 0, 4, None, "c", bold), (1, 0, 5, False, "d", bold), (1, 1, 0, True, "x", None), (2, 0, 7, None, None, plain)]
+    out = styled.merged(spark.createDataFrame(rows, f"doc_id int, para_idx int, run_idx int, is_break boolean, text string, style {STYLE}"))
+    got = [(*r[:5], tuple(r["style"]) if r["style"] else None) for r in out.select("doc_id", "para_idx", "run_idx", "is_break", "text", "style").orderBy("doc_id", "para_idx", "run_idx").collect()]
+    assert got == [(1, 0, 0, False, "a", None), (1, 0, 1, False, "b", bold), (1, 0, 2, True, None, bold), (1, 0, 3, False, "cd", bold), (1, 1, 0, True, None, None), (2, 0, 0, False, "", plain)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
