@@ -1,8 +1,8 @@
 """Search through a stored index of three-character grams instead of all texts.
 
-:func:`build` writes, for paragraphs (doc_id, para_idx, text and any other columns), three tables below a folder: the
-paragraphs by parts of the corpus, the postings (gram, doc_id, para_idx) sorted by gram within files, and how often each
-gram occurs. A search derives from a literal or regex which grams every match must hold, as a tree of "and" and "or",
+:func:`build` writes, for paragraphs (doc_id, para_idx, text and any other columns), two tables below a folder: the
+paragraphs by parts of the corpus and the postings (gram, doc_id, para_idx) sorted by gram within files, from which a
+search also counts how often the grams of its pattern occur. A search derives from a literal or regex which grams every match must hold, as a tree of "and" and "or",
 intersects the postings of the rarest ones and searches only the paragraphs that remain. The result is always that of a
 search of all paragraphs; a pattern of which no gram is mandatory is searched in all of them.
 
@@ -40,7 +40,7 @@ def grams(text: Column) -> Column:
     """The distinct grams of a text; each character is looked at three times, however long the text."""
     chars = F.split(fold(text), "")
     three = F.transform(F.array(chars), lambda c: F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2))))[0]
-    return F.array_distinct(F.filter(three, lambda g: g.rlike(r"\A[ -~]{3}\z")))
+    return F.filter(F.array_distinct(three), lambda g: g.rlike(r"\A[ -~]{3}\z"))
 
 
 # --- what a match must hold ----------------------------------------------------------------------------------
@@ -216,7 +216,7 @@ class SearchIndex:
         self.parts, self.buckets, columns = spark.read.parquet(f"{folder}/settings").first()
         texts = StructType.fromJson(json.loads(columns))
         posted = StructType([*texts.fields[:2], StructField("gram", StringType()), StructField("bucket", IntegerType())])
-        self._schemas = {"texts": texts.add("part", IntegerType()), "postings": posted, "counts": StructType.fromDDL("gram string, n bigint")}
+        self._schemas = {"texts": texts.add("part", IntegerType()), "postings": posted}
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self._schemas[name]).parquet(f"{self.folder}/{name}")
@@ -226,21 +226,24 @@ class SearchIndex:
         dealt = F.pmod(F.xxhash64("doc_id", "para_idx"), F.lit(16)).cast("int")
         found = paragraphs.select("doc_id", "para_idx", F.explode(grams(F.col("text"))).alias("gram"))
         found = found.withColumn("bucket", _bucket(F.col("gram"), self.buckets)).withColumn("_deal", dealt)
-        counts = found.groupBy("gram").agg(F.count("*").alias("n"))
-        counts.write.mode("append").parquet(f"{self.folder}/counts")
         laid = found.repartition("bucket", "_deal").drop("_deal").sortWithinPartitions("bucket", "gram", "doc_id", "para_idx")
         laid.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
         texts = paragraphs.withColumn("part", _part(self.parts)).withColumn("_deal", dealt)
         texts.repartition("part", "_deal").drop("_deal").write.mode("append").partitionBy("part").parquet(f"{self.folder}/texts")
 
+    def _posted(self, asked: Iterable[str]) -> DataFrame:
+        """The postings of some grams, read from their folders only."""
+        asked = sorted(asked)
+        folders = self.spark.createDataFrame([(g,) for g in asked], "g string").select(_bucket(F.col("g"), self.buckets)).distinct().collect()
+        return self._table("postings").filter(F.col("bucket").isin([r[0] for r in folders]) & F.col("gram").isin(asked))
+
     def need(self, find: str, regex: bool = False) -> Need | None:
         """The grams that a search asks for, the rarest ones. The driver sees the counts of the pattern's own grams."""
         need = regex_need(find) if regex else literal_need(find)
         if need is None:
             return None
         asked = need.grams()
-        wanted = F.col("gram").isin(sorted(asked))
-        counts = {r["gram"]: r["n"] for r in self._table("counts").filter(wanted).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+        counts = {r["gram"]: r["n"] for r in self._posted(asked).groupBy("gram").agg(F.count("*").alias("n")).collect()}
         for most in (_ASKED, 1):
             got = need.rarest(counts, most)
             if len(got.grams()) <= _MOST_BITS:
@@ -253,8 +256,7 @@ class SearchIndex:
         if need is None:
             return texts.drop("part")
         bits = {g: 1 << i for i, g in enumerate(sorted(need.grams()))}
-        folders = self.spark.createDataFrame([(g,) for g in bits], "g string").select(_bucket(F.col("g"), self.buckets)).distinct().collect()
-        posted = self._table("postings").filter(F.col("bucket").isin([r[0] for r in folders]) & F.col("gram").isin(list(bits)))
+        posted = self._posted(bits)
         bit = F.coalesce(*(F.when(F.col("gram") == g, F.lit(b).cast("bigint")) for g, b in bits.items()))
         held = posted.groupBy("doc_id", "para_idx").agg(F.bit_or(bit).alias("held"))
         here = lambda g: F.col("held").bitwiseAND(F.lit(bits[g]).cast("bigint")) != 0

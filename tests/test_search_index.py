@@ -103,3 +103,12 @@ def test_no_paragraphs(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id string, para_idx int, text string")
     made = S.build(none, str(tmp_path / "i"))
     assert made.matches_of("abc").count() == made.matches_of("a").count() == 0
+
+
+def test_counts_come_from_postings(spark, tmp_path):
+    """No second pass over the texts writes counts; how rare a gram is follows from the postings."""
+    rows = spark.createDataFrame([(i, 0, "abc xyz" if i % 5 else "abc qrs") for i in range(20)], "doc_id int, para_idx int, text string")
+    index = S.build(rows, f"file://{tmp_path}/index", parts=2, buckets=2)
+    assert sorted(x.name for x in (tmp_path / "index").iterdir() if x.is_dir()) == ["postings", "settings", "texts"]
+    assert "qrs" in index.need("abc qrs").grams() and "bc " not in index.need("abc qrs").grams()
+    assert index.matches_of("c qrs").count() == 4
