@@ -181,11 +181,13 @@ def st01_packages(spark, sf_dir):
     at = F.timestamp_seconds(F.lit(1_767_225_600) + hours * 3600)
     again = F.explode(F.when(F.col("v") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
     arrivals = built.select("doc_id", at.alias("modified"), "content", "v", again)
-    arrivals.repartition(6, F.xxhash64("doc_id", "v", "again")).select("doc_id", "modified", "content").write.parquet(f"{place}/in/a")
+    # built once: the second copies are read from the first folder; as many files as the session has partitions, a third a batch
+    files = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    arrivals.repartition(files, F.xxhash64("doc_id", "v", "again")).write.parquet(f"{place}/in/a")
     for more in (False, True):  # the second start finds the same folder and nothing new but one more copy of all old versions
         if more:
-            arrivals.filter("v = 0 and again = 0").select("doc_id", "modified", "content").write.parquet(f"{place}/in/b")
-        stream = spark.readStream.schema("doc_id bigint, modified timestamp, content binary").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+            spark.read.parquet(f"{place}/in/a").filter("v = 0 and again = 0").coalesce(max(2, files // 3)).select("doc_id", "modified", "content").write.parquet(f"{place}/in/b")
+        stream = spark.readStream.schema("doc_id bigint, modified timestamp, content binary").option("maxFilesPerTrigger", -(-files // 3)).option("recursiveFileLookup", "true").parquet(f"{place}/in")
         arriving.start(arriving.measured(arriving.newest(stream, "30 days")), f"{place}/out", f"{place}/state").awaitTermination()
     found = arriving.latest(spark.read.parquet(f"{place}/out"))
     return found.select("doc_id", F.col("texts")[0].alias("head"), "paragraphs", "chars")
