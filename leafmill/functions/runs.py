@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,23 +98,48 @@ def merge_styles(base: Column, over: Column) -> Column:
     return F.struct(*flags, *names).cast(STYLE)
 
 
+def _brk(r: Column) -> Column:
+    return F.coalesce(r["is_break"], F.lit(False))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """:func:`styles_equal` property by property, so no structs are made and the first that differs decides."""
+    said = [F.coalesce(a[k], d) == F.coalesce(b[k], d) for names, d in ((FLAGS, F.lit(False)), (NAMES, F.lit(""))) for k in names]
+    return a.eqNullSafe(b) | reduce(lambda x, y: x & y, said)
+
+
+def _starts(r: Column) -> Column:
+    """Places where a run starts that looks unlike the one before; a break is alone. Never named twice without ``let``."""
+    on = F.zip_with(r, F.slice(r, 2, F.size(r)), lambda x, y: ~_brk(x) & ~_brk(y) & _alike(x["style"], y["style"]))
+    found = let(on, lambda s: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | ~F.get(s, i - 1)))
+    return F.when(F.size(r) > 0, found).otherwise(F.array().cast("array<int>"))
+
+
+def _spans(r: Column) -> Column:
+    """(at, n) of each run that :func:`merge_adjacent` makes."""
+    span = lambda s: F.transform(s, lambda at, k: F.struct(at.alias("at"), (F.coalesce(F.get(s, k + 1), F.size(r)) - at).alias("n")))
+    return let(_starts(r), span)
+
+
+def _joined(texts: Column, span: Column) -> Column:
+    """The text of a span; one or two runs by place, as a slice costs more than they do."""
+    said = lambda at: F.coalesce(F.get(texts, at), F.lit(""))
+    at, n = span["at"], span["n"]
+    return F.when(n == 1, said(at)).when(n == 2, F.concat(said(at), said(at + 1))).otherwise(F.array_join(F.slice(texts, at + 1, n), ""))
+
+
 def merge_adjacent(runs: Column) -> Column:
     """Joins neighbours of equal style; breaks stay apart. One pass finds where runs start, one joins what lies between."""
-    brk = lambda r: F.coalesce(r["is_break"], F.lit(False))
 
-    def joined(r: Column) -> Column:
-        # null for a break, which equals nothing
-        looks = F.transform(r, lambda x: F.when(~brk(x), normal(x["style"])))
-        starts = let(looks, lambda s: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True))))
+    def joined(r: Column, spans: Column) -> Column:
+        def one(texts: Column, u: Column) -> Column:
+            first = F.get(r, u["at"])
+            grown = F.struct(F.lit(False).alias("is_break"), _joined(texts, u).alias("text"), first["style"].alias("style")).cast(RUN)
+            return F.when(u["n"] == 1, first.cast(RUN)).otherwise(grown)
 
-        def one(s: Column, at: Column, k: Column) -> Column:
-            part, first = F.slice(r, at + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - at), F.get(r, at)
-            grown = F.struct(F.lit(False).alias("is_break"), F.array_join(F.transform(part, lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("text"), first["style"].alias("style")).cast(RUN)
-            return F.when(F.size(part) == 1, first.cast(RUN)).otherwise(grown)
+        return let(r["text"], lambda texts: F.transform(spans, lambda u: one(texts, u)))
 
-        return let(starts, lambda s: F.transform(s, lambda at, k: one(s, at, k)))
-
-    return let(runs, lambda r: F.when(F.size(r) > 0, joined(r)).otherwise(r.cast(RUNS)))
+    return let(runs, lambda r: let(_spans(r), lambda s: F.when(F.size(s) < F.size(r), joined(r, s)).otherwise(r.cast(RUNS))))
 
 
 def runs_text(runs: Column) -> Column:
@@ -121,13 +148,28 @@ def runs_text(runs: Column) -> Column:
 
 def canonical(runs: Column) -> Column:
     """Merged runs whose missing and empty values are alike: equal for runs that look the same."""
-    brk = lambda r: F.coalesce(r["is_break"], F.lit(False))
-    return F.transform(merge_adjacent(runs), lambda r: F.struct(brk(r), F.when(~brk(r), F.struct(F.coalesce(r["text"], F.lit("")), normal(r["style"])))))
+    return F.transform(merge_adjacent(runs), lambda r: F.struct(_brk(r), F.when(~_brk(r), F.struct(F.coalesce(r["text"], F.lit("")), normal(r["style"])))))
 
 
 def runs_equal(a: Column, b: Column) -> Column:
-    """Same breaks, texts and styles once neighbours are merged."""
-    return canonical(a) == canonical(b)
+    """Same breaks, texts and styles once neighbours are merged, as :func:`canonical` has them; nothing is merged for it."""
+
+    def side(r: Column) -> Column:
+        return let(r, lambda x: F.struct(x.alias("runs"), x["text"].alias("texts"), _spans(x).alias("spans")))
+
+    def same(p: Column, q: Column, u: Column, v: Column) -> Column:
+        looks = lambda x, y: (_brk(x) == _brk(y)) & (_brk(x) | _alike(x["style"], y["style"]))
+        x, y = F.get(p["runs"], u["at"]), F.get(q["runs"], v["at"])
+        return looks(x, y) & (_brk(x) | (_joined(p["texts"], u) == _joined(q["texts"], v)))
+
+    def all_same(p: Column, q: Column) -> Column:
+        return F.forall(F.zip_with(p["spans"], q["spans"], lambda u, v: same(p, q, u, v)), lambda ok: ok)
+
+    def both(p: Column, q: Column) -> Column:
+        found = F.when(F.size(p["spans"]) == F.size(q["spans"]), all_same(p, q)).otherwise(False)
+        return F.when(p["runs"].isNotNull() & q["runs"].isNotNull(), found)
+
+    return let(side(a), lambda p: let(side(b), lambda q: both(p, q)))
 
 
 def text_runs(text: Column) -> Column:
