@@ -79,10 +79,10 @@ def expand_map(paragraphs: DataFrame, library: DataFrame) -> DataFrame:
 
 def value_map(values: DataFrame) -> DataFrame:
     """record_id and its trimmed, non-empty values as a map; of a repeated name the last by ``seq`` counts, without such a
-    column the greatest."""
+    column the greatest. Values go to their record once, where both groupings take place."""
     kept = values.withColumn("value", ends_trimmed(F.col("value"))).filter((F.col("value") != "") & F.col("name").isNotNull())
     last = F.max_by("value", F.struct("seq", "value")) if "seq" in values.columns else F.max("value")
-    one = kept.groupBy("record_id", "name").agg(last.alias("value"))
+    one = kept.repartition("record_id").groupBy("record_id", "name").agg(last.alias("value"))
     return one.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("vals"))
 
 
