@@ -5,8 +5,10 @@ touches the pieces it names: a split, merge or list level moves references, and
 only the nodes in which it finds something, so their styles stay. Transforms, splits, merges and batches set a
 paragraph's whole text, which makes plain nodes of it. Every edit sees the positions that the last one left.
 
-Only documents that have edits are grouped; the others pass through as they are. A group is one document with its log,
-and whole Arrow batches of documents go through Python at once.
+Paragraphs and edits are dealt by document once, as rows of one table that is sorted by document, edits first, and
+Arrow batches of whole documents go through Python. Texts become nodes there, edits arrive as JSON and are made ready
+(parsed, patterns compiled) once for all documents of a task that share them, and only rows and nodes that are asked for
+are handed back. Documents without edits are passed on as they came.
 
 =================  ====================================================================================================
 ``op``             what it takes from ``params`` (texts), ``items`` (index, text) and ``values`` (name to text)
@@ -29,10 +31,15 @@ is empty; character classes of a pattern know ASCII only; edits of equal ``seq``
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +53,11 @@ NODES = "array<struct<text:string,style:string>>"
 EDIT = {"op": "string", "params": "map<string,string>", "items": "array<struct<index:int,text:string>>", "values": "map<string,string>"}
 RUN = "doc_id {0}, para_idx int, text string, list_level int, part string, nodes " + NODES + ", seq int, op string, n_changes bigint, error string"
 
-_WS = "[" + regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WS_CHARS) + "]"
-_FORBIDDEN = regex.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
-_TITLE, _SPACES, _HARD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile(f"{_WS}+"), regex.compile("[\u00a0\u2007\u202f]")
-_ENDS = regex.compile(rf"\A{_WS}+|{_WS}+\Z")
+_SPACE = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WS_CHARS)
+_WS = f"[{_SPACE}]"
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+_TITLE, _SPACES, _DOUBLE, _HARD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile(f"{_WS}+"), re.compile("  +"), re.compile("[\u00a0\u2007\u202f]")
+_ENDS = "".join(c for c in map(chr, range(0x10000)) if re.match(_WS, c))
 _BREAK = (None, None)
 
 
@@ -74,7 +82,26 @@ def edit_error(op: Column, params: Column, items: Column, values: Column) -> Col
 
 
 def sanitised(text: str) -> str:
-    return _FORBIDDEN.sub("", text)
+    return text if text.isprintable() else _FORBIDDEN.sub("", text)
+
+
+def _collapsed(text: str) -> str:
+    if text.isprintable():  # of all white space, only the space is
+        return _DOUBLE.sub(" ", text) if "  " in text else text
+    return _SPACES.sub(" ", text)
+
+
+def _plain(text: str) -> list[tuple[str | None, str | None]]:
+    """Plain nodes for a text: one for each line that isn't empty, breaks between lines."""
+    if "\n" not in text:
+        return [(text, None)] if text else []
+    nodes: list[tuple[str | None, str | None]] = []
+    for i, line in enumerate(text.split("\n")):
+        if i:
+            nodes.append(_BREAK)
+        if line:
+            nodes.append((line, None))
+    return nodes
 
 
 class Paragraph:
@@ -85,164 +112,271 @@ class Paragraph:
 
     @property
     def text(self) -> str:
+        if len(self.nodes) == 1 and self.nodes[0][0] is not None:
+            return self.nodes[0][0]
         return "".join("\n" if t is None else t for t, _ in self.nodes)
 
     def put(self, text: str) -> None:
-        """Plain nodes for a text: one for each line that isn't empty, breaks between lines."""
-        self.nodes = []
-        for i, line in enumerate(sanitised(text).split("\n")):
-            if i:
-                self.nodes.append(_BREAK)
-            if line:
-                self.nodes.append((line, None))
+        self.nodes = _plain(sanitised(text))
 
 
-class Document:
-    """The pieces of one document and the edits on them; each edit returns how much it changed."""
+class Edit:
+    """One edit, ready for any document: what it says as JSON (op, by: the parameters, items, values, error) is read once.
 
-    def __init__(self, paragraphs: list[Paragraph]):
-        self.paragraphs = paragraphs
+    Each operation returns how much it changed."""
+
+    def __init__(self, said: str):
+        e = json.loads(said)
+        self.op, self.by, self.error = e["op"], e.get("by") or "", e.get("error")
+        self.params = p = json.loads(self.by) if self.by else {}
+        if self.error is None:
+            try:
+                self.change = self._change(p, e.get("items") or [], e.get("values") or {})
+            except regex.error:
+                self.error = "bad-regex"
+
+    def _change(self, p: dict, items: list, values: dict) -> Callable[[list[Paragraph], bool], int]:
+        """What the edit does to the paragraphs of a document, of whose log it may be the last one."""
+        op, mode = self.op, p.get("mode")
+        if op == "case":
+            return self.transform({"upper": str.upper, "lower": str.lower}.get(mode, lambda t: _TITLE.sub(lambda m: m[0][0].upper() + m[0][1:].lower(), t)))
+        if op == "trim":
+            before = {"collapse": _collapsed, "hard": lambda t: _HARD.sub(" ", t)}.get(mode, lambda t: t)
+            return self.transform(lambda t: before(t).strip(_ENDS))
+        if op == "affix":
+            prefix, suffix = p.get("prefix") or "", p.get("suffix") or ""
+            return self.transform(lambda t: prefix + t + suffix)
+        if op == "replace":
+            free = (p.get("regex") or "").lower() in ("true", "1")
+            return self.replace(p["find"], regex.compile(p["find"], regex.ASCII) if free else None)
+        if op == "placeholderFill":
+            found = [(("{{", name), re.compile(r"\{\{" + _WS + "*" + re.escape(name) + _WS + r"*\}\}"), sanitised(value)) for name, value in values.items() if value]
+            return lambda paragraphs, last: sum(self.substitute(paragraphs, *f) for f in found)
+        if op == "snippetExpand":
+            found = [((f"!{name}",), re.compile("!" + re.escape(name) + WORD_END), sanitised(values[name] or "")) for name in sorted(values, key=lambda x: (-len(x), x))]
+            return lambda paragraphs, last: sum(self.substitute(paragraphs, *f) for f in found)
+        if op == "paragraphBatch":
+            new = [(x["index"], sanitised(x.get("text") or "")) for x in items if x is not None and x.get("index") is not None]
+            return lambda paragraphs, last: self.batch(paragraphs, new)
+        return {"splitParagraph": self.split, "mergeParagraph": self.merge, "listLevel": self.list_level}[op]
 
-    def scoped(self, p: dict) -> list[Paragraph]:
-        return [x for x in self.paragraphs if x.part == "body"] if p.get("scope") == "body" else self.paragraphs
+    def scoped(self, paragraphs: list[Paragraph]) -> list[Paragraph]:
+        return [x for x in paragraphs if x.part == "body"] if self.params.get("scope") == "body" else paragraphs
 
-    def substitute(self, p: dict, hint: str, change: Callable[[str], tuple[str, int]]) -> int:
-        """Sends the nodes that hold ``hint`` through ``change``."""
+    def substitute(self, paragraphs: list[Paragraph], hints: tuple[str, ...], pattern: re.Pattern, value: str) -> int:
+        """Puts ``value`` for the pattern in the nodes that hold all ``hints``."""
         n = 0
-        for x in self.scoped(p):
+        for x in self.scoped(paragraphs):
             for i, (text, style) in enumerate(x.nodes):
-                if text and hint in text:
-                    new, k = change(text)
+                if text and all(h in text for h in hints):
+                    new, k = pattern.subn(lambda m: value, text)
                     n += k
                     if new != text:
                         x.nodes[i] = (sanitised(new), style)
         return n
 
-    def replace(self, p: dict, last: bool) -> int:
-        free = (p.get("regex") or "").lower() in ("true", "1")
-        pattern = regex.compile(p["find"], regex.ASCII) if free else regex.compile(regex.escape(p["find"], special_only=True))
-        skip, most = (int(p.get(k) or d) for k, d in (("skip", 0), ("max", -1))) if last else (0, -1)
-        new, seen, done = p.get("replace") or "", 0, 0
-
-        def one(m) -> str:
-            nonlocal seen, done
-            seen += 1
-            if seen <= skip or 0 <= most <= done:
-                return m[0]
-            done += 1
-            return new
-
-        self.substitute(p, "" if free else p["find"], lambda t: (pattern.sub(one, t), 0))
-        return done
-
-    def fill(self, p: dict, values: dict) -> int:
-        n = 0
-        for name, value in values.items():
-            if value:
-                pattern, said = regex.compile(r"\{\{" + _WS + "*" + regex.escape(name, special_only=True) + _WS + r"*\}\}"), sanitised(value)
-                n += self.substitute(p, "{{", lambda t, f=pattern, v=said: f.subn(lambda m: v, t))
-        return n
+    def replace(self, find: str, pattern: regex.Pattern | None) -> Callable[[list[Paragraph], bool], int]:
+        """``pattern`` or else the text ``find``; skip and max count matches of the whole document, in order."""
+        new = self.params.get("replace") or ""
+        limits = [int(self.params.get(k) or d) for k, d in (("skip", 0), ("max", -1))]
+
+        def run(paragraphs: list[Paragraph], last: bool) -> int:
+            skip, most = limits if last else (0, -1)
+            seen = done = 0
+
+            def one(m) -> str:
+                nonlocal seen, done
+                seen += 1
+                if seen <= skip or 0 <= most <= done:
+                    return m[0]
+                done += 1
+                return new
+
+            for x in self.scoped(paragraphs):
+                for i, (text, style) in enumerate(x.nodes):
+                    if not text or (pattern is None and find not in text):
+                        continue
+                    if 0 <= most <= done:
+                        return done
+                    if pattern is not None:
+                        out = pattern.sub(one, text)
+                    elif skip <= seen and most < 0:
+                        done += text.count(find)
+                        out = text.replace(find, new)
+                    else:
+                        k = text.count(find)
+                        a = min(max(skip - seen, 0), k)  # the first a stay, then b are replaced
+                        b = min(k - a, most - done) if most >= 0 else k - a
+                        seen, done = seen + k, done + b
+                        cut = text.split(find, a + b)
+                        out = find.join(cut[: a + 1]) + "".join(new + t for t in cut[a + 1 :])
+                    if out != text:
+                        x.nodes[i] = (sanitised(out), style)
+            return done
+
+        return run
+
+    def transform(self, change: Callable[[str], str]) -> Callable[[list[Paragraph], bool], int]:
+        def run(paragraphs: list[Paragraph], last: bool) -> int:
+            n = 0
+            for x in self.scoped(paragraphs):
+                text = x.text
+                if text and (new := change(text)) != text:
+                    x.put(new)
+                    n += 1
+            return n
 
-    def expand(self, p: dict, values: dict) -> int:
-        n = 0
-        for name in sorted(values, key=lambda x: (-len(x), x)):
-            pattern, said = regex.compile("!" + regex.escape(name, special_only=True) + WORD_END), sanitised(values[name] or "")
-            n += self.substitute(p, f"!{name}", lambda t, f=pattern, v=said: f.subn(lambda m: v, t))
-        return n
+        return run
 
-    def transform(self, p: dict, change: Callable[[str], str]) -> int:
+    def batch(self, paragraphs: list[Paragraph], items: list[tuple[int, str]]) -> int:
         n = 0
-        for x in self.scoped(p):
-            text = x.text
-            if text and (new := change(text)) != text:
-                x.put(new)
+        for at, new in items:
+            if 0 <= at < len(paragraphs) and paragraphs[at].text != new:
+                paragraphs[at].put(new)
                 n += 1
         return n
 
-    def batch(self, items: list[dict]) -> int:
-        n = 0
-        for item in items:
-            if item is not None and item["index"] is not None and 0 <= item["index"] < len(self.paragraphs):
-                x, new = self.paragraphs[item["index"]], sanitised(item["text"] or "")
-                if x.text != new:
-                    x.put(new)
-                    n += 1
-        return n
-
-    def split(self, p: dict) -> int:
-        at = int(p["index"])
-        if not 0 <= at < len(self.paragraphs):
+    def split(self, paragraphs: list[Paragraph], last: bool) -> int:
+        at = int(self.params["index"])
+        if not 0 <= at < len(paragraphs):
             return 0
-        x = self.paragraphs[at]
+        x = paragraphs[at]
         y = Paragraph(x.level, x.part, [])
-        x.put(p.get("before") or "")
-        y.put(p.get("after") or "")
-        self.paragraphs.insert(at + 1, y)
+        x.put(self.params.get("before") or "")
+        y.put(self.params.get("after") or "")
+        paragraphs.insert(at + 1, y)
         return 1
 
-    def merge(self, p: dict) -> int:
-        at = int(p["index"])
-        if not 0 < at < len(self.paragraphs):
+    def merge(self, paragraphs: list[Paragraph], last: bool) -> int:
+        at = int(self.params["index"])
+        if not 0 < at < len(paragraphs):
             return 0
-        x, y = self.paragraphs[at - 1], self.paragraphs.pop(at)
+        x, y = paragraphs[at - 1], paragraphs.pop(at)
         x.put(x.text + y.text)
         return 1
 
-    def list_level(self, p: dict) -> int:
-        at = int(p["index"])
-        if not 0 <= at < len(self.paragraphs):
+    def list_level(self, paragraphs: list[Paragraph], last: bool) -> int:
+        at = int(self.params["index"])
+        if not 0 <= at < len(paragraphs):
             return 0
-        x = self.paragraphs[at]
+        x = paragraphs[at]
         if x.level is None or x.level < 0:
             return 0
-        new = max(0, min(8, x.level + int(p["delta"])))
+        new = max(0, min(8, x.level + int(self.params["delta"])))
         changed, x.level = new != x.level, new
         return int(changed)
 
-    def apply(self, e: dict, last: bool) -> int:
-        p, op, values = dict(e["params"] or ()), e["op"], dict(e["values"] or ())
-        mode = p.get("mode")
-        if op == "case":
-            return self.transform(p, {"upper": str.upper, "lower": str.lower}.get(mode, lambda t: _TITLE.sub(lambda m: m[0][0].upper() + m[0][1:].lower(), t)))
-        if op == "trim":
-            before = {"collapse": lambda t: _SPACES.sub(" ", t), "hard": lambda t: _HARD.sub(" ", t)}.get(mode, lambda t: t)
-            return self.transform(p, lambda t: _ENDS.sub("", before(t)))
-        if op == "affix":
-            return self.transform(p, lambda t: (p.get("prefix") or "") + t + (p.get("suffix") or ""))
-        if op == "replace":
-            return self.replace(p, last)
-        if op in ("placeholderFill", "snippetExpand"):
-            return (self.fill if op == "placeholderFill" else self.expand)(p, values)
-        if op == "paragraphBatch":
-            return self.batch(e["items"] or [])
-        return {"splitParagraph": self.split, "mergeParagraph": self.merge, "listLevel": self.list_level}[op](p)
-
-
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, paragraphs, log) to rows of ``RUN``: paragraphs (without seq), then edits (without para_idx)."""
-    nodes = pa.list_(pa.struct([("text", pa.string()), ("style", pa.string())]))
-    types = {"para_idx": pa.int32(), "text": pa.string(), "list_level": pa.int32(), "part": pa.string(), "nodes": nodes, "seq": pa.int32(), "op": pa.string(), "n_changes": pa.int64(), "error": pa.string()}
-    for whole in batches:
-        for a in range(0, whole.num_rows, 256):
-            batch = whole.slice(a, 256)
-            at, rows = [], []
-            for d, (paragraphs, log) in enumerate(zip(batch.column("paragraphs").to_pylist(), batch.column("log").to_pylist())):
-                doc = Document([Paragraph(x["list_level"], x["part"], [(n["text"], n["style"]) for n in x["nodes"]]) for x in paragraphs])
-                told = []
-                for i, e in enumerate(log):
-                    n, error = 0, e["error"]
-                    if error is None:
-                        try:
-                            n = doc.apply(e, i == len(log) - 1)
-                        except regex.error:
-                            error = "bad-regex"
-                    told.append((None, None, None, None, None, e["seq"], e["op"], n, error))
-                total = sum(t[-2] for t in told)
-                rows += [(i, x.text, x.level, x.part, [{"text": t, "style": s} for t, s in x.nodes], None, None, total, None) for i, x in enumerate(doc.paragraphs)]
-                rows += told
-                at += [d] * (len(doc.paragraphs) + len(told))
-            cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, types.values()))], ["doc_id", *types])
+
+#: Edits of a task, by what they say.
+ready = lru_cache(maxsize=4096)(Edit)
+
+
+def _starts(ids: pa.Array) -> np.ndarray:
+    """Where the documents of sorted rows begin."""
+    new = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _documents(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Sorted rows as batches of at most ``most`` whole documents, with the bounds of these."""
+
+    def parts(rows: pa.RecordBatch, starts: np.ndarray):
+        bounds = [*starts.tolist(), rows.num_rows]
+        for a in range(0, len(starts), most):
+            own = bounds[a : a + most + 1]
+            yield rows.slice(own[0], own[-1] - own[0]), [b - own[0] for b in own]
+
+    joined = lambda held: pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+    held: list[pa.RecordBatch] = []  # of a document that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column("doc_id")[-1] != batch.column("doc_id")[0]:
+            yield from parts(joined(held), np.zeros(1, int))
+            held = []
+        starts = _starts(batch.column("doc_id"))
+        if held and len(starts) > 1:
+            yield from parts(joined([*held, batch.slice(0, starts[1])]), np.zeros(1, int))
+            held, batch, starts = [], batch.slice(starts[1]), starts[1:] - starts[1]
+        if len(starts) > 1:
+            yield from parts(batch.slice(0, starts[-1]), starts[:-1])
+            batch = batch.slice(starts[-1])
+        held.append(batch)
+    if held:
+        yield from parts(joined(held), np.zeros(1, int))
+
+
+def _nulls_first(*x) -> list[tuple]:
+    return [(v is not None, v) for v in x]
+
+
+def _replay(batches: Iterator[pa.RecordBatch], texts: bool, nodes: bool, told: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (doc_id, at, edit, text, list_level, part and maybe nodes) to rows of ``RUN``: of each slice its
+    paragraphs (without seq) and its edits (without para_idx)."""
+    kinds = {"para_idx": pa.int32(), "text": pa.string(), "list_level": pa.int32(), "part": pa.string(), "nodes": pa.list_(pa.struct([("text", pa.string()), ("style", pa.string())])), "seq": pa.int32(), "op": pa.string(), "n_changes": pa.int64(), "error": pa.string()}
+
+    def rows(ids: pa.Array, at: list[int], **cols) -> pa.RecordBatch:
+        n = len(at)
+        made = [pa.nulls(n, kind) if (c := cols.get(name)) is None else c if isinstance(c, pa.Array) else pa.array(c, kind) for name, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *made], ["doc_id", *kinds])
+
+    for batch, bounds in _documents(batches):
+        at, edits, lines, levels, places = (batch.column(c).to_pylist() for c in ("at", "edit", "text", "list_level", "part"))
+        if "nodes" in batch.schema.names:
+            given = batch.column("nodes")
+            offs = given.offsets.to_numpy()
+            own, offs = given.values.slice(offs[0], offs[-1] - offs[0]), (offs - offs[0]).tolist()
+            pairs = list(zip(own.field("text").to_pylist(), own.field("style").to_pylist()))
+            first = lambda i: pairs[offs[i] : offs[i + 1]]
+        else:
+            first = lambda i: _plain(lines[i])
+        p: list[list] = [[] for _ in range(6)]  # row, para_idx, text, list_level, part, n_changes
+        e: list[list] = [[] for _ in range(5)]  # row, seq, op, n_changes, error
+        ends, flat = [0], []
+        for a, b in zip(bounds, bounds[1:]):
+            k = a
+            while k < b and edits[k] is not None:
+                k += 1
+            if k == b:
+                continue
+            if k == a:  # no edits
+                if texts:
+                    for c, v in zip(p, ([a] * (b - a), at[a:b], lines[a:b], levels[a:b], places[a:b], [0] * (b - a))):
+                        c += v
+                    for i in range(a, b) if nodes else ():
+                        flat += first(i)
+                        ends.append(len(flat))
+                continue
+            log = [(at[i], ready(edits[i])) for i in range(a, k)]
+            if len(set(at[a:k])) < k - a:
+                log.sort(key=lambda x: _nulls_first(x[0], x[1].op, x[1].by))
+            doc = [Paragraph(levels[i], places[i], first(i)) for i in range(k, b)]
+            if len(set(at[k:b])) < b - k:
+                by = {id(x): (_nulls_first(at[i], x.level, x.part), [_nulls_first(*n) for n in x.nodes]) for i, x in enumerate(doc, k)}
+                doc.sort(key=lambda x: by[id(x)])
+            total = 0
+            for i, (seq, edit) in enumerate(log):
+                n = 0 if edit.error else edit.change(doc, i == len(log) - 1)
+                total += n
+                if told:
+                    for c, v in zip(e, (a, seq, edit.op, n, edit.error)):
+                        c.append(v)
+            if texts:
+                m = len(doc)
+                for c, v in zip(p, ([a] * m, range(m), [x.text for x in doc], [x.level for x in doc], [x.part for x in doc], [total] * m)):
+                    c += v
+                for x in doc if nodes else ():
+                    flat += x.nodes
+                    ends.append(len(flat))
+        ids = batch.column("doc_id")
+        if p[0]:
+            made = None
+            if nodes:
+                both = [pa.array(c, pa.string()) for c in (zip(*flat) if flat else ((), ()))]
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(both, ["text", "style"]))
+            yield rows(ids, p[0], para_idx=p[1], text=p[2], list_level=p[3], part=p[4], nodes=made, n_changes=p[5])
+        if e[0]:
+            yield rows(ids, e[0], seq=e[1], op=e[2], n_changes=e[3], error=e[4])
 
 
 def text_nodes(text: Column) -> Column:
@@ -253,29 +387,33 @@ def text_nodes(text: Column) -> Column:
     return F.flatten(both)
 
 
-def run_log(paragraphs: DataFrame, edits: DataFrame, as_of: datetime | None = None, lang: str = "pl") -> DataFrame:
+def run_log(paragraphs: DataFrame, edits: DataFrame, as_of: datetime | None = None, lang: str = "pl", texts: bool = True, nodes: bool = True, told: bool = True) -> DataFrame:
     """Rows of ``RUN``: the paragraphs after all edits (``para_idx`` is set) and one report for each edit (``seq`` is set).
 
     ``paragraphs``: doc_id, para_idx, text, and where known list_level, part and nodes (text, null for a break, and style);
     ``edits``: doc_id, seq, op, params, and where needed items and values. With ``as_of``, dynamic tokens in the bodies of
-    ``snippetExpand`` are resolved first."""
+    ``snippetExpand`` are resolved first. Without ``texts`` there are no paragraphs, without ``nodes`` these are null, and
+    without ``told`` there are no reports."""
     kind = dict(paragraphs.dtypes)["doc_id"]
-    known = {"list_level": F.lit(None).cast("int"), "part": F.lit(None).cast("string"), "nodes": text_nodes(F.col("text"))}
-    p = paragraphs.select("doc_id", "para_idx", F.coalesce("text", F.lit("")).alias("text"), *((F.col(c).cast(NODES) if c == "nodes" else F.col(c)).alias(c) if c in paragraphs.columns else v.alias(c) for c, v in known.items()))
-    e = edits.select("doc_id", F.col("seq").cast("int").alias("seq"), *((F.col(c) if c in edits.columns else F.lit(None)).cast(t).alias(c) for c, t in EDIT.items()))
+    given = ["nodes"] if "nodes" in paragraphs.columns else []
+    known = {"list_level": "int", "part": "string", "nodes": NODES}
+    p = paragraphs.select("doc_id", F.col("para_idx").cast("int").alias("at"), F.lit(None).cast("string").alias("edit"), F.coalesce("text", F.lit("")).alias("text"), *((F.col(c) if c in paragraphs.columns else F.lit(None)).cast(known[c]).alias(c) for c in ("list_level", "part", *given)))
+    e = edits.select(F.col("doc_id").try_cast(kind).alias("doc_id"), F.col("seq").cast("int").alias("seq"), *((F.col(c) if c in edits.columns else F.lit(None)).cast(t).alias(c) for c, t in EDIT.items())).filter("doc_id is not null")
     op = F.coalesce("op", F.lit("replace"))
     for old, new in OPS.items():
         op = F.when(op == old, new).otherwise(op)
     e = e.withColumn("op", op).withColumn("error", edit_error(F.col("op"), F.col("params"), F.col("items"), F.col("values")))
     if as_of is not None:
         e = e.withColumn("values", F.when(F.col("op") == "snippetExpand", F.transform_values("values", lambda k, v: resolve_body(v, as_of, lang))).otherwise(F.col("values")))
-    order = F.struct("seq", "op", F.to_json("params").alias("by"), *(c for c in ("params", "items", "values", "error")))
-    by = lambda x, y: F.when(x["seq"] != y["seq"], F.signum(x["seq"] - y["seq"]).cast("int")).when(x["op"] != y["op"], F.when(x["op"] < y["op"], -1).otherwise(1)).when(x["by"] < y["by"], -1).when(x["by"] > y["by"], 1).otherwise(0)
-    logs = e.filter("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(order), by).alias("log"))
-    ids = logs.select("doc_id")
-    grouped = p.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "list_level", "part", "nodes"))).alias("paragraphs"))
-    done = grouped.join(logs, "doc_id").select("doc_id", "paragraphs", "log").mapInArrow(_replay, RUN.format(kind))
-    rest = p.join(ids, "doc_id", "left_anti").select("doc_id", F.col("para_idx").cast("int"), "text", "list_level", "part", "nodes", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(0).cast("bigint").alias("n_changes"), F.lit(None).cast("string").alias("error"))
+    said = F.to_json(F.struct("op", F.to_json("params").alias("by"), "items", "values", "error"))
+    e = e.select("doc_id", F.col("seq").alias("at"), said.alias("edit"), *(F.lit(None).cast(t).alias(c) for c, t in p.dtypes[3:]))
+    rows = p.filter("doc_id is not null").unionByName(e).repartition("doc_id").sortWithinPartitions("doc_id", F.col("edit").isNull(), "at")
+    done = rows.mapInArrow(lambda batches: _replay(batches, texts, nodes, told), RUN.format(kind))
+    if not texts:
+        return done
+    # paragraphs without a document have no edits, and need not meet in one task
+    own = (F.col("nodes") if given else text_nodes(F.col("text"))) if nodes else F.lit(None).cast(NODES)
+    rest = p.filter("doc_id is null").select("doc_id", F.col("at").alias("para_idx"), "text", "list_level", "part", own.alias("nodes"), F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(0).cast("bigint").alias("n_changes"), F.lit(None).cast("string").alias("error"))
     return done.unionByName(rest)
 
 

@@ -95,4 +95,4 @@ def replay(paragraphs: DataFrame, edits: DataFrame) -> DataFrame:
 
     Documents without edits come out unchanged with n_changes 0.
     """
-    return editlog.edited(editlog.run_log(paragraphs, edits)).select("doc_id", "para_idx", "text", "n_changes")
+    return editlog.edited(editlog.run_log(paragraphs, edits, nodes=False, told=False)).select("doc_id", "para_idx", "text", "n_changes")

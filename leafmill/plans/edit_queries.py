@@ -119,13 +119,13 @@ MIXED_LOG = [
 ]
 
 
-def mixed_log(spark, sf_dir):
-    """The mixed log on all paragraphs, whose levels and parts follow from their numbers."""
+def mixed_log(spark, sf_dir, **want):
+    """The mixed log on all paragraphs, whose levels and parts follow from their numbers; ``want``: see ``run_log``."""
     level, part = (F.col("para_idx") % 10 - 1).cast("int"), F.when(F.col("para_idx") % 4 == 3, "other").otherwise("body")
     p = _p(spark, sf_dir).withColumns({"list_level": level, "part": part})
     edit = lambda i, op, params, items, values: F.struct(F.lit(i).alias("seq"), *(_literal(v, editlog.EDIT[c]).alias(c) for c, v in {"op": op, "params": params, "items": items, "values": values}.items()))
     log = F.array(*(edit(i, *e) for i, e in enumerate(MIXED_LOG)))
-    return editlog.run_log(p, table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.inline(log)))
+    return editlog.run_log(p, table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.inline(log)), **want)
 
 
 def _literal(x, kind: str):
@@ -162,7 +162,7 @@ n AS (
 )
 def x05_mixed(spark, sf_dir):
     """Every operation in one log, with errors among them, on all documents."""
-    return editlog.edited(mixed_log(spark, sf_dir)).drop("nodes")
+    return editlog.edited(mixed_log(spark, sf_dir, nodes=False, told=False)).drop("nodes")
 
 
 @query(
