@@ -79,3 +79,9 @@ def test_shortcuts():
         t = f"{c}a {c}{c}b  {c}"
         assert editlog._collapsed(t) == re.sub(f"{WS}+", " ", t) and t.strip(editlog._ENDS) == re.sub(f"^{WS}+|{WS}+\\Z", "", t)
         assert editlog.sanitised(t) == re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", t)
+
+
+def test_report_hands_back_no_paragraphs(spark, sf_dir, monkeypatch):
+    runs = []
+    monkeypatch.setattr(editlog, "report", lambda run, f=editlog.report: runs.append(run) or f(run))
+    assert QUERIES["x05_log_report"](spark, sf_dir).count() and runs[0].filter("para_idx is not null").count() == 0
