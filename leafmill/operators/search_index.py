@@ -1,46 +1,70 @@
 """Search through a stored index of three-character grams instead of all texts.
 
 :func:`build` writes, for paragraphs (doc_id, para_idx, text and any other columns), two tables below a folder: the
-paragraphs by parts of the corpus and the postings (gram, doc_id, para_idx) sorted by gram within files, from which a
-search also counts how often the grams of its pattern occur. A search derives from a literal or regex which grams every match must hold, as a tree of "and" and "or",
-intersects the postings of the rarest ones and searches only the paragraphs that remain. The result is always that of a
+paragraphs, numbered in segments of 8,192 as they come, and the postings (gram, segment, numbers of the paragraphs that
+hold it) sorted by gram within files, from which a search also counts how often the grams of its pattern occur. Nothing is
+shuffled for it: a task numbers what it reads, and another makes the postings of what it wrote, a few MB of texts at a
+time. A search derives from a literal or regex which grams every match must hold, as a tree of "and" and "or", combines the
+postings of the rarest ones into a bit for each paragraph of a segment and searches only the paragraphs that remain. The
+bits go to the paragraphs (128 words for 8,192 of them), not the paragraphs to the bits. The result is always that of a
 search of all paragraphs; a pattern of which no gram is mandatory is searched in all of them.
 
 Grams are of printable ASCII characters without regard to case, so an index serves both kinds of search; a pattern without
 three such characters in a row has no mandatory gram. Of a conjunction four grams at most are asked for, the rarest ones:
 fewer conditions leave more candidates, never fewer matches. Null texts match nothing; null ids are ids like others.
-Paragraphs that are added twice are there twice. Postings are written before the paragraphs, so a job that ends between
-the two leaves postings that nothing answers to, and can be run again.
+Paragraphs that are added twice are there twice. What is added counts from when its name stands in the settings, after
+both tables; a job that ends before that leaves rows that nothing reads, and can be run again.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from leafmill.operators import search
+from leafmill.sources.docx import sliced
 
-_ASKED, _MOST_BITS = 4, 60
+_ASKED, _MOST_GRAMS = 4, 60
+#: Paragraphs of a segment, as a power of two, and the bytes of text that a task looks at at once.
+_SEGMENT, _BYTES = 13, 2 << 20
 #: The characters outside ASCII that the JVM takes for ASCII letters where case doesn't count.
 _FOLDS = {"K": "k", "ſ": "s", "İ": "i", "ı": "i"}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def fold(text: Column) -> Column:
-    return F.translate(text, _UPPER + "".join(_FOLDS), _UPPER.lower() + "".join(_FOLDS.values()))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
-def grams(text: Column) -> Column:
-    """The distinct grams of a text; each character is looked at three times, however long the text."""
-    chars = F.split(fold(text), "")
-    three = F.transform(F.array(chars), lambda c: F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2))))[0]
-    return F.filter(F.array_distinct(three), lambda g: g.rlike(r"\A[ -~]{3}\z"))
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of each text, as (gram, place of the text), sorted; a gram is its three bytes as a number."""
+    for c, plain in _FOLDS.items():
+        texts = pc.replace_substring(texts, c, plain)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, last = (int(ends[0]), int(ends[-1])) if len(texts) else (0, 0)
+    data = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first:last]]
+    ends = ends - first
+    found = [np.empty(0, np.int64)]
+    for at in range(0, max(len(data) - 2, 0), _BYTES):
+        b = data[at : at + _BYTES + 2].astype(np.int64)
+        printable = (b >= 32) & (b <= 126)
+        at_b = np.flatnonzero(printable[:-2] & printable[1:-1] & printable[2:])
+        text = np.searchsorted(ends, at_b + at, side="right") - 1
+        inside = at_b + at + 3 <= ends[text + 1]
+        at_b, text = at_b[inside], text[inside]
+        found.append(np.unique(((b[at_b] << 16 | b[at_b + 1] << 8 | b[at_b + 2]) << 32) | text))
+    keys = found[-1] if len(found) <= 2 else np.unique(np.concatenate(found))
+    return keys >> 32, keys & 0xFFFFFFFF
 
 
 # --- what a match must hold ----------------------------------------------------------------------------------
@@ -190,46 +214,93 @@ def regex_need(pattern: str) -> Need | None:
 # --- tables --------------------------------------------------------------------------------------------------
 
 
-def _part(n: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-
-
 def _bucket(gram: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(n)).cast("int")
 
 
+def _packed(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of ascending numbers below 16,384, each list as steps of one byte or two, seven bits in each."""
+    steps = np.diff(numbers, prepend=0)
+    steps[starts] = numbers[starts]
+    wide = steps > 127
+    ends = np.cumsum(1 + wide)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - 1] = np.where(wide, steps >> 7, steps)
+    out[ends[wide] - 2] = steps[wide] & 127 | 128
+    offsets = np.append(np.append(0, ends)[starts], len(out)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, b[:-1] < 128))
+    steps = b[starts] & 127
+    wide = b[starts] > 127
+    steps[wide] |= b[starts[wide] + 1] << 7
+    return np.cumsum(steps)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, segment, gram, n, numbers of batches of part, segment, number, text."""
+    for batch in sliced(batches, "text", 1 << _SEGMENT, _BYTES):
+        parts, segments, numbers = (batch.column(c).to_numpy() for c in ("part", "segment", "number"))
+        cuts = np.flatnonzero(np.append(True, (np.diff(segments) != 0) | (np.diff(parts) != 0) | (np.diff(numbers) <= 0)))
+        for at, end in zip(cuts, [*cuts[1:], batch.num_rows]):
+            code, text = grams(batch.column("text").slice(at, end - at))
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            three = (code[starts, None] >> np.array([16, 8, 0])).astype(np.uint8)
+            gram = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(np.arange(0, 3 * len(starts) + 1, 3, np.int32)), pa.py_buffer(three.tobytes())])
+            n = np.diff(np.append(starts, len(code)))
+            same = lambda x, kind: pa.array(np.full(len(starts), x), kind)
+            columns = [same(parts[at], pa.int32()), same(segments[at], pa.int64()), gram, pa.array(n, pa.int32()), _packed(numbers[at:end][text].astype(np.int64), starts)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "segment", "gram", "n", "numbers"])
+
+
 def build(paragraphs: DataFrame, folder: str, parts: int = 64, buckets: int = 64) -> SearchIndex:
-    """A new index of ``parts`` parts of paragraphs and ``buckets`` folders of grams; both should grow with the corpus."""
+    """A new index of at most ``parts`` folders of paragraphs and ``buckets`` folders of grams; both should grow with the corpus."""
     spark = paragraphs.sparkSession
     columns = paragraphs.select("doc_id", "para_idx", *(c for c in paragraphs.columns if c not in ("doc_id", "para_idx"))).schema.json()
-    spark.createDataFrame([(parts, buckets, columns)], "parts int, buckets int, columns string").write.mode("error").parquet(f"{folder}/settings")
+    spark.createDataFrame([(parts, buckets, columns, None)], _SETTINGS).write.mode("error").parquet(f"{folder}/settings")
     index = SearchIndex(spark, folder)
     index.add(paragraphs)
     return index
 
 
+_SETTINGS = "parts int, buckets int, columns string, added string"
+
+
 class SearchIndex:
     """An index that was built before."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.parts, self.buckets, columns = spark.read.parquet(f"{folder}/settings").first()
-        texts = StructType.fromJson(json.loads(columns))
-        posted = StructType([*texts.fields[:2], StructField("gram", StringType()), StructField("bucket", IntegerType())])
-        self._schemas = {"texts": texts.add("part", IntegerType()), "postings": posted}
+        self.parts, self.buckets, columns = self._settings().filter("added is null").first()[:3]
+        numbered = StructType.fromJson(json.loads(columns)).add("_segment", "long").add("_number", "integer").add("added", "string").add("part", "integer")
+        posted = StructType().add("part", "integer").add("segment", "long").add("gram", "string").add("n", "integer").add("numbers", "binary")
+        self._schemas = {"texts": numbered, "postings": posted.add("added", "string").add("bucket", "integer")}
+
+    def _settings(self) -> DataFrame:
+        return self.spark.read.schema(_SETTINGS).parquet(f"{self.folder}/settings")
 
     def _table(self, name: str) -> DataFrame:
+        """What has been added whole by now."""
+        whole = [r[0] for r in self._settings().filter("added is not null").select("added").collect()]
+        return self._rows(name).filter(F.col("added").isin(whole))
+
+    def _rows(self, name: str) -> DataFrame:
         return self.spark.read.schema(self._schemas[name]).parquet(f"{self.folder}/{name}")
 
     def add(self, paragraphs: DataFrame) -> None:
-        """Adds paragraphs. A frequent gram is dealt to sixteen tasks, a document's paragraphs likewise."""
-        dealt = F.pmod(F.xxhash64("doc_id", "para_idx"), F.lit(16)).cast("int")
-        found = paragraphs.select("doc_id", "para_idx", F.explode(grams(F.col("text"))).alias("gram"))
-        found = found.withColumn("bucket", _bucket(F.col("gram"), self.buckets)).withColumn("_deal", dealt)
-        laid = found.repartition("bucket", "_deal").drop("_deal").sortWithinPartitions("bucket", "gram", "doc_id", "para_idx")
-        laid.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        texts = paragraphs.withColumn("part", _part(self.parts)).withColumn("_deal", dealt)
-        texts.repartition("part", "_deal").drop("_deal").write.mode("append").partitionBy("part").parquet(f"{self.folder}/texts")
+        """Adds paragraphs, as their tasks come: a few very large tasks are better dealt anew before."""
+        name, place = uuid.uuid4().hex, F.monotonically_increasing_id()
+        numbered = paragraphs.withColumn("_segment", F.shiftright(place, _SEGMENT)).withColumn("_number", (place % (1 << _SEGMENT)).cast("int"))
+        dealt = numbered.withColumn("added", F.lit(name)).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(self.parts)))
+        dealt.write.mode("append").partitionBy("added", "part").parquet(f"{self.folder}/texts", compression="zstd")
+        mine = self._rows("texts").filter(F.col("added") == name).select("part", F.col("_segment").alias("segment"), F.col("_number").alias("number"), "text")
+        posted = mine.mapInArrow(_postings, "part int, segment bigint, gram string, n int, numbers binary")
+        laid = posted.withColumn("added", F.lit(name)).withColumn("bucket", _bucket(F.col("gram"), self.buckets)).sortWithinPartitions("added", "bucket", "gram", "segment")
+        laid.write.mode("append").partitionBy("added", "bucket").parquet(f"{self.folder}/postings", compression="zstd")
+        self.spark.createDataFrame([(self.parts, self.buckets, None, name)], _SETTINGS).coalesce(1).write.mode("append").parquet(f"{self.folder}/settings")
 
     def _posted(self, asked: Iterable[str]) -> DataFrame:
         """The postings of some grams, read from their folders only."""
@@ -243,26 +314,40 @@ class SearchIndex:
         if need is None:
             return None
         asked = need.grams()
-        counts = {r["gram"]: r["n"] for r in self._posted(asked).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+        counts = {r["gram"]: r["n"] for r in self._posted(asked).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         for most in (_ASKED, 1):
             got = need.rarest(counts, most)
-            if len(got.grams()) <= _MOST_BITS:
+            if len(got.grams()) <= _MOST_GRAMS:
                 return got
         return None
 
     def candidates(self, find: str, regex: bool = False) -> DataFrame:
         """The paragraphs that may match, with all their columns."""
         texts, need = self._table("texts"), self.need(find, regex)
+        own = ("added", "part", "_segment", "_number")
         if need is None:
-            return texts.drop("part")
-        bits = {g: 1 << i for i, g in enumerate(sorted(need.grams()))}
-        posted = self._posted(bits)
-        bit = F.coalesce(*(F.when(F.col("gram") == g, F.lit(b).cast("bigint")) for g, b in bits.items()))
-        held = posted.groupBy("doc_id", "para_idx").agg(F.bit_or(bit).alias("held"))
-        here = lambda g: F.col("held").bitwiseAND(F.lit(bits[g]).cast("bigint")) != 0
-        keys = held.filter(need.holds(here)).select(F.col("doc_id").alias("_doc"), F.col("para_idx").alias("_para"), _part(self.parts).alias("_part"))
-        same = (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("para_idx").eqNullSafe(F.col("_para"))
-        return texts.join(keys, same, "left_semi").drop("part")
+            return texts.drop(*own)
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A bit for each paragraph of a segment that may match; segments without one are left out."""
+            for batch in batches:
+                kept, words = [], []
+                for i, lists in enumerate(batch.column("lists").to_pylist()):
+                    held = {g: np.zeros(1 << _SEGMENT, bool) for g in need.grams()}
+                    for x in lists:
+                        held[x["gram"]][_unpacked(x["numbers"])] = True
+                    bits = need.holds(held.__getitem__)
+                    if bits.any():
+                        kept.append(i)
+                        words.append(np.packbits(bits, bitorder="little").view("<i8"))
+                columns = [batch.column(c).take(pa.array(kept, pa.int32())) for c in ("added", "part", "segment")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.list_(pa.int64()))], ["added", "part", "_segment", "words"])
+
+        lists = self._posted(need.grams()).groupBy("added", "part", "segment").agg(F.collect_list(F.struct("gram", "numbers")).alias("lists"))
+        bits = lists.mapInArrow(marked, "added string, part int, _segment bigint, words array<bigint>")
+        word = F.get("words", F.shiftright("_number", 6))
+        # the bits of all segments are a byte for eight paragraphs, so a task can have them whole; without the hint all texts are shuffled
+        return texts.join(F.broadcast(bits), ["added", "part", "_segment"]).filter(F.getbit(word, F.col("_number") % 64) == 1).drop(*own, "words")
 
     def matches_of(self, find: str, regex: bool = False, headings_only: bool = False) -> DataFrame:
         """As :func:`search.matches_of` over all paragraphs."""
