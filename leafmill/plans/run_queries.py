@@ -51,7 +51,7 @@ def r03(spark, sf_dir):
 def _styled(spark, sf_dir):
     """Each paragraph cut into words' runs whose style follows from the word's number."""
     words = F.split(F.col("text"), " ", -1)
-    run = lambda w, i: F.struct(F.lit(False).alias("is_break"), F.concat(F.when(i > 0, " ").otherwise(""), w).alias("text"), R.style(bold=F.when(F.floor(i / 3) % 2 == 1, F.lit(True)), color=F.when(F.floor(i / 4) % 2 == 1, "#FF0000").otherwise(""), italic=F.lit(None)).alias("style"))
+    run = lambda w, i: F.struct(F.lit(False).alias("is_break"), F.concat(F.when(i > 0, " ").otherwise(""), w).alias("text"), R.style(bold=F.when(i % 6 >= 3, F.lit(True)), color=F.when(i % 8 >= 4, "#FF0000").otherwise(""), italic=F.lit(None)).alias("style"))
     p = paras(spark, sf_dir).withColumn("runs", F.transform(words, run))
     return p.select("doc_id", "para_idx", "text", "runs")
 
@@ -94,9 +94,8 @@ def s09_styled(spark, sf_dir):
 @query("s03_docx_runs", f"{_W} SELECT doc_id, para_idx, run_idx, false AS is_break, text, {_CSS_OF} AS css FROM m")
 def s03(spark, sf_dir):
     """Styled runs written into packages and read out of them again."""
-    xml = R.runs_xml(R.merge_adjacent(F.col("runs")))
-    packages = docx.built(_styled(spark, sf_dir).select("doc_id", "para_idx", xml.alias("xml")))
-    return styled.exploded(docx.paragraphs(docx.parsed(packages))).withColumn("css", R.style_css(F.col("style"))).drop("style")
+    packages = docx.built(docx.written(_styled(spark, sf_dir)))
+    return docx.runs(packages).withColumn("css", R.style_css(F.col("style"))).drop("style")
 
 
 @query("j09_offsets_to_runs", f"""{_W} SELECT doc_id, para_idx, 5 AS start, 25 AS "end", run_idx, greatest(5 - (run_end - len(text)), 0)::INTEGER AS from_offset, (least(25, run_end) - (run_end - len(text)))::INTEGER AS to_offset
