@@ -7,6 +7,10 @@
 * ``partitionBytes`` (128 MB) and ``openBytes`` (256 KB): a task takes files up to this size, each counted with the cost
   of opening it. A package is never split.
 
+The driver walks the folders one at a time and plans by folder: a task is given folders and the first and last name of its
+share, and lists them itself. Only folders with more than 1,024 packages, which this format doesn't write, are dealt
+file by file.
+
 Conditions on ``path``, ``name`` and ``size`` leave files out before any task is planned. A package that can't be read is
 one row with an ``error`` (not-a-package, no-document-part, bad-xml) and no content; one without numbering has no rows
 of levels. Names that begin with ``_`` or ``.`` are passed over.
@@ -14,7 +18,8 @@ of levels. Names that begin with ``_`` or ``.`` are passed over.
 A write takes ``name`` and ``content`` (other columns are left out) and puts each row into a file of its own. Tasks write
 to a staging folder; the job's commit gathers the attempts that counted and shows them by one renaming, as
 ``commit-<number>-<job>``, so a lost, repeated or killed task leaves no file. Mode ``append`` adds, mode ``overwrite``
-takes away what was there after the new files have appeared. Rows that repeat a name all stay, in folders of their own.
+takes away what was there after the new files have appeared. A task's files lie in folders of up to 512; rows that repeat
+a name all stay, in folders of their own.
 
 A stream reads commits in the order of their numbers, each once; writers of a folder that a stream reads take turns. The
 folder must be one that all executors reach and that can rename folders: a mounted path, or a store that Arrow opens.
@@ -68,6 +73,8 @@ _OWN = {
     "nodes": ("node_idx", "para_idx", "text"),
     "numbering": ("num_id", "ilvl", "num_fmt", "lvl_text", "font", "is_image"),
 }
+#: Packages of a folder that a task lists itself, and that a task writes into one folder.
+_LISTED, _WRITTEN = 1024, 512
 _COMMIT = re.compile(r"commit-(\d+)-\w+\Z")
 
 
@@ -84,9 +91,20 @@ class Found:
         return posixpath.basename(self.path)
 
 
+@dataclass(frozen=True)
+class Span:
+    """The ``n`` wanted files of a folder whose names lie between two names, both included."""
+
+    folder: str
+    first: str
+    last: str
+    n: int
+
+
 @dataclass
 class Files(InputPartition):
-    files: tuple[Found, ...]
+    files: tuple[Found, ...] = ()
+    spans: tuple[Span, ...] = ()
 
 
 def _place(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -94,17 +112,27 @@ def _place(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return found, at.rstrip("/")
 
 
-def listed(path: str, below: Iterable[str] = ("",)) -> list[Found]:
-    """All packages in some folders below ``path``: their names, sizes and dates, nothing of their content."""
+def _packages(store: arrow_fs.FileSystem, folder: str, allow_not_found: bool = False) -> tuple[list[Found], list[str]]:
+    """The packages of a folder by name, and the folders in it, hidden ones left out."""
+    got = [f for f in store.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=allow_not_found)) if f.base_name[:1] not in ("_", ".")]
+    files = [Found(f.path, f.size, f.mtime) for f in got if f.type == arrow_fs.FileType.File and f.path.lower().endswith(".docx")]
+    return sorted(files, key=lambda f: f.name), sorted(f.path for f in got if f.type == arrow_fs.FileType.Directory)
+
+
+def walked(path: str, below: Iterable[str] = ("",)) -> Iterator[tuple[str, list[Found]]]:
+    """Folders below some folders of ``path``, each with its packages: names, sizes and dates, nothing of their content."""
     store, root = _place(path)
-    out = []
-    for folder in below:
-        start = f"{root}/{folder}".rstrip("/")
-        for f in store.get_file_info(arrow_fs.FileSelector(start, recursive=True, allow_not_found=True)):
-            hidden = any(x[:1] in "_." for x in f.path[len(root) :].strip("/").split("/"))
-            if f.type == arrow_fs.FileType.File and not hidden and f.path.lower().endswith(".docx"):
-                out.append(Found(f.path, f.size, f.mtime))
-    return out
+    ahead = [f"{root}/{folder}".rstrip("/") for folder in reversed(list(below)) if not any(x[:1] in ("_", ".") for x in folder.split("/"))]
+    while ahead:
+        folder = ahead.pop()
+        files, inner = _packages(store, folder, allow_not_found=True)
+        yield folder, files
+        ahead += reversed(inner)
+
+
+def listed(path: str, below: Iterable[str] = ("",)) -> list[Found]:
+    """All packages in some folders below ``path``."""
+    return [f for _, files in walked(path, below) for f in files]
 
 
 def commits(path: str) -> dict[int, list[str]]:
@@ -131,6 +159,45 @@ def planned(files: Iterable[Found], limit: int, opening: int) -> list[Files]:
     return [*out, Files(tuple(task))] if task else out
 
 
+def dealt(folders: Iterable[tuple[str, list[Found]]], tests: list[Callable[[Found], bool]], limit: int, opening: int) -> list[Files]:
+    """The wanted files of folders dealt to tasks. Of a folder that is not very large only the ends of a share are kept."""
+    out: list[Files] = []
+    many: list[Found] = []
+    spans: list[Span] = []
+    held = 0
+    for folder, files in folders:
+        wanted = [f for f in files if all(test(f) for test in tests)]
+        if len(files) > _LISTED:
+            many += wanted
+            continue
+        share: list[Found] = []
+
+        def end(share: list[Found], folder: str = folder) -> None:
+            if share:
+                spans.append(Span(folder, share[0].name, share[-1].name, len(share)))
+
+        for f in wanted:
+            if held and held + f.size + opening > limit:
+                end(share)
+                out.append(Files(spans=tuple(spans)))
+                share, spans, held = [], [], 0
+            share.append(f)
+            held += f.size + opening
+        end(share)
+    return [*out, *([Files(spans=tuple(spans))] if spans else []), *planned(many, limit, opening)]
+
+
+def shared(path: str, partition: Files, tests: list[Callable[[Found], bool]]) -> Iterator[Found]:
+    """The files of a task. A folder that has lost files since it was planned is an error."""
+    yield from partition.files
+    store, _ = _place(path)
+    for s in partition.spans:
+        found = [f for f in _packages(store, s.folder)[0] if s.first <= f.name <= s.last and all(test(f) for test in tests)]
+        if len(found) < s.n:
+            raise FileNotFoundError(f"{s.folder} had {s.n} packages from {s.first} to {s.last}, now {len(found)}")
+        yield from found
+
+
 def _entry(source, name: str) -> bytes | None:
     """The bytes of one entry, None if there is no such entry."""
     try:
@@ -209,11 +276,10 @@ class Reader(DataSourceReader):
                 self.tests.append(test)
 
     def partitions(self) -> list[Files]:
-        files = [f for f in listed(self.path) if all(test(f) for test in self.tests)]
-        return planned(files, self.limit, self.opening) or [Files(())]
+        return dealt(walked(self.path), self.tests, self.limit, self.opening) or [Files()]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        return rows_of(self.path, partition.files, self.rows)
+        return rows_of(self.path, shared(self.path, partition, self.tests), self.rows)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -228,10 +294,10 @@ class StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         new = [x for n, folders in commits(self.path).items() if start["commit"] < n <= end["commit"] for x in folders]
-        return planned(listed(self.path, new), self.limit, self.opening)
+        return dealt(walked(self.path, new), [], self.limit, self.opening)
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        return rows_of(self.path, partition.files, self.rows)
+        return rows_of(self.path, shared(self.path, partition, []), self.rows)
 
 
 @dataclass
@@ -254,22 +320,21 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, iterator) -> Attempt:
         store, root = _place(self.path)
-        attempt, seen = uuid.uuid4().hex, {}
+        attempt, folders, seen = uuid.uuid4().hex, 0, set()
         for batch in iterator:
             for name, content in zip(batch.column("name"), batch.column("content")):
                 name = name.as_py()
                 if not name or "/" in name or "\\" in name or name[0] in "_." or not name.lower().endswith(".docx") or not content.is_valid:
                     raise ValueError(f"no name and content of a package: {name!r}")
-                again = seen[name] = seen.get(name, 0) + 1
-                folder = f"{root}/{self.staging}/{attempt}"
-                if len(seen) == again == 1:
-                    store.create_dir(folder, recursive=False)
-                if again > 1:
-                    folder = f"{folder}/{again}"
-                    store.create_dir(folder, recursive=False)
-                with store.open_output_stream(f"{folder}/{name}") as out:
+                if not folders:
+                    store.create_dir(f"{root}/{self.staging}/{attempt}", recursive=False)
+                if not folders or len(seen) == _WRITTEN or name in seen:
+                    folders, seen = folders + 1, set()
+                    store.create_dir(f"{root}/{self.staging}/{attempt}/{folders:06d}", recursive=False)
+                seen.add(name)
+                with store.open_output_stream(f"{root}/{self.staging}/{attempt}/{folders:06d}/{name}") as out:
                     out.write(content.as_buffer())
-        return Attempt(attempt if seen else None)
+        return Attempt(attempt if folders else None)
 
     def commit(self, messages: list[Attempt | None]) -> None:
         store, root = _place(self.path)
